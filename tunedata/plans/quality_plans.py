@@ -1 +1,324 @@
-"""Registered queries."""
+"""D family: audit, filters and quality aggregates over documents, pairs and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tunedata.functions.strings import PY_WHITESPACE_CLASS, is_blank
+from tunedata.operators import quality as q
+from tunedata.plans.registry import query
+from tunedata.plans.views import Views, oracle
+
+WS = PY_WHITESPACE_CLASS
+
+
+def d_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def d_tokens(x: str) -> str:
+    return f"CASE WHEN length({d_strip(x)}) = 0 THEN [] ELSE regexp_split_to_array({d_strip(x)}, '{WS}+') END"
+
+
+def d_ntok(x: str) -> str:
+    return f"CAST(len({d_tokens(x)}) AS BIGINT)"
+
+
+_SFT_COLS = ["pair_id", "conv_id", "instruction", "input", "output"]
+
+
+def _d_empty(c: str) -> str:
+    return f"({c} IS NULL)" if c in ("pair_id", "conv_id") else f"({c} IS NULL OR {c} = '')"
+
+
+@query("dataset_summary", oracle(
+    "WITH smp AS (SELECT * FROM sft_pairs ORDER BY pair_id LIMIT 3), "
+    "fl AS (SELECT " + ", ".join(f"bool_or({_d_empty(c)}) AS e_{c}" for c in _SFT_COLS) + ", "
+    + ", ".join(f"bool_or(length({c}) > 8000) AS l_{c}" for c in ("instruction", "input", "output"))
+    + " FROM smp), "
+    "em AS (SELECT concat_ws(', ', " + ", ".join(f"CASE WHEN e_{c} THEN '{c}' END" for c in sorted(_SFT_COLS))
+    + ") AS e, concat_ws(', ', " + ", ".join(f"CASE WHEN l_{c} THEN '{c}' END" for c in
+                                             sorted(["instruction", "input", "output"]))
+    + ") AS l FROM fl), n AS (SELECT count(*) AS num_rows FROM sft_pairs) "
+    "SELECT 'sft_pairs' AS dataset, 'train' AS split, n.num_rows, "
+    "'pair_id,conv_id,instruction,input,output' AS column_names, 'instruction' AS format, "
+    "'instruction' AS suggested_text_field, "
+    f"concat_ws(' | ', CASE WHEN n.num_rows < 1000 THEN '{q.RISK_SMALL}' END, "
+    f"CASE WHEN em.e <> '' THEN '{q.RISK_EMPTY}' || em.e || '.' END, "
+    f"CASE WHEN em.l <> '' THEN '{q.RISK_LONG}' || em.l || '.' END) AS risks, "
+    "'SFT is a sensible starting point for the first run.' AS recommendations, "
+    "'conv_id,input,instruction,output,pair_id' AS sample_keys FROM n, em", "sft_pairs"))
+def dataset_summary(spark, sf_dir):
+    s = q.dataset_summary(Views(spark, sf_dir).sft_pairs, "sft_pairs", order_by="pair_id")
+    return s.withColumn("risks", F.array_join("risks", " | ")) \
+        .withColumn("recommendations", F.array_join("recommendations", " | "))
+
+
+@query("preview_rows", oracle("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 3"))
+def preview_rows(spark, sf_dir):
+    return Views(spark, sf_dir).documents.select("doc_id", "lang", "source", "n_chars") \
+        .orderBy("doc_id").limit(q.PREVIEW_ROWS)
+
+
+@query("empty_fields", oracle(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(sum(CASE WHEN {_d_empty(c)} THEN 1 ELSE 0 END) "
+                       f"AS BIGINT) AS n_empty FROM sft_pairs" for c in _SFT_COLS), "sft_pairs"))
+def empty_fields(spark, sf_dir):
+    return q.empty_field_counts(Views(spark, sf_dir).sft_pairs)
+
+
+@query("long_fields", oracle(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(sum(CASE WHEN length({c}) > 8000 THEN 1 ELSE 0 END) "
+                       f"AS BIGINT) AS n_long, CAST(max(length({c})) AS BIGINT) AS max_len FROM documents"
+                       for c in ("text", "lang", "source"))))
+def long_fields(spark, sf_dir):
+    return q.long_field_stats(Views(spark, sf_dir).documents.select("text", "lang", "source"))
+
+
+_SIZED = ["documents", "conversations", "benchmark", "labels", "events", "lineitem", "sft_pairs"]
+
+
+def _counts(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    parts = [v.get(t).agg(F.count(F.lit(1)).alias("num_rows")).select(F.lit(t).alias("table_name"), "num_rows")
+             for t in _SIZED]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("size_risk", oracle(
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS num_rows, count(*) < 1000 AS small FROM {t}"
+                       for t in _SIZED), "sft_pairs"))
+def size_risk(spark, sf_dir):
+    return _counts(spark, sf_dir).withColumn("small", F.col("num_rows") < q.SMALL_DATASET_ROWS)
+
+
+_D_BAND = ("CASE WHEN num_rows < 100 THEN 'under 100' WHEN num_rows < 500 THEN '100-500' "
+           "WHEN num_rows < 1000 THEN '500-1K' WHEN num_rows < 5000 THEN '1K-5K' WHEN num_rows < 10000 "
+           "THEN '5K-10K' WHEN num_rows < 50000 THEN '10K-50K' ELSE '50K+' END")
+
+
+@query("size_band", oracle(
+    f"SELECT table_name, num_rows, {_D_BAND} AS band FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS num_rows FROM {t}" for t in _SIZED)
+    + ") c", "sft_pairs"))
+def size_band(spark, sf_dir):
+    """Range join of per-table counts to the band dimension (7 rows, broadcast)."""
+    bands = spark.createDataFrame([(lo, hi, lbl) for lo, hi, lbl in q.SIZE_BANDS],
+                                  "lo bigint, hi bigint, band string")
+    c = _counts(spark, sf_dir)
+    cond = (c.num_rows >= bands.lo) & (bands.hi.isNull() | (c.num_rows < bands.hi))
+    return c.join(F.broadcast(bands), cond, "left").select("table_name", "num_rows", "band")
+
+
+@query("drop_empty_rows", oracle(
+    f"SELECT pair_id FROM sft_pairs WHERE instruction IS NOT NULL AND length({d_strip('instruction')}) > 0 "
+    f"AND output IS NOT NULL AND length({d_strip('output')}) > 0", "sft_pairs"))
+def drop_empty_rows(spark, sf_dir):
+    return q.drop_empty_rows(Views(spark, sf_dir).sft_pairs, ["instruction", "output"]).select("pair_id")
+
+
+@query("exact_dedup", oracle("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text"))
+def exact_dedup(spark, sf_dir):
+    return q.exact_dedup(Views(spark, sf_dir).documents, ["text"], "doc_id").select("doc_id")
+
+
+@query("exact_dedup_pairs", oracle("SELECT min(pair_id) AS pair_id FROM sft_pairs GROUP BY instruction, output",
+                                   "sft_pairs"))
+def exact_dedup_pairs(spark, sf_dir):
+    return q.exact_dedup(Views(spark, sf_dir).sft_pairs, ["instruction", "output"], "pair_id").select("pair_id")
+
+
+@query("duplicate_report", oracle(
+    "SELECT CAST(count(*) AS BIGINT) AS dup_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS dup_rows, "
+    "CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS redundant_rows "
+    "FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1) g"))
+def duplicate_report(spark, sf_dir):
+    g = q.duplicate_groups(Views(spark, sf_dir).documents, ["text"])
+    return g.agg(F.count(F.lit(1)).alias("dup_groups"),
+                 F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("dup_rows"),
+                 F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("redundant_rows"))
+
+
+@query("length_filter", oracle(
+    f"SELECT doc_id, n_tokens FROM (SELECT doc_id, {d_ntok('text')} AS n_tokens FROM documents) t "
+    "WHERE n_tokens BETWEEN 10 AND 2048"))
+def length_filter(spark, sf_dir):
+    d = Views(spark, sf_dir).documents.select("doc_id", q.token_count("text").alias("n_tokens"))
+    return d.where(F.col("n_tokens").between(q.MIN_TOKENS, q.MAX_SEQ_LENGTH))
+
+
+@query("length_distribution", oracle(
+    f"SELECT CAST(floor(log2(n + 1)) AS BIGINT) AS bucket, count(*) AS n_docs, min(n) AS min_tokens, "
+    f"max(n) AS max_tokens FROM (SELECT {d_ntok('text')} AS n FROM documents) t GROUP BY 1"))
+def length_distribution(spark, sf_dir):
+    d = Views(spark, sf_dir).documents.select(q.token_count("text").alias("n"))
+    return (d.groupBy(F.floor(F.log2(F.col("n") + 1)).cast("bigint").alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("n_docs"), F.min("n").alias("min_tokens"),
+                 F.max("n").alias("max_tokens")))
+
+
+@query("length_moments", oracle(
+    "SELECT n_docs, round(mu, 6) AS mean_tokens, round(sqrt(m2 - mu * mu), 6) AS std_tokens, "
+    "round((m3 - 3 * mu * m2 + 2 * mu * mu * mu) / pow(m2 - mu * mu, 1.5), 6) AS skewness "
+    f"FROM (SELECT count(*) AS n_docs, avg(CAST(n AS DOUBLE)) AS mu, avg(CAST(n AS DOUBLE) * n) AS m2, "
+    f"avg(CAST(n AS DOUBLE) * n * n) AS m3 FROM (SELECT {d_ntok('text')} AS n FROM documents) t) s"))
+def length_moments(spark, sf_dir):
+    """Mean, population std-dev and skewness from raw moments: partial aggregates only."""
+    n = q.token_count("text").cast("double")
+    d = Views(spark, sf_dir).documents.select(n.alias("n"))
+    m = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mu"), F.avg(F.col("n") * F.col("n")).alias("m2"),
+              F.avg(F.col("n") * F.col("n") * F.col("n")).alias("m3"))
+    mu, m2, m3 = F.col("mu"), F.col("m2"), F.col("m3")
+    var = m2 - mu * mu
+    return m.select("n_docs", F.round(mu, 6).alias("mean_tokens"), F.round(F.sqrt(var), 6).alias("std_tokens"),
+                    F.round((m3 - 3 * mu * m2 + 2 * mu * mu * mu) / F.pow(var, 1.5), 6).alias("skewness"))
+
+
+@query("truncation_report", oracle(
+    f"SELECT 'documents' AS dataset, 'sft' AS limit_kind, CAST(2048 AS BIGINT) AS token_limit, count(*) AS n_rows, "
+    f"CAST(sum(CASE WHEN n > 2048 THEN 1 ELSE 0 END) AS BIGINT) AS n_truncated, "
+    f"CAST(sum(greatest(n - 2048, 0)) AS BIGINT) AS lost_tokens "
+    f"FROM (SELECT {d_ntok('text')} AS n FROM documents) t UNION ALL "
+    f"SELECT 'preference_pairs', 'prompt', CAST(512 AS BIGINT), count(*), "
+    f"CAST(sum(CASE WHEN p > 512 THEN 1 ELSE 0 END) AS BIGINT), CAST(sum(greatest(p - 512, 0)) AS BIGINT) "
+    f"FROM (SELECT {d_ntok('prompt')} AS p FROM preference_pairs) a UNION ALL "
+    f"SELECT 'preference_pairs', 'sequence', CAST(1024 AS BIGINT), count(*), "
+    f"CAST(sum(CASE WHEN p > 1024 THEN 1 ELSE 0 END) AS BIGINT), CAST(sum(greatest(p - 1024, 0)) AS BIGINT) "
+    f"FROM (SELECT {d_ntok('prompt')} + {d_ntok('chosen')} AS p FROM preference_pairs) b", "preference_pairs"))
+def truncation_report(spark, sf_dir):
+    v = Views(spark, sf_dir)
+
+    def report(df, n, dataset, kind, limit):
+        return df.select(n.alias("n")).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum((F.col("n") > limit).cast("bigint")).alias("n_truncated"),
+            F.sum(F.greatest(F.col("n") - limit, F.lit(0))).cast("bigint").alias("lost_tokens"),
+        ).select(F.lit(dataset).alias("dataset"), F.lit(kind).alias("limit_kind"),
+                 F.lit(limit).cast("bigint").alias("token_limit"), "n_rows", "n_truncated", "lost_tokens")
+
+    pp = v.preference_pairs
+    return (report(v.documents, q.token_count("text"), "documents", "sft", q.MAX_SEQ_LENGTH)
+            .unionByName(report(pp, q.token_count("prompt"), "preference_pairs", "prompt", 512))
+            .unionByName(report(pp, q.token_count("prompt") + q.token_count("chosen"), "preference_pairs",
+                                "sequence", 1024)))
+
+
+@query("language_mix", oracle(
+    "SELECT lang, count(*) AS n_docs, round(count(*) / sum(count(*)) OVER (), 6) AS share "
+    "FROM documents GROUP BY lang"))
+def language_mix(spark, sf_dir):
+    from pyspark.sql import Window
+
+    g = Views(spark, sf_dir).documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    # The window runs over the aggregated result: one row per language.
+    return g.withColumn("share", F.round(F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy()), 6))
+
+
+@query("language_filter", oracle("SELECT doc_id FROM documents WHERE lang = 'en'"))
+def language_filter(spark, sf_dir):
+    return Views(spark, sf_dir).documents.where(F.col("lang") == "en").select("doc_id")
+
+
+@query("encoding_issues", oracle(
+    "SELECT source, count(*) AS n_docs, "
+    "CAST(sum(CASE WHEN contains(text, '�') THEN 1 ELSE 0 END) AS BIGINT) AS n_replacement, "
+    f"CAST(sum(CASE WHEN regexp_matches(text, '{q.CONTROL_CHARS_RE}') THEN 1 ELSE 0 END) AS BIGINT) AS n_control, "
+    f"CAST(sum(CASE WHEN regexp_matches(text, '{q.MOJIBAKE_RE}') THEN 1 ELSE 0 END) AS BIGINT) AS n_mojibake "
+    "FROM documents GROUP BY source"))
+def encoding_issues(spark, sf_dir):
+    rep, ctl, moj = q.encoding_flags("text")
+    return Views(spark, sf_dir).documents.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(rep.cast("bigint")).alias("n_replacement"),
+        F.sum(ctl.cast("bigint")).alias("n_control"), F.sum(moj.cast("bigint")).alias("n_mojibake"))
+
+
+def _d_norm(x: str) -> str:
+    return f"array_to_string({d_tokens('lower(' + x + ')')}, ' ')"
+
+
+@query("pair_difference", oracle(
+    "SELECT pair_id, " + _d_norm("chosen") + " = " + _d_norm("rejected") + " AS identical, "
+    "round(CASE WHEN len(list_distinct(list_concat(ta, tb))) = 0 THEN 1.0 ELSE "
+    "len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) END, 6) AS jaccard, "
+    "round(CASE WHEN greatest(length(chosen), length(rejected)) = 0 THEN 1.0 ELSE "
+    "least(length(chosen), length(rejected)) / greatest(length(chosen), length(rejected)) END, 6) AS length_ratio "
+    f"FROM (SELECT *, list_distinct({d_tokens('chosen')}) AS ta, list_distinct({d_tokens('rejected')}) AS tb "
+    "FROM preference_pairs) p", "preference_pairs"))
+def pair_difference(spark, sf_dir):
+    p = Views(spark, sf_dir).preference_pairs
+    return p.select("pair_id", *q.pair_difference("chosen", "rejected"))
+
+
+@query("chat_structure_check", oracle(
+    "SELECT conv_id, count(*) AS n_turns, "
+    "arg_min(role, turn) = 'system' AS starts_with_system, "
+    "NOT bool_or(role = 'system' AND turn > first_turn) AS system_only_first, "
+    "NOT bool_or(prev_role = role) AS alternates, "
+    "arg_max(role, turn) = 'assistant' AS ends_with_assistant, "
+    "bool_and(role IN ('system', 'user', 'assistant')) AS roles_known, "
+    "arg_max(role, turn) = 'assistant' AND NOT bool_or(prev_role = role) "
+    "AND NOT bool_or(role = 'system' AND turn > first_turn) "
+    "AND bool_and(role IN ('system', 'user', 'assistant')) AS valid "
+    "FROM (SELECT c.*, p.role AS prev_role, min(c.turn) OVER (PARTITION BY c.conv_id) AS first_turn "
+    "FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1) t "
+    "GROUP BY conv_id"))
+def chat_structure_check(spark, sf_dir):
+    """Adjacent-turn test by an equi-join on (conv_id, turn - 1): the join key includes the turn,
+    so a very long conversation spreads over many tasks; the per-conversation rollup is a partial
+    aggregate (no window sorts a conversation into one task)."""
+    c = Views(spark, sf_dir).conversations.select("conv_id", "turn", "role")
+    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev_role"))
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
+    j = c.join(prev, ["conv_id", "turn"], "left").join(first, "conv_id")
+    known = F.col("role").isin("system", "user", "assistant")
+    g = j.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.min_by("role", "turn").alias("_first_role"),
+        F.max_by("role", "turn").alias("_last_role"),
+        F.bool_or((F.col("role") == "system") & (F.col("turn") > F.col("first_turn"))).alias("_late_system"),
+        F.coalesce(F.bool_or(F.col("prev_role") == F.col("role")), F.lit(False)).alias("_repeat"),
+        F.bool_and(known).alias("roles_known"))
+    ends = F.col("_last_role") == "assistant"
+    return g.select("conv_id", "n_turns", (F.col("_first_role") == "system").alias("starts_with_system"),
+                    (~F.col("_late_system")).alias("system_only_first"), (~F.col("_repeat")).alias("alternates"),
+                    ends.alias("ends_with_assistant"), "roles_known",
+                    (ends & ~F.col("_repeat") & ~F.col("_late_system") & F.col("roles_known")).alias("valid"))
+
+
+@query("quality_label_profile", oracle(
+    "SELECT lang, source, count(*) AS n_docs, count(l.doc_id) AS n_labeled, "
+    "round(avg(l.quality), 6) AS quality_rate, round(avg(l.toxic), 6) AS toxic_rate "
+    "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY CUBE (lang, source)"))
+def quality_label_profile(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    j = v.documents.select("doc_id", "lang", "source").join(
+        v.labels.select(F.col("doc_id").alias("l_doc_id"), "quality", "toxic"),
+        F.col("doc_id") == F.col("l_doc_id"), "left")
+    return j.cube("lang", "source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count("l_doc_id").alias("n_labeled"),
+        F.round(F.avg("quality"), 6).alias("quality_rate"), F.round(F.avg("toxic"), 6).alias("toxic_rate"))
+
+
+@query("quality_gate", oracle(
+    f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS n_rows FROM ("
+    f"SELECT CASE WHEN length({d_strip('text')}) = 0 THEN 'empty' "
+    f"WHEN {d_ntok('text')} < 10 THEN 'too_short' WHEN {d_ntok('text')} > 2048 THEN 'too_long' "
+    f"WHEN contains(text, '�') OR regexp_matches(text, '{q.CONTROL_CHARS_RE}') "
+    f"OR regexp_matches(text, '{q.MOJIBAKE_RE}') THEN 'encoding' "
+    f"WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN 'duplicate' END AS reason FROM documents) g "
+    f"GROUP BY 1"))
+def quality_gate(spark, sf_dir):
+    """One pass of the pre-training checks with the first failing reason per row."""
+    d = Views(spark, sf_dir).documents
+    kept_ids = q.exact_dedup(d, ["text"], "doc_id").select("doc_id", F.lit(True).alias("_first"))
+    n = q.token_count("text")
+    rep, ctl, moj = q.encoding_flags("text")
+    j = d.join(kept_ids, "doc_id", "left")
+    reason = (F.when(is_blank("text"), "empty")
+              .when(n < q.MIN_TOKENS, "too_short").when(n > q.MAX_SEQ_LENGTH, "too_long")
+              .when(rep | ctl | moj, "encoding").when(F.col("_first").isNull(), "duplicate"))
+    return j.select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason") \
+        .agg(F.count(F.lit(1)).alias("n_rows"))
