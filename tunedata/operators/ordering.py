@@ -52,3 +52,28 @@ def global_positions(df: DataFrame, order: list[str | Column], name: str = "pos"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("_blk", F.spark_partition_id().cast("bigint"))
     return _number(ranged.checkpoint(eager=True), order, name)
+
+
+def cumulative_by_block(df: DataFrame, block: Column, order: list[str | Column],
+                        sums: dict[str, Column], pos: str = "pos") -> DataFrame:
+    """Global running position and running sums in ``order`` (inclusive of the current row).
+
+    Per-block totals are partial aggregates (one row per block); each block then runs its own
+    window, shifted by the totals of the blocks before it."""
+    b = df.withColumn("_blk", block)
+    for name, expr in sums.items():
+        b = b.withColumn(f"_v_{name}", expr)
+    tot = b.groupBy("_blk").agg(F.count(F.lit(1)).alias("_cnt"),
+                                *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select("_blk", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off_cnt"),
+                         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    local = Window.partitionBy("_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_blk").orderBy(*order)))
+    for n in sums:
+        out = out.withColumn(f"_c_{n}", F.sum(f"_v_{n}").over(local))
+    out = out.join(F.broadcast(offsets), "_blk").withColumn(pos, (F.col("_off_cnt") + F.col("_rn")).cast("bigint"))
+    for n in sums:
+        out = out.withColumn(n, F.col(f"_o_{n}") + F.col(f"_c_{n}"))
+    drop = ["_blk", "_rn", "_off_cnt"] + [f"_{k}_{n}" for n in sums for k in ("v", "o", "c")]
+    return out.drop(*drop)

@@ -156,7 +156,7 @@ SPLIT: dict[str, tuple[tuple[str, ...], str, str]] = {
     "category_scores": (("mc_predictions",),
         """SELECT category, CASE WHEN item_id % 2 = 0 THEN 'baseline' ELSE 'tuned' END AS arm,
                   avg(CASE WHEN array_position(choice_logits, array_max(choice_logits)) - 1 = answer
-                      THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS total
+                      THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS accuracy, count(*) AS total
            FROM {mc_predictions} GROUP BY 1, 2""",
         """SELECT category, CASE WHEN item_id % 2 = 0 THEN 'baseline' ELSE 'tuned' END AS arm,
                   avg(CASE WHEN list_position(choice_logits, list_max(choice_logits)) - 1 = answer
