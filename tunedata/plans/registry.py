@@ -33,6 +33,7 @@ def load_all() -> dict[str, Query]:
     # Importing the plan modules registers their queries.
     from tunedata.plans import (  # noqa: F401
         catalog_plans,
+        dedup_plans,
         eval_plans,
         format_plans,
         quality_plans,
