@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tunedata.operators import formatters as fm
 from tunedata.operators import splits as sp
 from tunedata.operators import sweep as sw
 from tunedata.plans.registry import query
@@ -115,10 +114,3 @@ def epochs_and_batches(spark, sf_dir):
     "FROM documents) t"))
 def batch_assignment(spark, sf_dir):
     return sp.batch_assignment(Views(spark, sf_dir).documents.select("doc_id"), "doc_id", 4, 4)
-
-
-@query("write_prepared_rows", None)
-def write_prepared_rows(spark, sf_dir):
-    """Formatted + split rows as handed to a trainer (read back in `source_plans`)."""
-    p = Views(spark, sf_dir).sft_pairs
-    return sp.train_val_split(p.select("pair_id", fm.format_alpaca().alias("text")), "pair_id", fraction=0.05)

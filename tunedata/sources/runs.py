@@ -29,12 +29,14 @@ EVAL_SCHEMA = T.StructType([T.StructField("benchmark", T.StringType())]
                            + [T.StructField("correct", T.LongType()), T.StructField("total", T.LongType())])
 _BOOL_SCHEMA = T.StructType([T.StructField(k, T.BooleanType()) for k in EVAL_KEYS])
 
-RUN_DIR_RE = r"^(.*/run_[^/]+)/[^/]+$"
+# The run name is the directory holding the file: ``run_001`` (or ``run_dir=run_001`` when the
+# tree was written by a partitioned Spark writer).
+RUN_DIR_RE = r"(?:^|/)(?:run_dir=)?(run_[^/]+)/[^/]+$"
 
 
-def _read_whole(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per file: ``path, raw`` (whole-file text; files are small JSON documents)."""
-    df = spark.read.text(pattern, wholetext=True)
+def _read_whole(spark: SparkSession, pattern: str, whole_file: bool = True) -> DataFrame:
+    """``path, raw``: one row per file (pretty-printed JSON documents) or per line (JSON lines)."""
+    df = spark.read.text(pattern, wholetext=whole_file)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
@@ -50,17 +52,18 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def scan_run_configs(spark: SparkSession, root: str, mode: str = "PERMISSIVE") -> DataFrame:
+def scan_run_configs(spark: SparkSession, root: str, mode: str = "PERMISSIVE", pattern: str | None = None,
+                     whole_file: bool = True) -> DataFrame:
     """``run_dir, <typed config columns>, raw``; runs without ``run_config.json`` do not appear;
     a missing root gives an empty table. ``mode='FAILFAST'`` raises on malformed JSON."""
-    pattern = f"{root.rstrip('/')}/run_*/run_config.json"
+    pattern = pattern or f"{root.rstrip('/')}/run_*/run_config.json"
     cols = ["run_dir"] + RUN_CONFIG_SCHEMA.fieldNames() + ["raw", "_corrupt"]
     if not _exists(spark, pattern):
         return spark.createDataFrame([], T.StructType([T.StructField("run_dir", T.StringType())]
                                                       + list(RUN_CONFIG_SCHEMA.fields)
                                                       + [T.StructField("raw", T.StringType()),
                                                          T.StructField("_corrupt", T.BooleanType())]))
-    files = _read_whole(spark, pattern)
+    files = _read_whole(spark, pattern, whole_file)
     parsed = files.withColumn("c", F.from_json("raw", RUN_CONFIG_SCHEMA, {"mode": mode,
                                                                           "allowNonNumericNumbers": "true"}))
     valid = F.col("raw").rlike(r"^\s*\{[\s\S]*\}\s*$") & F.json_object_keys("raw").isNotNull()
@@ -72,16 +75,17 @@ def scan_run_configs(spark: SparkSession, root: str, mode: str = "PERMISSIVE") -
         .withColumn("train_time_seconds", F.coalesce("train_time_seconds", "training_time"))
 
 
-def scan_eval_artifacts(spark: SparkSession, root: str) -> DataFrame:
+def scan_eval_artifacts(spark: SparkSession, root: str, pattern: str | None = None,
+                        whole_file: bool = True) -> DataFrame:
     """``run_dir, path, file_name, benchmark, <metrics>, raw`` for ``run_*/eval_*.json``.
 
     Booleans count as numbers for metrics (``true`` -> 1.0) and numeric strings do not."""
-    pattern = f"{root.rstrip('/')}/run_*/eval_*.json"
+    pattern = pattern or f"{root.rstrip('/')}/run_*/eval_*.json"
     if not _exists(spark, pattern):
         return spark.createDataFrame([], "run_dir string, path string, file_name string, benchmark string, "
                                      + ", ".join(f"{k} double" for k in EVAL_KEYS)
                                      + ", correct bigint, total bigint, raw string")
-    files = _read_whole(spark, pattern)
+    files = _read_whole(spark, pattern, whole_file)
     opts = {"allowNonNumericNumbers": "true"}
     p = files.withColumn("e", F.from_json("raw", EVAL_SCHEMA, opts)) \
         .withColumn("b", F.from_json("raw", _BOOL_SCHEMA, opts))
@@ -110,11 +114,11 @@ def scan_baselines(spark: SparkSession, project: str) -> DataFrame:
                     .alias("benchmark"), *[F.col(f"e.{k}").alias(k) for k in EVAL_KEYS])
 
 
-def scan_run_logs(spark: SparkSession, root: str) -> DataFrame:
+def scan_run_logs(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """``run_dir, file, line_no, line``: stdout then stderr, one row per line (never one string
-    per run, so a huge log spreads over many tasks). ``line_no`` is the byte offset of the line
-    inside its file, which orders lines without a global index."""
-    pattern = f"{root.rstrip('/')}/run_*/{{stdout,stderr}}.log"
+    per run, so a huge log spreads over many tasks). ``line_no`` increases in file order (a
+    monotonically increasing id), which orders lines without a global index."""
+    pattern = pattern or f"{root.rstrip('/')}/run_*/{{stdout,stderr}}.log"
     if not _exists(spark, pattern):
         return spark.createDataFrame([], "run_dir string, file string, line_no bigint, line string")
     lines = spark.read.text(pattern)
