@@ -1 +1,102 @@
-"""Registered queries."""
+"""S family: streaming jobs drained over file sources of the provided tables, compared with
+their batch equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tunedata.operators.metrics import argmax_first
+from tunedata.plans.registry import query
+from tunedata.plans.views import PORTABLE, RUN_DIR_SQL, oracle
+from tunedata.streaming import jobs
+
+D_TS = "strftime(%s, '%%Y-%%m-%%d %%H:%%M:%%S.%%f')"
+S_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _events(spark, sf_dir):
+    return jobs.event_time(jobs.file_stream(spark, f"{sf_dir}/events.parquet"))
+
+
+def _steps(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return e.select(F.expr(RUN_DIR_SQL).alias("run_dir"), "ts", F.col("value").alias("loss"), "event_id")
+
+
+@query("stream_running_eval", oracle(
+    "SELECT concat('c', CAST(label AS VARCHAR)) AS category, count(*) AS total, "
+    "CAST(sum(CASE WHEN list_position(embedding[1:4], list_max(embedding[1:4])) - 1 = label % 4 THEN 1 ELSE 0 END) "
+    "AS BIGINT) AS correct, round(avg(CASE WHEN list_position(embedding[1:4], list_max(embedding[1:4])) - 1 = "
+    "label % 4 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM embeddings GROUP BY label"))
+def stream_running_eval(spark, sf_dir):
+    s = jobs.file_stream(spark, f"{sf_dir}/embeddings.parquet")
+    rows = s.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
+                    (argmax_first(F.slice("embedding", 1, 4)) == (F.col("label") % 4)).alias("correct"))
+    out = jobs.drain(jobs.running_eval(rows, "category"), "running-eval", "complete")
+    return spark.read.parquet(out)
+
+
+@query("stream_log_alerts", oracle(
+    "SELECT DISTINCT run_dir, CASE WHEN contains(lower(line), 'out of memory') OR contains(lower(line), 'cuda oom') "
+    "THEN 'Run likely failed due to GPU memory pressure.' ELSE 'Numerical instability detected in the training logs.' "
+    "END AS issue FROM run_logs WHERE contains(lower(line), 'out of memory') OR contains(lower(line), 'cuda oom') "
+    "OR contains(lower(line), 'nan') OR contains(lower(line), 'inf')", "run_logs"))
+def stream_log_alerts(spark, sf_dir):
+    """The log view's projection applied to the event stream, then the alert rules."""
+    lines = spark.sql(PORTABLE["run_logs"][1], events=_events(spark, sf_dir))
+    out = jobs.drain(jobs.log_alerts(lines), "log-alerts", "append")
+    return spark.read.parquet(out).select("run_dir", "issue")
+
+
+@query("stream_loss_windows", oracle(
+    f"SELECT {RUN_DIR_SQL} AS run_dir, {D_TS % 'time_bucket(INTERVAL 1 DAY, ts)'} AS window_start, count(*) AS n, "
+    "round(avg(value), 6) AS mean_loss FROM events GROUP BY 1, 2"))
+def stream_loss_windows(spark, sf_dir):
+    out = jobs.drain(jobs.loss_windows(_steps(spark, sf_dir)), "loss-windows", "complete")
+    r = spark.read.parquet(out)
+    return r.select("run_dir", F.date_format("w.start", S_TS).alias("window_start"), "n",
+                    F.round("mean_loss", 6).alias("mean_loss"))
+
+
+@query("stream_run_sessions", oracle(
+    f"SELECT run_dir, {D_TS % 'min(ts)'} AS session_start, {D_TS % '(max(ts) + INTERVAL 30 MINUTE)'} AS session_end, "
+    "count(*) AS n_events FROM (SELECT run_dir, ts, sum(brk) OVER (PARTITION BY run_dir ORDER BY ts, event_id) AS sid "
+    f"FROM (SELECT {RUN_DIR_SQL} AS run_dir, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, "
+    "event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE "
+    "THEN 1 ELSE 0 END AS brk FROM events) a) b GROUP BY run_dir, sid"))
+def stream_run_sessions(spark, sf_dir):
+    out = jobs.drain(jobs.run_sessions(_steps(spark, sf_dir)), "run-sessions", "complete")
+    r = spark.read.parquet(out)
+    return r.select("run_dir", F.date_format("s.start", S_TS).alias("session_start"),
+                    F.date_format("s.end", S_TS).alias("session_end"), "n_events")
+
+
+@query("stream_plateau_detector", oracle(
+    "SELECT run_dir, min(loss) AS best_loss, count(*) - min(CASE WHEN loss = ml THEN rn END) AS steps_since_best, "
+    "count(*) AS n_steps FROM (SELECT run_dir, loss, min(loss) OVER (PARTITION BY run_dir) AS ml, "
+    "row_number() OVER (PARTITION BY run_dir ORDER BY step) AS rn FROM run_steps) t GROUP BY run_dir", "run_steps"))
+def stream_plateau_detector(spark, sf_dir):
+    steps = spark.sql(PORTABLE["run_steps"][1].replace("row_number() OVER (PARTITION BY user_id ORDER BY ts, "
+                                                       "event_id) * 10", "event_id"),
+                      events=_events(spark, sf_dir))
+    out = jobs.drain(jobs.plateau_detector(steps), "plateau", "update")
+    return spark.read.parquet(out)
+
+
+@query("stream_append_prepared", oracle(
+    "SELECT doc_id, CASE WHEN (('0x' || substr(md5('3407:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10000) "
+    "< 500 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, text, CASE WHEN length(regexp_replace(text, "
+    "'^[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}"
+    "\\x{3000}]+|[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
+    "\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')) = 0 THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, "
+    "'^[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}"
+    "\\x{3000}]+|[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
+    "\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g'), '[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}"
+    "\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+')) END AS n FROM documents) d "
+    "WHERE n BETWEEN 10 AND 2048 AND NOT contains(text, '�') "
+    "AND NOT regexp_matches(text, '[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}]') "
+    "AND NOT regexp_matches(text, 'Ã.|â€')"))
+def stream_append_prepared(spark, sf_dir):
+    docs = jobs.file_stream(spark, f"{sf_dir}/documents.parquet")
+    out = jobs.drain(jobs.gate_and_split(docs), "prepared-stream", "append")
+    return spark.read.parquet(out).select("doc_id", "split")
