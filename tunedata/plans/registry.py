@@ -35,6 +35,7 @@ def load_all() -> dict[str, Query]:
         catalog_plans,
         dedup_plans,
         eval_plans,
+        ext_plans,
         format_plans,
         quality_plans,
         run_plans,
