@@ -36,13 +36,16 @@ def ngram_hashes(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))
 
 
-def space_shingles(c: str | Column, k: int) -> Column:
-    """Distinct k-word shingles of ``lower(text)`` split on single spaces, as strings."""
-    words = F.split(F.lower(col_(c)), " ")
-    last_start = F.size(words) - F.lit(k)
-    starts = F.when(last_start >= 0, F.sequence(F.lit(0), last_start)).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, k), " ")))
+def space_words(c: str | Column) -> Column:
+    """``lower(text)`` split on single spaces (the shingling tokenizer)."""
+    return F.split(F.lower(col_(c)), " ")
+
+
+def shingle_hashes(words: Column, k: int) -> Column:
+    """Distinct 64-bit hashes of the k-word shingles of a word array. Pass a *column reference* to
+    an array projected earlier, so the split runs once per row rather than once per window; the
+    de-duplication runs on longs (hash-set path) rather than on strings."""
+    return F.array_distinct(ngram_hashes(words, k))
 
 
 def md5_bucket(key: Column, seed: int | str, buckets: int = 10000) -> Column:

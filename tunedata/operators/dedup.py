@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunedata.functions.text import space_shingles
+from tunedata.functions.text import shingle_hashes, space_words
 
 DEFAULT_K = 5
 DEFAULT_THRESHOLD = 0.7
@@ -34,14 +35,16 @@ def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """``doc_id, sh`` (distinct 64-bit shingle hashes) for representative documents only."""
     reps = representatives(docs, doc_id, text).where(F.col("doc_id") == F.col("rep_id")).select("doc_id")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(reps, "doc_id", "left_semi")
-    return d.select("doc_id", F.explode(space_shingles("text", k)).alias("s")) \
-        .select("doc_id", F.xxhash64("s").alias("sh")).distinct()
+    words = d.select("doc_id", space_words("text").alias("w"))
+    return words.select("doc_id", F.explode(shingle_hashes(F.col("w"), k)).alias("sh"))
 
 
 def near_dup_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = DEFAULT_K,
                    threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """``doc_a, doc_b, jaccard`` for distinct texts with shingle Jaccard >= threshold (a < b)."""
-    sh = shingle_sets(docs, doc_id, text, k)
+    # The shingle table feeds four branches (frequency, sizes, prefixes, verification): keep it
+    # instead of re-splitting every text four times (evicted blocks are recomputed from lineage).
+    sh = shingle_sets(docs, doc_id, text, k).persist(StorageLevel.MEMORY_AND_DISK)
     freq = sh.groupBy("sh").agg(F.count(F.lit(1)).alias("f"))
     sized = sh.join(freq, "sh")
     n = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -74,7 +77,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # Materialise the edge list once (reliable checkpoint): every round re-reads it.
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct() \
+        .checkpoint(eager=True)
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")) \
         .select(F.col("a").alias("node"), "label")
     for i in range(max_iter):
