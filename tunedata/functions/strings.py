@@ -14,21 +14,33 @@ PY_WHITESPACE_CLASS = (
     r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
-_STRIP_RE = f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$"
+# The same set as literal characters, for ``translate`` (a per-character map, no regex).
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                       + "\u2028\u2029\u202f\u205f\u3000")
+_LEAD_RE = f"^{PY_WHITESPACE_CLASS}+"
 
 
 def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def spaces_for_whitespace(c: str | Column) -> Column:
+    """Every Python whitespace character replaced by a plain space (length preserved)."""
+    return F.translate(col_(c), PY_WHITESPACE_CHARS, " " * len(PY_WHITESPACE_CHARS))
+
+
 def py_strip(c: str | Column) -> Column:
-    """``s.strip()``: removes Unicode whitespace at both ends (``trim`` only removes spaces)."""
-    return F.regexp_replace(col_(c), _STRIP_RE, "")
+    """``s.strip()``: removes Unicode whitespace at both ends (``trim`` only removes spaces).
+
+    Two anchored leading-strips around a ``reverse``: an unanchored ``\\s+$`` would be tried at
+    every position of the text."""
+    lead = F.regexp_replace(col_(c), _LEAD_RE, "")
+    return F.reverse(F.regexp_replace(F.reverse(lead), _LEAD_RE, ""))
 
 
 def is_blank(c: str | Column) -> Column:
     """``not s.strip()`` for a string that is not null."""
-    return F.length(py_strip(c)) == 0
+    return F.length(F.trim(spaces_for_whitespace(c))) == 0
 
 
 def falsy_coalesce(*cols: str | Column, default: str = "") -> Column:

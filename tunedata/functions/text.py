@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tunedata.functions.strings import PY_WHITESPACE_CLASS, col_, py_strip
+from tunedata.functions.strings import col_, spaces_for_whitespace
 
 
 def whitespace_tokens(c: str | Column) -> Column:
-    """``s.split()``: split on runs of whitespace, no empty tokens; '' -> []."""
-    stripped = py_strip(c)
-    return F.when(F.length(stripped) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(stripped, PY_WHITESPACE_CLASS + "+"))
+    """``s.split()``: split on runs of whitespace, no empty tokens; '' -> [].
+
+    Whitespace is mapped to spaces with ``translate`` and split on a single space (no regex
+    engine); the empty pieces between adjacent separators are filtered out."""
+    return F.filter(F.split(spaces_for_whitespace(c), " "), lambda t: t != "")
 
 
 def whitespace_token_count(c: str | Column) -> Column:
