@@ -59,3 +59,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
                        is_contaminated().alias("contaminated"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@register("op1_url_filter", """
+WITH u AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+    ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'),
+    ('block', 'com/de/', 'com', '/de/')) AS t(action, rule, rhost, rpath)),
+m AS (SELECT u.page_id, max_by(struct_pack(action := r.action, rule := r.rule), length(r.rhost) * 100000 + length(r.rpath)) AS hit
+      FROM u JOIN r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath) GROUP BY u.page_id)
+SELECT u.page_id, u.host, u.path, m.hit.rule AS rule, coalesce(m.hit.action, 'allow') AS verdict
+FROM u LEFT JOIN m ON u.page_id = m.page_id
+""")
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
