@@ -9,6 +9,7 @@ from tunedata.llm.common import collapse_blanks, key_filter, mark_maybe, materia
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX_CHARS = 256
+SALTS = 32
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -50,8 +51,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = F.coalesce("_full", F.concat(F.lit("#"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
     groups = (rows.filter("_full is not null").groupBy(F.col("_full").alias("_gfull"), F.col("_len").alias("_glen"))
               .agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
-    rows = rows.withColumn("_key", key)
-    joined = rows.join(groups, (rows["_key"] == groups["_gfull"]) & (rows["_len"] == groups["_glen"]), "left")
+    # A group of copies is dealt over SALTS tasks; the groups, one row each, are repeated for that.
+    groups = groups.withColumn("_gsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_key", key).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    joined = rows.join(groups, (rows["_key"] == groups["_gfull"]) & (rows["_len"] == groups["_glen"])
+                       & (rows["_salt"] == groups["_gsalt"]), "left")
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return joined.select(F.col("_id").alias(id_col), keep.alias("keep_id"),
                          F.coalesce("_n", F.lit(1)).cast("bigint").alias("group_size"),
