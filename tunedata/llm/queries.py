@@ -82,3 +82,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@register("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.mixing import mix
+
+    taken, _ = mix(table(spark, sf_dir, "documents"))
+    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
