@@ -90,3 +90,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     taken, _ = mix(table(spark, sf_dir, "documents"))
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@register("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.site_quality import score_quality
+
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
