@@ -106,3 +106,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = extract_text(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@register("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.minhash_dedup import near_components
+
+    return near_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
