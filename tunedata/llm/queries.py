@@ -113,3 +113,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tunedata.llm.minhash_dedup import near_components
 
     return near_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
