@@ -92,13 +92,15 @@ def draw_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int
          .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / shard_slots)).cast("bigint"))
          .withColumn("offset", F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)))
 
+    parts = max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def upto(j: str) -> Column:
         return F.least(F.col("slots"), F.floor(F.col("slots") * F.expr(j) / F.col("shards") + F.col("offset"))).cast("bigint")
 
     drawn = (t.withColumn("shard", F.explode(F.expr("sequence(0L, shards - 1)")))
              .withColumn("lo", F.when(F.col("shard") == 0, 0).otherwise(upto("shard")))
              .withColumn("hi", F.when(F.col("shard") == F.col("shards") - 1, F.col("slots")).otherwise(upto("shard + 1")))
-             .filter("hi > lo").repartition("src", "shard"))  # sources are few, slots many
+             .filter("hi > lo").repartition(parts, "src", "shard"))  # sources are few, slots many
     slots = (drawn.withColumn("k", F.explode(F.expr("sequence(lo, hi - 1)")))
              .withColumn("pass", F.expr("k div blocks")).withColumn("at", F.expr("k % blocks"))
              .withColumn("block", F.pandas_udf(_permuted, "bigint")("at", "blocks", F.xxhash64("src", "pass", F.lit(seed)))))
