@@ -120,3 +120,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tunedata.llm.toxicity import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@register("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
