@@ -127,3 +127,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tunedata.llm.lm_score import score
 
     return score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op2_span_dedup")
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.span_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
