@@ -122,10 +122,10 @@ def _flushes(batches, limit: int) -> Iterator[tuple[int, pa.Array, pa.Array]]:
         yield number, pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
 
 
-def _deal_keys(shards: int):
+def _deal_keys(shards: int, flush_bytes: int):
     """The distinct keys of each flush, by shard."""
     def run(batches):
-        for number, _, texts in _flushes(batches, FLUSH_BYTES):
+        for number, _, texts in _flushes(batches, flush_bytes):
             found = [np.unique(Runs(raw, offsets).key) for _, _, raw, offsets in chunks(texts)]
             keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             shard = (keys % np.uint64(shards)).astype(np.int64)
@@ -153,11 +153,15 @@ def _shared_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
-def _texts(batches) -> Iterator[pa.RecordBatch]:
-    for number, ids, texts in _flushes(batches, FLUSH_BYTES):
-        sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1])
-        data = b"".join(raw.tobytes() for _, _, raw, _ in chunks(texts))
-        yield from _rows([(0, TEXT, number, _pack(ids.to_pylist(), sizes, data))]).to_batches()
+def _texts(flush_bytes: int):
+    """Each flush packed: ids, sizes and bytes."""
+    def run(batches):
+        for number, ids, texts in _flushes(batches, flush_bytes):
+            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1])
+            data = b"".join(raw.tobytes() for _, _, raw, _ in chunks(texts))
+            yield from _rows([(0, TEXT, number, _pack(ids.to_pylist(), sizes, data))]).to_batches()
+
+    return run
 
 
 def _split(data: bytes, sizes: np.ndarray) -> pa.Array:
@@ -219,7 +223,14 @@ def _cut_segments(shards: int):
     return run
 
 
-def _match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _match(index_bytes: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _match_shard(table, index_bytes)
+
+    return run
+
+
+def _match_shard(table: pa.Table, index_bytes: int) -> pa.Table:
     """Of one shard: which windows of each distinct segment an earlier document has."""
     flushes = table["flush"].to_pylist()
     parts = [_unpack(b.as_py()) for b in table["blob"]]
@@ -241,7 +252,7 @@ def _match(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     sizes = np.cumsum(length[first[todo]] + 1)
     cut, last = [0], 0
     for e in np.flatnonzero(np.diff(dk[todo], append=np.uint64(0)) != 0) + 1 if len(todo) else ():
-        if sizes[e - 1] - last >= INDEX_BYTES:
+        if sizes[e - 1] - last >= index_bytes:
             cut.append(int(e))
             last = sizes[e - 1]
     if cut[-1] != len(todo):
@@ -318,23 +329,25 @@ def _remove(id_kind: pa.DataType, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
+                   flush_bytes: int = FLUSH_BYTES, shard_bytes: int = SHARD_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``text``, what is left) for every row.
 
     A byte is removed when a string of WINDOW bytes over it also starts in a document of a smaller id.
 
     1. Each window has a key, the smallest hash of the ANCHOR-byte strings in it: equal windows have
        equal keys. Neighbouring windows mostly share a key. The distinct keys of each flush of about
-       FLUSH_BYTES go to the key's shard, which tells every flush what keys others have too.
+       ``flush_bytes`` go to the key's shard, which tells every flush what keys others have too.
     2. The flush cuts out the segments around shared keys. Distinct segments, with the smallest id that
        has each, go to the key's shard.
-    3. There segments of keys with several are put into run-length BWT indexes of about INDEX_BYTES, in order of their
+    3. There segments of keys with several are put into run-length BWT indexes of about ``index_bytes``, in order of their
        owners, and streamed through them: for each window the class of rows that agree on it gives
        the smallest owner.
     4. The verdicts go back to the flush, which cuts the bytes.
 
     A key that a third of all documents hold counts once per flush, and so do copies of a segment;
-    exact and near copies thus cost what they cost to read. The text is shuffled twice, packed.
+    exact and near copies thus cost what they cost to read. The text is shuffled twice, packed. ``docs`` is read three times and
+    has to have the same partitions each time, as a table has; materialize anything else first.
 
     Defined cases: null texts count as empty; texts under WINDOW bytes lose nothing; among rows that
     repeat an id none is smaller; a null id is smaller than all others; an empty table gives
@@ -345,14 +358,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, math.ceil(size / SHARD_BYTES), min(parts, math.ceil(size / (1 << 20))))
-    keys = rows.mapInArrow(_deal_keys(shards), _ROW).repartition(shards, "shard")
+    shards = max(1, math.ceil(size / shard_bytes), min(parts, math.ceil(size / (1 << 20))))
+    keys = rows.mapInArrow(_deal_keys(shards, flush_bytes), _ROW).repartition(shards, "shard")
     shared = keys.groupBy("shard").applyInArrow(_shared_keys, _ROW)
-    texts = rows.mapInArrow(_texts, _ROW)
-    flushes = max(1, math.ceil(size / FLUSH_BYTES), min(parts, math.ceil(size / (1 << 20))))
+    texts = rows.mapInArrow(_texts(flush_bytes), _ROW)
+    flushes = max(1, math.ceil(size / flush_bytes), min(parts, math.ceil(size / (1 << 20))))
     cut = (texts.unionByName(shared).repartition(flushes, "flush").groupBy("flush").applyInArrow(_cut_segments(shards), _ROW))
     cut = materialize(cut, "span-segments")
-    verdicts = (cut.filter(F.col("kind") == SEGMENTS).repartition(shards, "shard").groupBy("shard").applyInArrow(_match, _ROW))
+    verdicts = (cut.filter(F.col("kind") == SEGMENTS).repartition(shards, "shard").groupBy("shard").applyInArrow(_match(index_bytes), _ROW))
     last = texts.unionByName(cut.filter(F.col("kind") == PLACES)).unionByName(verdicts).repartition(flushes, "flush")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", text string" if with_text else "")
     return last.groupBy("flush").applyInArrow(_remove(kind, with_text), schema)
