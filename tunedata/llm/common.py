@@ -1,4 +1,4 @@
-"""Small helpers that several operators share."""
+"""Small helpers that several operators share. Helper columns beside a caller's own begin with __tdk."""
 
 from __future__ import annotations
 
@@ -41,34 +41,34 @@ FILTER_WORDS = 1 << 18
 
 
 def key_filter(keys: DataFrame, hashed: Column, words: int = FILTER_WORDS) -> DataFrame:
-    """A one-hash Bloom filter of ``hashed`` (bigint) as a table ``(_word, _bits)`` of at most
+    """A one-hash Bloom filter of ``hashed`` (bigint) as a table ``(__tdk_word, __tdk_bits)`` of at most
     ``words`` rows (16 bytes each), so that its broadcast is bounded whatever the number of keys.
     A fuller filter lets more rows through to the exact join behind it; it never loses one."""
-    h = keys.select(hashed.alias("_h"))
-    return (h.select(F.shiftrightunsigned("_h", 6).bitwiseAND(F.lit(words - 1)).alias("_word"),
-                     F.expr("shiftleft(1L, cast(_h & 63 as int))").alias("_bit"))
-            .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    h = keys.select(hashed.alias("__tdk_h"))
+    return (h.select(F.shiftrightunsigned("__tdk_h", 6).bitwiseAND(F.lit(words - 1)).alias("__tdk_word"),
+                     F.expr("shiftleft(1L, cast(__tdk_h & 63 as int))").alias("__tdk_bit"))
+            .groupBy("__tdk_word").agg(F.bit_or("__tdk_bit").alias("__tdk_bits")))
 
 
 def mark_maybe(df: DataFrame, hashed: Column, bits: DataFrame, flag: str, words: int = FILTER_WORDS) -> DataFrame:
     """Add boolean ``flag``: false only where ``hashed`` is certainly not among the filter's keys."""
-    return (df.withColumn("_h", hashed)
-            .withColumn("_word", F.shiftrightunsigned("_h", 6).bitwiseAND(F.lit(words - 1)))
-            .join(F.broadcast(bits), "_word", "left")
-            .withColumn(flag, F.expr("coalesce(shiftrightunsigned(_bits, cast(_h & 63 as int)) & 1, 0) = 1"))
-            .drop("_h", "_word", "_bits"))
+    return (df.withColumn("__tdk_h", hashed)
+            .withColumn("__tdk_word", F.shiftrightunsigned("__tdk_h", 6).bitwiseAND(F.lit(words - 1)))
+            .join(F.broadcast(bits), "__tdk_word", "left")
+            .withColumn(flag, F.expr("coalesce(shiftrightunsigned(__tdk_bits, cast(__tdk_h & 63 as int)) & 1, 0) = 1"))
+            .drop("__tdk_h", "__tdk_word", "__tdk_bits"))
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose id is in ``ids`` (a materialized one-column table). Only rows
     that pass the bounded key filter are shuffled for the exact anti-join; the others, text
     included, go straight through. A null id is never matched, so its row stays."""
-    ids = ids.select(F.col(id_col).alias("_gone")).filter("_gone is not null").distinct()
-    bits = key_filter(ids, F.xxhash64("_gone"))
-    marked = mark_maybe(docs, F.xxhash64(id_col), bits, "_maybe")
-    clear = marked.filter("not _maybe").drop("_maybe")
-    unclear = (marked.filter("_maybe").drop("_maybe")
-               .join(ids.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti"))
+    ids = ids.select(F.col(id_col).alias("__tdk_gone")).filter("__tdk_gone is not null").distinct()
+    bits = key_filter(ids, F.xxhash64("__tdk_gone"))
+    marked = mark_maybe(docs, F.xxhash64(id_col), bits, "__tdk_maybe")
+    clear = marked.filter("not __tdk_maybe").drop("__tdk_maybe")
+    unclear = (marked.filter("__tdk_maybe").drop("__tdk_maybe")
+               .join(ids.hint("shuffle_hash"), F.col(id_col) == F.col("__tdk_gone"), "left_anti"))
     return clear.unionByName(unclear)
 
 

@@ -116,11 +116,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, mode: s
         return without_ids(docs, gone, id_col)
     if mode != "spans":
         raise ValueError(f"mode must be documents or spans, not {mode!r}")
-    cut = hits.filter("n_hit > 0").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("hit_words").alias("_hit"))
-    joined = docs.join(cut, docs[id_col].eqNullSafe(cut["_id"]) & (F.xxhash64(text_of(docs[text_col])) == cut["_key"]), "left")
+    cut = hits.filter("n_hit > 0").select(F.col("id").alias("__tdk_id"), F.col("text_key").alias("__tdk_key"), F.col("hit_words").alias("__tdk_hit"))
+    joined = docs.join(cut, docs[id_col].eqNullSafe(cut["__tdk_id"]) & (F.xxhash64(text_of(docs[text_col])) == cut["__tdk_key"]), "left")
     # A piece is a word and the gap behind it; a leading gap stands alone in front.
     lead = F.regexp_extract(text_of(docs[text_col]), f"^{_CASED_GAP}*", 0)
     pieces = F.regexp_extract_all(text_of(docs[text_col]), F.lit(f"[^{_CASED_GAP[1:-1]}]+{_CASED_GAP}*"), F.lit(0))
-    left = F.concat(lead, F.concat_ws("", F.filter(pieces, lambda p, i: ~F.array_contains("_hit", i))))
-    return joined.select(*[F.when(F.col("_hit").isNull(), docs[c]).otherwise(left).alias(c) if c == text_col
+    left = F.concat(lead, F.concat_ws("", F.filter(pieces, lambda p, i: ~F.array_contains("__tdk_hit", i))))
+    return joined.select(*[F.when(F.col("__tdk_hit").isNull(), docs[c]).otherwise(left).alias(c) if c == text_col
                            else docs[c] for c in docs.columns])

@@ -113,8 +113,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], defa
             hits = [found.lookup(h, p) or (None, None) for h, p in zip(hosts, paths)]
             yield pd.DataFrame(hits, columns=["action", "rule"], dtype=object)
 
-    return (parsed.withColumn("_hit", look("host", "path"))
-            .withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.action", F.lit(default))}).drop("_hit"))
+    return (parsed.withColumn("__tdk_hit", look("host", "path"))
+            .withColumns({"rule": F.col("__tdk_hit.rule"), "verdict": F.coalesce("__tdk_hit.action", F.lit(default))}).drop("__tdk_hit"))
 
 
 def _by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
@@ -135,6 +135,6 @@ def _by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
              .select("host", "path", "_host", F.explode("_n").alias("_n"))
              .withColumn("_path", F.expr("substring(path, 1, _n)")))
     best = (tries.join(keyed, ["_host", "_path"]).groupBy("host", "path")
-            .agg(F.max_by("_r", F.struct(F.char_length("_host"), F.char_length("_path"))).alias("_hit")))
+            .agg(F.max_by("_r", F.struct(F.char_length("_host"), F.char_length("_path"))).alias("__tdk_hit")))
     return (parsed.join(best, ["host", "path"], "left")
-            .withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.action", F.lit(default))}).drop("_hit"))
+            .withColumns({"rule": F.col("__tdk_hit.rule"), "verdict": F.coalesce("__tdk_hit.action", F.lit(default))}).drop("__tdk_hit"))
