@@ -25,7 +25,7 @@ ANCHOR = 32
 #: Windows of one segment at most: its WINDOW + 13 bytes stay below the depth of the index.
 SEGMENT_WINDOWS = 14
 #: Bytes of text of one flush of a map task, of text per shard, and of one index.
-FLUSH_BYTES, SHARD_BYTES, INDEX_BYTES = 16 << 20, 12 << 20, 2 << 20
+FLUSH_BYTES, SHARD_BYTES, INDEX_BYTES = 6 << 20, 6 << 20, 1 << 20
 KEY_BITS = 40
 TEXT, KEYS, SHARED, SEGMENTS, PLACES, VERDICTS = range(6)
 _ALL = np.uint32(0xFFFFFFFF)
@@ -51,6 +51,11 @@ def _packed_keys(keys: np.ndarray) -> np.ndarray:
     return gaps.astype(np.uint32) if not len(gaps) or gaps.max() < 1 << 32 else gaps
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class Runs:
     """Runs of neighbouring windows with one key, in the texts of one chunk."""
 
@@ -126,8 +131,8 @@ def _deal_keys(shards: int, flush_bytes: int):
     """The distinct keys of each flush, by shard."""
     def run(batches):
         for number, _, texts in _flushes(batches, flush_bytes):
-            found = [np.unique(Runs(raw, offsets).key) for _, _, raw, offsets in chunks(texts)]
-            keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            found = [_distinct(Runs(raw, offsets).key) for _, _, raw, offsets in chunks(texts)]
+            keys = _distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             shard = (keys % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -143,11 +148,12 @@ def _shared_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Which keys of each flush another flush has too."""
     flushes = table["flush"].to_pylist()
     keys = [np.cumsum(_unpack(b.as_py())[0], dtype=np.uint64) for b in table["blob"]]
-    _, at, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    often, rows, begin = count[at] > 1, [], 0
+    every = np.sort(np.concatenate(keys))  # each flush has a key once
+    often = _distinct(every[1:][every[1:] == every[:-1]])
+    rows = []
     for flush, k in zip(flushes, keys):
-        hit = k[often[begin:begin + len(k)]]
-        begin += len(k)
+        at = np.minimum(np.searchsorted(often, k), max(len(often) - 1, 0))
+        hit = k[often[at] == k] if len(often) else often
         if len(hit):
             rows.append((0, SHARED, flush, _pack(_packed_keys(hit))))
     return _rows(rows)
@@ -183,8 +189,8 @@ def _cut_segments(shards: int):
         texts = _split(data, sizes)
         parts = [(begin, Runs(raw, offsets), offsets) for begin, _, raw, offsets in chunks(texts)]
         # A key that two texts of this flush have is shared too.
-        pairs = np.unique(np.concatenate([(r.key << np.uint64(24)) | (r.text + b).astype(np.uint64) for b, r, _ in parts])) >> np.uint64(24)
-        keys = np.unique(np.concatenate([*shared, pairs[1:][pairs[1:] == pairs[:-1]]]))
+        pairs = _distinct(np.concatenate([(r.key << np.uint64(24)) | (r.text + b).astype(np.uint64) for b, r, _ in parts])) >> np.uint64(24)
+        keys = _distinct(np.concatenate([*shared, pairs[1:][pairs[1:] == pairs[:-1]]]))
         if not len(keys):
             return _rows([])
         order_of = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)
