@@ -29,12 +29,12 @@ def norm_words(c: str | Column) -> Column:
     return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, " "))
 
 
-def ngram_hashes(words: Column, n: int) -> Column:
-    """64-bit hash of every contiguous ``n``-word window (empty when fewer than n words)."""
-    last_start = F.size(words) - F.lit(n)
-    starts = F.when(last_start >= 0, F.sequence(F.lit(0), last_start)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))
+def window_hashes(hashes: str, n: int) -> Column:
+    """Hash of every window of ``n`` elements of an array column of element hashes, so that each word is
+    hashed once however many windows it is in."""
+    last_start = F.size(hashes) - F.lit(n)
+    starts = F.when(last_start >= 0, F.sequence(F.lit(0), last_start)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(hashes), i + j) for j in range(n)]))
 
 
 def space_words(c: str | Column) -> Column:
@@ -46,7 +46,9 @@ def shingle_hashes(words: Column, k: int) -> Column:
     """Distinct 64-bit hashes of the k-word shingles of a word array. Pass a *column reference* to
     an array projected earlier, so the split runs once per row rather than once per window; the
     de-duplication runs on longs (hash-set path) rather than on strings."""
-    return F.array_distinct(ngram_hashes(words, k))
+    last_start = F.size(words) - F.lit(k)
+    starts = F.when(last_start >= 0, F.sequence(F.lit(0), last_start)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
 
 
 def md5_bucket(key: Column, seed: int | str, buckets: int = 10000) -> Column:

@@ -1,11 +1,11 @@
 """Benchmark contamination (D17): training rows that contain a benchmark passage verbatim.
 
-Candidate generation is exact with respect to the final ``contains`` test: if a document
-contains a passage, it contains every word n-gram of the passage's *interior* (the words after
-the first and before the last, which cannot be cut by the document's own word boundaries).
-So one interior n-gram per passage position is an anchor; documents are exploded into n-gram
-hashes and semi-joined against the anchors, then every candidate (doc, item) is verified with
-``contains`` on the full texts.
+Candidates are exact with respect to the final ``contains`` test. If a document contains a passage, it
+contains every word n-gram of the passage's *interior* (the words after the first and before the
+last, which the document's own word boundaries cannot cut), so one of them per passage is enough
+to find it: its anchor. A passage of one or two words has no interior; its anchor is its first few
+characters. Documents' windows are hashed and joined to the anchors, and every candidate
+is verified with ``contains``; only texts of candidate documents take part in that.
 """
 
 from __future__ import annotations
@@ -13,50 +13,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunedata.functions.text import ngram_hashes, norm_words
+from tunedata.functions.text import norm_words, window_hashes
+from tunedata.operators.keyfilter import rows_with, rows_without, written
 
 DEFAULT_N = 13
-BROADCAST_ROWS = 2_000_000  # anchors / candidates above this go through a shuffle join
-
-
-def _maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only after counting: the side must be proven small."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+#: Characters of the anchor of a passage without interior words.
+CHARS = 8
 
 
 def passage_anchors(bench: DataFrame, id_col: str, text_col: str, n: int = DEFAULT_N) -> DataFrame:
-    """``item_id, k, h``: hashes of the interior k-grams of every passage (k = min(n, interior))."""
-    w = bench.select(F.col(id_col).alias("item_id"), norm_words(text_col).alias("w"))
-    interior = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    w = w.withColumn("inner", interior).withColumn("k", F.least(F.lit(n), F.size("inner")))
-    w = w.where(F.col("k") >= 1)
-    hashed = w.select("item_id", "k", F.explode(
-        F.transform(F.sequence(F.lit(0), F.size("inner") - F.col("k")),
-                    lambda i: F.xxhash64(F.array_join(F.slice("inner", i + 1, F.col("k")), " ")))).alias("h"))
-    return hashed.distinct()
+    """``item_id, unit, k, h``: one anchor per passage, ``unit`` word or char, of ``k`` units. Null
+    and empty passages have none and are never found."""
+    w = (bench.where(F.length(text_col) > 0).select(F.col(id_col).alias("item_id"), F.col(text_col).alias("t"), norm_words(text_col).alias("w"))
+         .withColumn("inner", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))))
+    word = w.where("size(inner) > 0").withColumn("unit", F.lit("word")).withColumn("k", F.least(F.lit(n), F.size("inner")))
+    char = (w.where("size(inner) = 0").withColumn("inner", F.split("t", "")).withColumn("unit", F.lit("char"))
+            .withColumn("k", F.least(F.lit(CHARS), F.size("inner"))))
+    both = word.unionByName(char).withColumn("part", F.transform(F.slice("inner", F.lit(1), F.col("k")), lambda x: F.xxhash64(x)))
+    hashed = None
+    for k in range(1, max(n, CHARS) + 1):
+        at_k = both.where(F.col("k") == k).select("item_id", "unit", "k", F.element_at(window_hashes("part", k), 1).alias("h"))
+        hashed = at_k if hashed is None else hashed.unionByName(at_k)
+    return hashed
 
 
 def contaminated_pairs(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
                        item_id: str = "item_id", item_text: str = "text", n: int = DEFAULT_N) -> DataFrame:
     """``doc_id, item_id`` for every document containing a passage verbatim."""
-    anchors = passage_anchors(bench, item_id, item_text, n)
-    lengths = sorted(r[0] for r in anchors.select("k").distinct().collect())  # at most n small ints
-    anchors_b = _maybe_broadcast(anchors)
-    words = docs.select(F.col(doc_id).alias("doc_id"), norm_words(doc_text).alias("w"))
+    # Written, so that its measured size decides whether it is broadcast.
+    anchors = written(passage_anchors(bench, item_id, item_text, n), "anchors")
+    kinds = sorted((r["unit"], r["k"]) for r in anchors.select("unit", "k").distinct().collect())  # n + CHARS at most
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_text"))
+    if not kinds:
+        return texts.join(anchors.select("item_id"), F.lit(False)).select("doc_id", "item_id")
+    units = {"word": lambda: norm_words("_text"), "char": lambda: F.split("_text", "")}
     cands = None
-    for k in lengths:
-        grams = words.select("doc_id", F.explode(ngram_hashes(F.col("w"), k)).alias("h"))
-        hit = grams.join(anchors_b.where(F.col("k") == k), "h").select("doc_id", "item_id")
-        cands = hit if cands is None else cands.unionByName(hit)
-    if cands is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
-    cands = cands.distinct()
-    passages = bench.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_ptext"))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_dtext"))
-    checked = (cands.join(texts, "doc_id").join(passages, "item_id")
-               .where(F.col("_dtext").contains(F.col("_ptext"))))
+    for unit in sorted({u for u, _ in kinds}):
+        parts = texts.select("doc_id", F.transform(units[unit](), lambda x: F.xxhash64(x)).alias("part"))
+        for k in [k for u, k in kinds if u == unit]:
+            grams = parts.select("doc_id", F.explode(window_hashes("part", k)).alias("h"))
+            hit = grams.join(anchors.where((F.col("unit") == unit) & (F.col("k") == k)), "h").select("doc_id", "item_id")
+            cands = hit if cands is None else cands.unionByName(hit)
+    cands = written(cands.distinct(), "candidates")
+    passages = bench.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_passage"))
+    checked = (rows_with(texts, cands.select("doc_id").distinct(), "doc_id").join(cands, "doc_id").join(passages, "item_id")
+               .where(F.col("_text").contains(F.col("_passage"))))
     return checked.select("doc_id", "item_id")
 
 
 def decontaminate(docs: DataFrame, pairs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    return docs.join(pairs.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+    gone = written(pairs.select(F.col("doc_id").alias(doc_id)).distinct(), "contaminated")
+    return rows_without(docs, gone, doc_id)

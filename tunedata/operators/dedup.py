@@ -1,24 +1,22 @@
 """Near-duplicate detection (D10) and clustering (D11).
 
 Pairs are *exact*: word-shingle Jaccard >= threshold, found with prefix filtering (an all-pairs
-set-similarity join from the literature): order shingles globally from rare to common; a
-document of ``n`` shingles keeps its first ``n - ceil(t*n) + 1`` shingles as its prefix; any pair
-with Jaccard >= t shares at least one prefix shingle. Candidates therefore come from an
-equi-join on prefix shingles (rare shingles, short posting lists) plus a length filter, and every
-candidate is verified on the full shingle sets. Exact copies are collapsed to one
-representative first (a partial aggregate), so a hot group of identical texts never turns into
-all-pairs work; copies join their representative's cluster in D11.
+set-similarity join from the literature). Each document is one row: the array of its distinct
+shingle hashes, ordered from rare to common over the corpus. A document of ``n`` shingles keeps the
+first ``n - ceil(t*n) + 1`` as its prefix; any pair with Jaccard >= t shares one of them, and at the
+first one shared enough shingles are still to come in both. Every candidate is verified on the
+full arrays. Exact copies are left out first (a partial aggregate) and join the cluster of the copy
+that stands for them in D11.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import shingle_hashes, space_words
+from tunedata.operators.components import connected_components
+from tunedata.operators.keyfilter import rows_without, written
 
 DEFAULT_K = 5
 DEFAULT_THRESHOLD = 0.7
@@ -31,84 +29,63 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return keyed.join(reps, "text_key")
 
 
-def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = DEFAULT_K) -> DataFrame:
-    """``doc_id, sh`` (distinct 64-bit shingle hashes) for representative documents only."""
-    reps = representatives(docs, doc_id, text).where(F.col("doc_id") == F.col("rep_id")).select("doc_id")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(reps, "doc_id", "left_semi")
-    words = d.select("doc_id", space_words("text").alias("w"))
-    return words.select("doc_id", F.explode(shingle_hashes(F.col("w"), k)).alias("sh"))
+def shingle_arrays(docs: DataFrame, copies: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+    """``doc_id, n, sh``: one row per distinct text of ``k`` words or more; copies do not move text. The
+    arrays are written first: a filter on them would be pushed down with the whole expression in it."""
+    d = rows_without(docs.select("doc_id", "text"), copies, "doc_id")
+    sets = d.select("doc_id", space_words("text").alias("w")).select("doc_id", shingle_hashes(F.col("w"), k).alias("sh"))
+    return written(sets, "shingles").select("doc_id", F.size("sh").alias("n"), "sh").where("n > 0")
+
+
+def _links(sets: DataFrame, threshold: float) -> DataFrame:
+    """``doc_a, doc_b, jaccard`` (unrounded) for pairs of shingle arrays."""
+    flat = sets.select("doc_id", "n", F.explode("sh").alias("s"))
+    # A shingle of one document can make no pair: it only fills the front of the order.
+    freq = flat.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = flat.join(freq, "s").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1  # its first n - size(o) places are such shingles
+    posts = (shared.withColumn("alone", F.col("n") - F.size("o")).where(prefix > F.col("alone"))
+             .select("doc_id", "n", "alone", F.posexplode(F.slice("o", F.lit(1), (prefix - F.col("alone")).cast("int"))).alias("p", "x"))
+             .select("doc_id", "n", (F.col("alone") + F.col("p")).alias("at"), F.col("x.s").alias("s")))
+    posts = written(posts, "near-prefixes")
+    a = posts.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("na"), F.col("at").alias("ia"), "s")
+    b = posts.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "s")
+    need = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    cands = (a.join(b, "s").where("doc_a < doc_b")
+             .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+             .where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
+             .select("doc_a", "doc_b").distinct())
+    both = (cands.join(sets.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("na"), F.col("sh").alias("sa")), "doc_a")
+            .join(sets.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("nb"), F.col("sh").alias("sb")), "doc_b"))
+    inter = F.size(F.array_intersect("sa", "sb"))
+    return (both.select("doc_a", "doc_b", (inter / (F.col("na") + F.col("nb") - inter)).alias("jaccard"))
+            .where(F.col("jaccard") >= threshold - 1e-12))
+
+
+def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
 
 def near_dup_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = DEFAULT_K,
                    threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """``doc_a, doc_b, jaccard`` for distinct texts with shingle Jaccard >= threshold (a < b)."""
-    # The shingle table feeds four branches (frequency, sizes, prefixes, verification): keep it
-    # instead of re-splitting every text four times (evicted blocks are recomputed from lineage).
-    sh = shingle_sets(docs, doc_id, text, k).persist(StorageLevel.MEMORY_AND_DISK)
-    freq = sh.groupBy("sh").agg(F.count(F.lit(1)).alias("f"))
-    sized = sh.join(freq, "sh")
-    n = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    prefix_len = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    per_doc = Window.partitionBy("doc_id").orderBy("f", "sh")
-    pref = (sized.join(n, "doc_id").withColumn("r", F.row_number().over(per_doc))
-            .where(F.col("r") <= prefix_len).select("doc_id", "sh", "n"))
-    a = pref.select(F.col("doc_id").alias("doc_a"), "sh", F.col("n").alias("na"))
-    b = pref.select(F.col("doc_id").alias("doc_b"), "sh", F.col("n").alias("nb"))
-    cands = (a.join(b, "sh").where(F.col("doc_a") < F.col("doc_b"))
-             .where((F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9)))
-             .select("doc_a", "doc_b", "na", "nb").distinct())
-    # Exact overlap of each candidate: join the full shingle sets on (doc, shingle).
-    sa = sh.select(F.col("doc_id").alias("doc_a"), "sh")
-    sb = sh.select(F.col("doc_id").alias("doc_b"), "sh")
-    inter = (cands.select("doc_a", "doc_b").join(sa, "doc_a").join(sb, ["doc_b", "sh"])
-             .groupBy("doc_a", "doc_b").agg(F.count(F.lit(1)).alias("inter")))
-    j = inter.join(cands, ["doc_a", "doc_b"])
-    jac = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
-    return j.where(jac >= F.lit(threshold) - F.lit(1e-12)).select("doc_a", "doc_b", F.round(jac, 6).alias("jaccard"))
-
-
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iter: int = 100,
-                         checkpoint_every: int = 3) -> DataFrame:
-    """``node, component`` (smallest node id of the component) by iterative min-label propagation.
-
-    Each round is one join + one grouped ``min``; the number of changed labels is the only value
-    returned to the driver. Lineage is cut with reliable checkpoints in the shared folder."""
-    from tunedata.session import checkpoint_dir
-
-    checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    # Materialise the edge list once (reliable checkpoint): every round re-reads it.
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct() \
-        .checkpoint(eager=True)
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")) \
-        .select(F.col("a").alias("node"), "label")
-    for i in range(max_iter):
-        prop = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("nl")), "b") \
-            .groupBy("a").agg(F.min("nl").alias("nl"))
-        new = labels.join(prop.select(F.col("a").alias("node"), "nl"), "node", "left") \
-            .select("node", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        if (i + 1) % checkpoint_every == 0:
-            new = new.checkpoint(eager=True)
-        changed = new.join(labels.select("node", F.col("label").alias("old")), "node") \
-            .where(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+    """``doc_a, doc_b, jaccard`` for distinct texts with shingle Jaccard >= threshold (a < b).
+
+    The result itself lists all pairs of a family of near copies; D11 gives its clusters."""
+    d = _named(docs, doc_id, text)
+    copies = written(representatives(d).where("doc_id <> rep_id").select("doc_id"), "copies")
+    sets = shingle_arrays(d, copies, k)
+    return _links(sets, threshold).select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def near_dup_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = DEFAULT_K,
                       threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """``doc_id, cluster_id`` for every document in a group of exact or near duplicates
     (cluster id = smallest document id of the cluster); keep ``doc_id == cluster_id`` to dedup."""
-    reps = representatives(docs, doc_id, text).select("doc_id", "rep_id")
-    pairs = near_dup_pairs(docs, doc_id, text, k, threshold)
-    comp = connected_components(pairs, "doc_a", "doc_b")
+    d = _named(docs, doc_id, text)
+    reps = written(representatives(d).select("doc_id", "rep_id"), "representatives")
+    sets = shingle_arrays(d, reps.where("doc_id <> rep_id").select("doc_id"), k)
+    comp = connected_components(_links(sets, threshold), "doc_a", "doc_b")
     j = reps.join(comp.select(F.col("node").alias("rep_id"), "component"), "rep_id", "left")
-    cl = j.select("doc_id", F.coalesce("component", "rep_id").alias("cluster_id"))
+    cl = written(j.select("doc_id", F.coalesce("component", "rep_id").alias("cluster_id")), "clusters")
     size = cl.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
     return cl.join(size.where(F.col("_n") > 1), "cluster_id").select("doc_id", "cluster_id")
-
-
-def prefix_length(n: int, threshold: float) -> int:
-    return n - math.ceil(n * threshold - 1e-9) + 1

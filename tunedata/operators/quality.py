@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tunedata.functions.strings import col_, is_blank, is_empty_value
 from tunedata.functions.text import whitespace_token_count
 from tunedata.operators import catalog as cat
+from tunedata.operators.keyfilter import rows_without, written
 
 # Audit thresholds and messages of the reference summary.
 SMALL_DATASET_ROWS = 1000
@@ -168,6 +169,31 @@ def encoding_flags(c: str | Column) -> list[Column]:
     return [F.instr(c, REPLACEMENT_CHAR) > 0, c.rlike(CONTROL_CHARS_RE), c.rlike(MOJIBAKE_RE)]
 
 
+def gate_reasons(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, reason, digest``: the first check that a row fails on its own (null: none), in one pass."""
+    n = token_count(text_col)
+    rep, ctl, moj = encoding_flags(text_col)
+    reason = (F.when(F.col(text_col).isNull() | is_blank(text_col), "empty")
+              .when(n < MIN_TOKENS, "too_short").when(n > MAX_SEQ_LENGTH, "too_long").when(rep | ctl | moj, "encoding"))
+    return df.select(F.col(id_col).alias("id"), reason.alias("reason"), content_key([text_col]).alias("digest"))
+
+
+def gate_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, reason`` of every row, ``kept`` for those that pass and are the first of their text. Only
+    (id, reason, digest) is shuffled."""
+    rows = written(gate_reasons(df, id_col, text_col), "gate")
+    first = rows.where("reason is null").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    j = rows.join(first.select(F.col("digest").alias("d"), "first"), (F.col("digest") == F.col("d")) & F.col("reason").isNull(), "left")
+    out = F.coalesce("reason", F.when(F.col("id") > F.col("first"), "duplicate"), F.lit("kept"))
+    return j.select(F.col("id").alias(id_col), out.alias("reason"))
+
+
+def gate(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The kept rows, all columns, and ``(id, reason)`` of the rejected ones."""
+    rejected = written(gate_rows(df, id_col, text_col).where("reason <> 'kept'"), "rejected")
+    return rows_without(df, rejected, id_col), rejected
+
+
 def pair_difference(chosen: str | Column, rejected: str | Column) -> list[Column]:
     """identical after normalisation, whitespace-token Jaccard, shorter/longer length ratio."""
     from tunedata.functions.text import whitespace_tokens

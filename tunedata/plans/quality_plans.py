@@ -312,13 +312,22 @@ def quality_label_profile(spark, sf_dir):
     f"GROUP BY 1"))
 def quality_gate(spark, sf_dir):
     """One pass of the pre-training checks with the first failing reason per row."""
-    d = Views(spark, sf_dir).documents
-    kept_ids = q.exact_dedup(d, ["text"], "doc_id").select("doc_id", F.lit(True).alias("_first"))
-    n = q.token_count("text")
-    rep, ctl, moj = q.encoding_flags("text")
-    j = d.join(kept_ids, "doc_id", "left")
-    reason = (F.when(is_blank("text"), "empty")
-              .when(n < q.MIN_TOKENS, "too_short").when(n > q.MAX_SEQ_LENGTH, "too_long")
-              .when(rep | ctl | moj, "encoding").when(F.col("_first").isNull(), "duplicate"))
-    return j.select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason") \
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = q.gate_reasons(Views(spark, sf_dir).documents, "doc_id", "text")
+    # Copies have one digest and one reason: all but one of a digest's passing rows are duplicates.
+    g = rows.groupBy("digest", "reason").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.when(F.col("reason").isNotNull(), F.array(F.struct(F.col("reason"), F.col("n")))).otherwise(
+        F.array(F.struct(F.lit("kept").alias("reason"), F.lit(1).cast("bigint").alias("n")),
+                F.struct(F.lit("duplicate").alias("reason"), (F.col("n") - 1).alias("n"))))
+    return (g.select(F.inline(parts)).where("n > 0").groupBy("reason").agg(F.sum("n").alias("n_rows")))
+
+
+@query("quality_gate_rows", oracle(
+    f"SELECT doc_id, coalesce(reason, 'kept') AS reason FROM (SELECT doc_id, "
+    f"CASE WHEN length({d_strip('text')}) = 0 THEN 'empty' "
+    f"WHEN {d_ntok('text')} < 10 THEN 'too_short' WHEN {d_ntok('text')} > 2048 THEN 'too_long' "
+    f"WHEN contains(text, '�') OR regexp_matches(text, '{q.CONTROL_CHARS_RE}') "
+    f"OR regexp_matches(text, '{q.MOJIBAKE_RE}') THEN 'encoding' "
+    f"WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN 'duplicate' END AS reason FROM documents) g"))
+def quality_gate_rows(spark, sf_dir):
+    """Kept and rejected rows with their reason; ``q.gate`` returns the rows themselves."""
+    return q.gate_rows(Views(spark, sf_dir).documents, "doc_id", "text")
