@@ -142,3 +142,13 @@ def ntile_of(rn: Column, n: Column, k: int) -> Column:
     big = rem * (size + 1)
     return F.when(rn <= big, F.floor((rn - 1) / (size + 1)) + 1) \
         .otherwise(rem + F.floor((rn - big - 1) / F.greatest(size, F.lit(1))) + 1).cast("int")
+
+
+def pick_run(summaries: DataFrame, which: str = "best") -> DataFrame:
+    """One run: ``best`` by rank, ``latest`` by the number at the end of its name, or a run by name."""
+    if which == "best":
+        return summaries.orderBy(*rank_order()).limit(1)
+    if which == "latest":
+        number = F.regexp_extract("run_dir", "([0-9]+)$", 1).try_cast("bigint")
+        return summaries.orderBy(number.desc_nulls_last(), F.col("run_dir").desc()).limit(1)
+    return summaries.where(F.col("run_dir") == which)

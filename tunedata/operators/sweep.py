@@ -90,7 +90,8 @@ def fit_batch(size_b: Column, lora_r: Column, batch: Column, seq: Column, vram:
     """Halve the batch until the rounded estimate fits 90 % of VRAM; batch 1 is not checked.
 
     Candidates ``batch >> i`` are generated as an array and the first fitting one is taken."""
-    cands = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.floor(batch / F.pow(F.lit(2), i)).cast("int"))
+    halvings = F.ceil(F.log2(F.greatest(batch, F.lit(1)))).cast("int")
+    cands = F.transform(F.sequence(F.lit(0), halvings), lambda i: F.floor(batch / F.pow(F.lit(2), i)).cast("int"))
     cands = F.filter(cands, lambda b: b >= 1)
 
     def fits(b: Column) -> Column:

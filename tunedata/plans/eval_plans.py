@@ -203,10 +203,10 @@ RUN_BASE_MODELS = [("base-0", "Llama 3.2 1B"), ("base-1", "Qwen 2.5 7B"), ("base
 
 @query("expected_score_gap", oracle(
     "SELECT e.run_dir, a.base_model, round(e.accuracy, 6) AS accuracy, b.lo, b.hi, "
-    "round(CASE WHEN e.accuracy < b.lo THEN e.accuracy - b.lo WHEN e.accuracy > b.hi THEN e.accuracy - b.hi "
-    "ELSE 0.0 END, 6) AS gap FROM run_evals e JOIN run_configs c ON e.run_dir = c.run_dir "
-    "JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in RUN_BASE_MODELS) + ") AS a(model, base_model) "
-    "ON c.model = a.model JOIN (VALUES " + ", ".join(f"('{m}', {lo}, {hi})" for m, lo, hi in mt.EXPECTED_MMLU)
+    "round(CASE WHEN b.lo IS NULL THEN NULL WHEN e.accuracy < b.lo THEN e.accuracy - b.lo "
+    "WHEN e.accuracy > b.hi THEN e.accuracy - b.hi ELSE 0.0 END, 6) AS gap "
+    "FROM run_evals e LEFT JOIN run_configs c ON e.run_dir = c.run_dir LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in RUN_BASE_MODELS) + ") AS a(model, base_model) "
+    "ON c.model = a.model LEFT JOIN (VALUES " + ", ".join(f"('{m}', {lo}, {hi})" for m, lo, hi in mt.EXPECTED_MMLU)
     + ") AS b(base_model, lo, hi) ON a.base_model = b.base_model WHERE e.benchmark = 'mmlu'",
     "run_evals", "run_configs"))
 def expected_score_gap(spark, sf_dir):
@@ -214,10 +214,11 @@ def expected_score_gap(spark, sf_dir):
     alias = spark.createDataFrame(RUN_BASE_MODELS, "model string, base_model string")
     bands = spark.createDataFrame(mt.EXPECTED_MMLU, "base_model string, lo double, hi double")
     e = v.run_evals.where(F.col("benchmark") == "mmlu").select("run_dir", "accuracy")
-    j = (e.join(v.run_configs.select("run_dir", "model"), "run_dir")
-         .join(F.broadcast(alias), "model").join(F.broadcast(bands), "base_model"))
+    # A run whose base model has no published band stays, without a gap.
+    j = (e.join(v.run_configs.select("run_dir", "model"), "run_dir", "left")
+         .join(F.broadcast(alias), "model", "left").join(F.broadcast(bands), "base_model", "left"))
     acc = F.col("accuracy")
-    gap = F.when(acc < F.col("lo"), acc - F.col("lo")).when(acc > F.col("hi"), acc - F.col("hi")).otherwise(0.0)
+    gap = F.when(F.col("lo").isNull(), F.lit(None)).when(acc < F.col("lo"), acc - F.col("lo")).when(acc > F.col("hi"), acc - F.col("hi")).otherwise(0.0)
     return j.select("run_dir", "base_model", F.round(acc, 6).alias("accuracy"), "lo", "hi",
                     F.round(gap, 6).alias("gap"))
 

@@ -161,20 +161,29 @@ def length_distribution(spark, sf_dir):
 
 
 @query("length_moments", oracle(
-    "SELECT n_docs, round(mu, 6) AS mean_tokens, round(sqrt(m2 - mu * mu), 6) AS std_tokens, "
-    "round((m3 - 3 * mu * m2 + 2 * mu * mu * mu) / pow(m2 - mu * mu, 1.5), 6) AS skewness "
-    f"FROM (SELECT count(*) AS n_docs, avg(CAST(n AS DOUBLE)) AS mu, avg(CAST(n AS DOUBLE) * n) AS m2, "
-    f"avg(CAST(n AS DOUBLE) * n * n) AS m3 FROM (SELECT {d_ntok('text')} AS n FROM documents) t) s"))
+    "SELECT count(*) AS n_docs, round(avg(n), 6) AS mean_tokens, round(stddev_pop(n), 6) AS std_tokens, "
+    "round(sum(pow((n - mu) / sd, 3)) / count(*), 6) AS skewness "
+    f"FROM (SELECT *, avg(n) OVER () AS mu, stddev_pop(n) OVER () AS sd FROM (SELECT {d_ntok('text')} AS n FROM documents) t) s"))
 def length_moments(spark, sf_dir):
-    """Mean, population std-dev and skewness from raw moments: partial aggregates only."""
-    n = q.token_count("text").cast("double")
-    d = Views(spark, sf_dir).documents.select(n.alias("n"))
-    m = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mu"), F.avg(F.col("n") * F.col("n")).alias("m2"),
-              F.avg(F.col("n") * F.col("n") * F.col("n")).alias("m3"))
-    mu, m2, m3 = F.col("mu"), F.col("m2"), F.col("m3")
-    var = m2 - mu * mu
-    return m.select("n_docs", F.round(mu, 6).alias("mean_tokens"), F.round(F.sqrt(var), 6).alias("std_tokens"),
-                    F.round((m3 - 3 * mu * m2 + 2 * mu * mu * mu) / F.pow(var, 1.5), 6).alias("skewness"))
+    """Mean, population std-dev and skewness by Spark's own single-pass central moments."""
+    d = Views(spark, sf_dir).documents.select(q.token_count("text").cast("double").alias("n"))
+    return d.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("mean_tokens"),
+                 F.round(F.stddev_pop("n"), 6).alias("std_tokens"), F.round(F.skewness("n"), 6).alias("skewness"))
+
+
+_PERCENTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+@query("length_percentiles", oracle(
+    " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS p, round(quantile_cont(n, {p}), 6) AS n_tokens FROM "
+                       f"(SELECT {d_ntok('text')} AS n FROM documents) t" for p in _PERCENTS)))
+def length_percentiles(spark, sf_dir):
+    """Exact percentiles: Spark's aggregate counts distinct lengths, so its state is bounded by the
+    longest text. ``approx_percentile`` is the cheaper choice where a small error will do."""
+    d = Views(spark, sf_dir).documents.select(q.token_count("text").alias("n"))
+    found = d.agg(F.percentile("n", F.array(*[F.lit(p) for p in _PERCENTS])).alias("v"))
+    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in _PERCENTS]).alias("p"), F.col("v"))
+    return found.select(F.explode(pairs).alias("x")).select(F.col("x.p").alias("p"), F.round(F.col("x.v"), 6).alias("n_tokens"))
 
 
 @query("truncation_report", oracle(

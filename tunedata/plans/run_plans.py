@@ -140,8 +140,16 @@ def diagnose_runs(spark, sf_dir):
     "ON r.run_dir = fl.run_dir WHERE r.rank = 1", *VIEWS))
 def pick_diagnosis_target(spark, sf_dir):
     s = _summaries(spark, sf_dir)
-    best = s.orderBy(*rn.rank_order()).limit(1)
-    d = _diagnosed(spark, sf_dir, best)
+    d = _diagnosed(spark, sf_dir, rn.pick_run(s, "best"))
+    return d.select("run_dir", _joined(F.col("issues")).alias("issues"))
+
+
+@query("pick_diagnosis_latest", oracle(
+    ctes(D_PM, D_S, D_FLAGS) + f"SELECT s.run_dir, {_ISSUES} AS issues FROM s LEFT JOIN fl ON s.run_dir = fl.run_dir "
+    "ORDER BY TRY_CAST(regexp_extract(s.run_dir, '([0-9]+)$', 1) AS BIGINT) DESC NULLS LAST, s.run_dir DESC LIMIT 1", *VIEWS))
+def pick_diagnosis_latest(spark, sf_dir):
+    """The newest run instead of the best one; ``rn.pick_run`` also takes a run by name."""
+    d = _diagnosed(spark, sf_dir, rn.pick_run(_summaries(spark, sf_dir), "latest"))
     return d.select("run_dir", _joined(F.col("issues")).alias("issues"))
 
 
@@ -175,15 +183,15 @@ def next_run_number(spark, sf_dir):
 
 
 @query("efficiency_rank", oracle(
-    ctes(D_PM, D_S) + "SELECT run_dir, rank() OVER (ORDER BY train_time_seconds) AS time_rank, "
+    ctes(D_PM, D_S) + "SELECT run_dir, rank() OVER (ORDER BY train_time_seconds NULLS LAST) AS time_rank, "
     "round(primary_metric / (train_time_seconds / 3600.0), 6) AS metric_per_hour FROM s", *VIEWS))
 def efficiency_rank(spark, sf_dir):
     """SQL ``rank()`` without a global window: global positions, then the first position of each
     distinct value (partial aggregate) joined back."""
     s = _summaries(spark, sf_dir).select("run_dir", "train_time_seconds", "primary_metric")
-    pos = global_positions(s, [F.col("train_time_seconds").asc(), F.col("run_dir").asc()], "_pos")
-    first = pos.groupBy("train_time_seconds").agg(F.min("_pos").alias("time_rank"))
-    return pos.join(first, "train_time_seconds").select(
+    pos = global_positions(s, [F.col("train_time_seconds").asc_nulls_last(), F.col("run_dir").asc()], "_pos")
+    first = pos.groupBy(F.col("train_time_seconds").alias("_t")).agg(F.min("_pos").alias("time_rank"))
+    return pos.join(first, F.col("train_time_seconds").eqNullSafe(F.col("_t"))).select(
         "run_dir", F.col("time_rank").cast("int").alias("time_rank"),
         F.round(F.col("primary_metric") / (F.col("train_time_seconds") / 3600.0), 6).alias("metric_per_hour"))
 

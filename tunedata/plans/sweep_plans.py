@@ -267,22 +267,34 @@ RUN_BASE_SIZES = [("base-0", 1.0), ("base-1", 7.0), ("base-2", 8.0), ("base-3",
 SFT_LR_BANDS = [(0.0, 1.0, "<1B", 1e-4, 5e-4), (1.0, 3.0, "1B-3B", 1e-4, 4e-4), (3.0, 8.0, "3B-8B", 5e-5, 3e-4),
                 (8.0, 13.0, "8B-13B", 2e-5, 2e-4), (13.0, 34.0, "13B-34B", 1e-5, 1e-4),
                 (34.0, None, "34B+", 5e-6, 5e-5)]
+# DPO and ORPO starting rates and the range to explore, by model size band [lo_b, hi_b).
+# lo_b, hi_b, band, dpo_start, orpo_start, lo_lr, hi_lr
+PREFERENCE_LR_BANDS = [(0.0, 1.0, "<1B", 1e-4, 2e-4, 5e-5, 3e-4), (1.0, 3.0, "1B-3B", 5e-5, 1e-4, 2e-5, 2e-4),
+                       (3.0, 8.0, "3B-8B", 5e-5, 8e-5, 2e-5, 1e-4), (8.0, 13.0, "8B-13B", 2e-5, 4e-5, 5e-6, 5e-5),
+                       (13.0, None, "13B+", 1e-5, 2e-5, 1e-6, 2e-5)]
+
+
+def sized(runs: DataFrame) -> DataFrame:
+    """Runs with ``size_b``: the size their base model stands for, else the one its name tells."""
+    sizes = runs.sparkSession.createDataFrame(RUN_BASE_SIZES, "model string, known_b double")
+    return (runs.join(F.broadcast(sizes), "model", "left")
+            .withColumn("size_b", F.coalesce("known_b", sw.parse_model_size("model"))).drop("known_b"))
 
 
 @query("lr_lint", oracle(
-    "SELECT c.run_dir, a.size_b, b.band, c.learning_rate, b.lo_lr, b.hi_lr, "
-    "c.learning_rate < b.lo_lr OR c.learning_rate > b.hi_lr AS outside FROM run_configs c JOIN (VALUES "
-    + ", ".join(f"('{m}', {s})" for m, s in RUN_BASE_SIZES) + ") AS a(model, size_b) ON c.model = a.model "
+    "SELECT c.run_dir, c.size_b, b.band, c.learning_rate, b.lo_lr, b.hi_lr, "
+    "c.learning_rate < b.lo_lr OR c.learning_rate > b.hi_lr AS outside FROM (SELECT c.*, coalesce(a.size_b, " + D_SIZE.replace("model", "c.model")
+    + ") AS size_b FROM run_configs c LEFT JOIN (VALUES "
+    + ", ".join(f"('{m}', {s})" for m, s in RUN_BASE_SIZES) + ") AS a(model, size_b) ON c.model = a.model) c "
     "JOIN (VALUES " + ", ".join(f"({lo}, {'NULL' if hi is None else hi}, '{n}', {l1}, {l2})"
                                for lo, hi, n, l1, l2 in SFT_LR_BANDS)
-    + ") AS b(lo_b, hi_b, band, lo_lr, hi_lr) ON a.size_b >= b.lo_b AND (b.hi_b IS NULL OR a.size_b < b.hi_b)",
+    + ") AS b(lo_b, hi_b, band, lo_lr, hi_lr) ON c.size_b >= b.lo_b AND (b.hi_b IS NULL OR c.size_b < b.hi_b)",
     "run_configs"))
 def lr_lint(spark, sf_dir):
     """Range join of each run's model size to the learning-rate band table (6 rows, broadcast)."""
     c = Views(spark, sf_dir).run_configs
-    sizes = spark.createDataFrame(RUN_BASE_SIZES, "model string, size_b double")
     bands = spark.createDataFrame(SFT_LR_BANDS, "lo_b double, hi_b double, band string, lo_lr double, hi_lr double")
-    j = c.join(F.broadcast(sizes), "model")
+    j = sized(c)
     cond = (j.size_b >= bands.lo_b) & (bands.hi_b.isNull() | (j.size_b < bands.hi_b))
     k = j.join(F.broadcast(bands), cond)
     return k.select("run_dir", "size_b", "band", "learning_rate", "lo_lr", "hi_lr",
@@ -290,6 +302,26 @@ def lr_lint(spark, sf_dir):
                     .alias("outside"))
 
 
+@query("preference_lr_lint", oracle(
+    "SELECT c.run_dir, b.band, c.learning_rate, b.dpo_start, b.orpo_start, b.lo_lr, b.hi_lr, "
+    "c.learning_rate < b.lo_lr OR c.learning_rate > b.hi_lr AS outside FROM (SELECT c.*, coalesce(a.size_b, " + D_SIZE.replace("model", "c.model")
+    + ") AS size_b FROM run_configs c LEFT JOIN (VALUES "
+    + ", ".join(f"('{m}', {s})" for m, s in RUN_BASE_SIZES) + ") AS a(model, size_b) ON c.model = a.model) c JOIN (VALUES "
+    + ", ".join(f"({lo}, {'NULL' if hi is None else hi}, '{n}', {d}, {o}, {l1}, {l2})"
+                for lo, hi, n, d, o, l1, l2 in PREFERENCE_LR_BANDS)
+    + ") AS b(lo_b, hi_b, band, dpo_start, orpo_start, lo_lr, hi_lr) ON c.size_b >= b.lo_b "
+    "AND (b.hi_b IS NULL OR c.size_b < b.hi_b)", "run_configs"))
+def preference_lr_lint(spark, sf_dir):
+    """What each run's learning rate would be as a DPO or ORPO run: its band, starting rates and range."""
+    bands = spark.createDataFrame(PREFERENCE_LR_BANDS, "lo_b double, hi_b double, band string, dpo_start double, "
+                                  "orpo_start double, lo_lr double, hi_lr double")
+    j = sized(Views(spark, sf_dir).run_configs)
+    k = j.join(F.broadcast(bands), (j.size_b >= bands.lo_b) & (bands.hi_b.isNull() | (j.size_b < bands.hi_b)))
+    lr = F.col("learning_rate")
+    return k.select("run_dir", "band", "learning_rate", "dpo_start", "orpo_start", "lo_lr", "hi_lr",
+                    ((lr < F.col("lo_lr")) | (lr > F.col("hi_lr"))).alias("outside"))
+
+
 # The documented OOM recovery ladder, applied cumulatively (gradient checkpointing
 # does not change the estimate's formula; it is kept as a step).
 D_FLAGS_OOM = ("fl AS (SELECT run_dir, bool_or(contains(lower(line), 'out of memory') OR contains(lower(line), "
@@ -314,7 +346,7 @@ def _ladder(batch, r):
 
 
 @query("oom_recovery_ladder", oracle(
-    "WITH " + D_FLAGS_OOM + ", c AS (SELECT c.*, a.size_b FROM run_configs c JOIN (VALUES "
+    "WITH " + D_FLAGS_OOM + ", c AS (SELECT c.*, coalesce(a.size_b, " + D_SIZE.replace("model", "c.model") + ") AS size_b FROM run_configs c LEFT JOIN (VALUES "
     + ", ".join(f"('{m}', {s})" for m, s in RUN_BASE_SIZES) + ") AS a(model, size_b) ON c.model = a.model "
     "JOIN fl ON c.run_dir = fl.run_dir WHERE fl.has_oom), "
     "l AS (SELECT c.run_dir, s.step, s.action, CASE WHEN s.step = 0 THEN batch_size WHEN s.step = 1 THEN "
@@ -332,8 +364,7 @@ def oom_recovery_ladder(spark, sf_dir):
     of the device, evaluated per row over an array of candidate configs (no shuffle)."""
     v = Views(spark, sf_dir)
     oom = rn.log_flags(v.run_logs).where("has_oom").select("run_dir")
-    sizes = spark.createDataFrame(RUN_BASE_SIZES, "model string, size_b double")
-    c = v.run_configs.join(oom, "run_dir", "left_semi").join(F.broadcast(sizes), "model")
+    c = sized(v.run_configs.join(oom, "run_dir", "left_semi"))
     actions = F.array(F.lit("current config"), *[F.lit(a) for a in OOM_LADDER])
 
     def with_total(x):

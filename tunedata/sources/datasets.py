@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SUFFIXES = (".json", ".jsonl", ".csv", ".parquet", ".txt")
 
@@ -32,25 +33,22 @@ def path_status(spark: SparkSession, path: str) -> str:
     return "dir" if fs.getFileStatus(p).isDirectory() else "file"
 
 
-def _starts_with_array(spark: SparkSession, path: str) -> bool:
-    """Peek at the first non-blank byte of a single JSON file (a few bytes to the driver)."""
-    p, fs = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        for _ in range(4096):
-            b = stream.read()
-            if b < 0:
-                return False
-            if chr(b) not in " \t\r\n﻿":
-                return chr(b) == "["
-        return False
-    finally:
-        stream.close()
+def _array_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """``(files that hold one JSON array, other files)``: by the first character of a file that is no
+    blank, wherever it stands. One pass over the lines; only the file names come to the driver,
+    which lists them for every read anyway."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"),
+                                         F.regexp_extract("value", r"^[\s\uFEFF]*(\S)", 1).alias("first"))
+    found = lines.where("first <> ''").groupBy("file").agg(F.min_by("first", "at").alias("first")).collect()
+    return [r["file"] for r in found if r["first"] == "["], [r["file"] for r in found if r["first"] != "["]
 
 
 def _json(spark, path, status):
-    multi = status == "file" and _starts_with_array(spark, path)
-    return spark.read.option("multiLine", multi).json(path)
+    arrays, others = _array_files(spark, path)
+    if not arrays:
+        return spark.read.json(path)
+    rows = spark.read.option("multiLine", True).json(arrays)  # an array is one task, however long
+    return rows.unionByName(spark.read.json(others), allowMissingColumns=True) if others else rows
 
 
 def _jsonl(spark, path, status):
