@@ -21,20 +21,20 @@ from tunedata.llm.tokens import chunks, mix64, powers
 
 WINDOW = 50
 #: A window is dealt by the smallest hash of its strings of ANCHOR bytes.
-ANCHOR = 32
-#: Windows of one segment at most: its WINDOW + 13 bytes stay below the depth of the index.
-SEGMENT_WINDOWS = 14
+ANCHOR = 24
+#: Windows of one segment at most: its WINDOW + 26 bytes stay below the depth of the index.
+SEGMENT_WINDOWS = 27
 #: Bytes of text of one flush of a map task, of text per shard, and of one index.
 FLUSH_BYTES, SHARD_BYTES, INDEX_BYTES = 6 << 20, 6 << 20, 1 << 20
 KEY_BITS = 40
-TEXT, KEYS, SHARED, SEGMENTS, PLACES, VERDICTS = range(6)
+TEXT, KEYS, SHARED, SEGMENTS, VERDICTS, WHOLE, COPIES = range(7)
 _ALL = np.uint32(0xFFFFFFFF)
 _ROW = "shard int, kind int, flush bigint, blob binary"
 _SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("flush", pa.int64()), ("blob", pa.binary())])
 
 
 def _pack(*arrays) -> bytes:
-    return zstd.compress(pickle.dumps(arrays, protocol=5), 1)
+    return zstd.compress(pickle.dumps(arrays, protocol=5), 3)
 
 
 def _unpack(blob: bytes) -> tuple:
@@ -56,6 +56,11 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
+def _order(ids: pa.Array) -> np.ndarray:
+    """Ids as numbers to compare, null before all others."""
+    return np.array([-(1 << 63) if i is None else i for i in ids.to_pylist()], np.int64)
+
+
 class Runs:
     """Runs of neighbouring windows with one key, in the texts of one chunk."""
 
@@ -128,9 +133,15 @@ def _flushes(batches, limit: int) -> Iterator[tuple[int, pa.Array, pa.Array]]:
 
 
 def _deal_keys(shards: int, flush_bytes: int):
-    """The distinct keys of each flush, by shard."""
+    """The distinct keys of each flush, by shard; and the digests of its whole texts, by theirs."""
     def run(batches):
-        for number, _, texts in _flushes(batches, flush_bytes):
+        for number, ids, texts in _flushes(batches, flush_bytes):
+            whole = np.array([hashlib.blake2b(t.as_buffer() or b"", digest_size=16).digest() for t in texts], "S16").view(np.uint64).reshape(-1, 2)
+            place = (whole[:, 0] % np.uint64(shards)).astype(np.int64)
+            owner = _order(ids)
+            for s in np.unique(place).tolist():
+                mine = np.flatnonzero(place == s)
+                yield from _rows([(s, WHOLE, number, _pack(whole[mine], owner[mine], mine.astype(np.uint16)))]).to_batches()
             found = [_distinct(Runs(raw, offsets).key) for _, _, raw, offsets in chunks(texts)]
             keys = _distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             shard = (keys % np.uint64(shards)).astype(np.int64)
@@ -144,10 +155,35 @@ def _deal_keys(shards: int, flush_bytes: int):
     return run
 
 
+def _copies(flushes: list[int], parts: list[tuple]) -> list[tuple]:
+    """Which texts of each flush equal a text of a smaller id."""
+    whole, owner = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    at = np.lexsort((owner, whole[:, 1], whole[:, 0]))
+    w = whole[at]
+    new = np.concatenate([[True], (w[1:] != w[:-1]).any(axis=1)])
+    least = np.empty(len(owner), np.int64)
+    least[at] = owner[at][np.flatnonzero(new)][np.cumsum(new) - 1]
+    rows, begin = [], 0
+    for flush, p in zip(flushes, parts):
+        n = len(p[1])
+        gone = p[2][p[1] > least[begin:begin + n]]
+        begin += n
+        if len(gone):
+            rows.append((0, COPIES, flush, _pack(gone)))
+    return rows
+
+
 def _shared_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Which keys of each flush another flush has too."""
-    flushes = table["flush"].to_pylist()
-    keys = [np.cumsum(_unpack(b.as_py())[0], dtype=np.uint64) for b in table["blob"]]
+    """Which keys of each flush another flush has too, and which of its texts are copies."""
+    kinds = np.array(table["kind"].to_pylist())
+    every_flush, blobs = table["flush"].to_pylist(), table["blob"]
+    wholes = np.flatnonzero(kinds == WHOLE)
+    copies = _copies([every_flush[i] for i in wholes], [_unpack(blobs[i].as_py()) for i in wholes]) if len(wholes) else []
+    which = np.flatnonzero(kinds == KEYS)
+    if not len(which):
+        return _rows(copies)
+    flushes = [every_flush[i] for i in which]
+    keys = [np.cumsum(_unpack(blobs[i].as_py())[0], dtype=np.uint64) for i in which]
     every = np.sort(np.concatenate(keys))  # each flush has a key once
     often = _distinct(every[1:][every[1:] == every[:-1]])
     rows = []
@@ -156,7 +192,7 @@ def _shared_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         hit = k[often[at] == k] if len(often) else often
         if len(hit):
             rows.append((0, SHARED, flush, _pack(_packed_keys(hit))))
-    return _rows(rows)
+    return _rows(rows + copies)
 
 
 def _texts(flush_bytes: int):
@@ -175,55 +211,71 @@ def _split(data: bytes, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _cut_segments(shards: int):
-    """Of one flush: the segments around shared keys, each distinct one once with its smallest id, by
-    shard; and all their places, for the last step."""
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        number, text, shared = key[0].as_py(), None, []
+class Flush:
+    """The texts of one flush and the places of their segments around shared keys."""
+
+    def __init__(self, table: pa.Table):
+        shared, copies, self.verdicts = [], [], []
         for kind, blob in zip(table["kind"].to_pylist(), table["blob"]):
+            part = _unpack(blob.as_py())
             if kind == TEXT:
-                text = _unpack(blob.as_py())
+                self.ids, self.sizes, self.data = part
+            elif kind == SHARED:
+                shared.append(np.cumsum(part[0], dtype=np.uint64))
+            elif kind == COPIES:
+                copies.append(part[0])
             else:
-                shared.append(np.cumsum(_unpack(blob.as_py())[0], dtype=np.uint64))
-        ids, sizes, data = text
-        texts = _split(data, sizes)
-        parts = [(begin, Runs(raw, offsets), offsets) for begin, _, raw, offsets in chunks(texts)]
+                self.verdicts.append(part)
+        self.order = np.array([-(1 << 63) if i is None else i for i in self.ids], np.int64)
+        self.copy = np.zeros(len(self.ids), bool)
+        self.copy[np.concatenate(copies).astype(np.int64) if copies else []] = True
+        texts = _split(self.data, self.sizes)
+        self.parts = [(begin, Runs(raw, offsets), offsets) for begin, _, raw, offsets in chunks(texts)]
+        live = [(r.key, r.text + b) for b, r, _ in self.parts]
+        key, text = np.concatenate([x[0] for x in live]), np.concatenate([x[1] for x in live])
+        mine = ~self.copy[text]
         # A key that two texts of this flush have is shared too.
-        pairs = _distinct(np.concatenate([(r.key << np.uint64(24)) | (r.text + b).astype(np.uint64) for b, r, _ in parts])) >> np.uint64(24)
+        pairs = _distinct((key[mine] << np.uint64(24)) | text[mine].astype(np.uint64)) >> np.uint64(24)
         keys = _distinct(np.concatenate([*shared, pairs[1:][pairs[1:] == pairs[:-1]]]))
-        if not len(keys):
-            return _rows([])
-        order_of = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)
         found = []
-        for begin, r, offsets in parts:
-            at = np.minimum(np.searchsorted(keys, r.key), len(keys) - 1)
-            start, windows, owner, k, digest = r.segments(np.flatnonzero(keys[at] == r.key))
-            found.append((start, windows, owner + begin, k, digest, start - offsets[owner], begin))
-        windows, owner, k, digest, place = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3, 4, 5))
-        chunk = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        start = np.concatenate([f[0] for f in found])
-        distinct, first, at = np.unique(digest, return_index=True, return_inverse=True)
-        least = np.full(len(distinct), (1 << 63) - 1, np.int64)
-        np.minimum.at(least, at, order_of[owner])
-        rows = [(0, PLACES, number, _pack(at.astype(np.uint32), owner.astype(np.uint16), place.astype(np.uint32), windows.astype(np.uint8)))]
-        shard = (k[first] % np.uint64(shards)).astype(np.int64)
+        for begin, r, offsets in self.parts:
+            at = np.minimum(np.searchsorted(keys, r.key), max(len(keys) - 1, 0))
+            hit = (keys[at] == r.key) & ~self.copy[r.text + begin] if len(keys) else np.zeros(len(r.key), bool)
+            start, windows, owner, k, digest = r.segments(np.flatnonzero(hit))
+            found.append((start, windows, owner + begin, k, digest, start - offsets[owner]))
+        self.start, self.windows, self.owner, self.key, digest, self.place = (np.concatenate([f[i] for f in found]) for i in range(6))
+        self.chunk = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        self.digest, self.first, self.at = np.unique(digest, return_index=True, return_inverse=True)
+        self.least = np.full(len(self.digest), (1 << 63) - 1, np.int64)
+        np.minimum.at(self.least, self.at, self.order[self.owner])
+
+    def bytes_of(self, which: np.ndarray) -> np.ndarray:
+        """The bytes of segments, one behind the other."""
+        length = self.windows[which] + WINDOW - 1
+        out = np.empty(int(length.sum()), np.uint8)
+        to = np.cumsum(length) - length
+        for c in np.unique(self.chunk[which]):
+            mine = np.flatnonzero(self.chunk[which] == c)
+            n = length[mine]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(to[mine], n) + inner] = self.parts[c][1].raw[np.repeat(self.start[which[mine]], n) + inner]
+        return out
+
+
+def _cut_segments(shards: int):
+    """Of one flush: the segments around shared keys, each distinct one once with its smallest id, by shard."""
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        f = Flush(table)
+        shard = (f.key[f.first] % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        rows = []
         for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if b == a:
-                continue
-            part = order[a:b]
-            f = first[part]
-            length = windows[f] + WINDOW - 1
-            text_bytes = np.empty(int(length.sum()), np.uint8)
-            to = np.cumsum(length) - length
-            for c in np.unique(chunk[f]):
-                mine = np.flatnonzero(chunk[f] == c)
-                n = length[mine]
-                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                text_bytes[np.repeat(to[mine], n) + inner] = parts[c][1].raw[np.repeat(start[f[mine]], n) + inner]
-            rows.append((s, SEGMENTS, number, _pack(part.astype(np.uint32), k[f], distinct[part], least[part],
-                                                    windows[f].astype(np.uint8), text_bytes)))
+            if b > a:
+                part = order[a:b]
+                which = f.first[part]
+                rows.append((s, SEGMENTS, key[0].as_py(), _pack(
+                    part.astype(np.uint32), f.key[which], f.digest[part], f.least[part], f.windows[which].astype(np.uint8), f.bytes_of(which))))
         return _rows(rows)
 
     return run
@@ -285,36 +337,25 @@ def _remove(id_kind: pa.DataType, with_text: bool):
                         ("kept_sha256", pa.string()), *([("text", pa.string())] if with_text else [])])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        text = places = None
-        verdicts = []
-        for kind, blob in zip(table["kind"].to_pylist(), table["blob"]):
-            if kind == TEXT:
-                text = _unpack(blob.as_py())
-            elif kind == PLACES:
-                places = _unpack(blob.as_py())
-            else:
-                verdicts.append(_unpack(blob.as_py()))
-        ids, sizes, data = text
+        f = Flush(table)  # the same segments, in the same order, as when they were cut
+        ids, sizes, data = f.ids, f.sizes, f.data
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        gone = np.zeros(len(data) + 1, bool)
-        if places is not None:
-            at, owner, place, windows = places
-            owner = owner.astype(np.int64)
-            order_of = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)
-            mask = np.zeros(int(at.max()) + 1, np.uint32)
-            for which, verdict in verdicts:
-                mask[which] = verdict
-            # Within the flush only the smallest id can be the first owner.
-            least = np.full(len(mask), (1 << 63) - 1, np.int64)
-            np.minimum.at(least, at, order_of[owner])
-            mine = np.where(order_of[owner] > least[at], _ALL, mask[at])
-            edge = np.zeros(len(data) + 1, np.int32)
-            base = offsets[owner] + place
-            for j in range(SEGMENT_WINDOWS):
-                hit = base[(j < windows) & (mine >> np.uint32(j) & np.uint32(1) == 1)] + j
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + WINDOW, -1)
-            gone = np.cumsum(edge) > 0
+        mask = np.zeros(len(f.digest), np.uint32)
+        for which, verdict in f.verdicts:
+            mask[which] = verdict
+        # Within the flush only the smallest id can be the first owner.
+        mine = np.where(f.order[f.owner] > f.least[f.at], _ALL, mask[f.at])
+        edge = np.zeros(len(data) + 1, np.int32)
+        base = offsets[f.owner] + f.place
+        for j in range(SEGMENT_WINDOWS):
+            hit = base[(j < f.windows) & (mine >> np.uint32(j) & np.uint32(1) == 1)] + j
+            np.add.at(edge, hit, 1)
+            np.add.at(edge, hit + WINDOW, -1)
+        # A copy of an earlier text goes whole, if there is a window in it.
+        whole = np.flatnonzero(f.copy & (sizes >= WINDOW))
+        np.add.at(edge, offsets[whole], 1)
+        np.add.at(edge, offsets[whole + 1], -1)
+        gone = np.cumsum(edge) > 0
         raw = np.frombuffer(data, np.uint8)
         removed, spans, digests, kept_texts = [], [], [], []
         total = np.concatenate([[0], np.cumsum(gone[:len(data)])])
@@ -351,8 +392,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        the smallest owner.
     4. The verdicts go back to the flush, which cuts the bytes.
 
-    A key that a third of all documents hold counts once per flush, and so do copies of a segment;
-    exact and near copies thus cost what they cost to read. The text is shuffled twice, packed. ``docs`` is read three times and
+    Whole texts that equal one of a smaller id are found by their digests in step 1 and go whole. A key
+    that a third of all documents hold counts once per flush, and so does a segment; exact and near
+    copies thus cost what they cost to read. The last step cuts its segments anew, as in step 2. The text is shuffled twice, packed. ``docs`` is read three times and
     has to have the same partitions each time, as a table has; materialize anything else first.
 
     Defined cases: null texts count as empty; texts under WINDOW bytes lose nothing; among rows that
@@ -369,9 +411,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = keys.groupBy("shard").applyInArrow(_shared_keys, _ROW)
     texts = rows.mapInArrow(_texts(flush_bytes), _ROW)
     flushes = max(1, math.ceil(size / flush_bytes), min(parts, math.ceil(size / (1 << 20))))
-    cut = (texts.unionByName(shared).repartition(flushes, "flush").groupBy("flush").applyInArrow(_cut_segments(shards), _ROW))
-    cut = materialize(cut, "span-segments")
-    verdicts = (cut.filter(F.col("kind") == SEGMENTS).repartition(shards, "shard").groupBy("shard").applyInArrow(_match(index_bytes), _ROW))
-    last = texts.unionByName(cut.filter(F.col("kind") == PLACES)).unionByName(verdicts).repartition(flushes, "flush")
+    shared = materialize(shared, "span-shared")
+    verdicts = (texts.unionByName(shared).repartition(flushes, "flush").groupBy("flush").applyInArrow(_cut_segments(shards), _ROW)
+                .repartition(shards, "shard").groupBy("shard").applyInArrow(_match(index_bytes), _ROW))
+    last = texts.unionByName(shared).unionByName(verdicts).repartition(flushes, "flush")
     schema = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", text string" if with_text else "")
     return last.groupBy("flush").applyInArrow(_remove(kind, with_text), schema)
