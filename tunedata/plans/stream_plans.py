@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tunedata.operators.metrics import argmax_first
 from tunedata.plans.registry import query
 from tunedata.plans.views import PORTABLE, RUN_DIR_SQL, oracle
+from tunedata.session import scratch_path
 from tunedata.streaming import jobs
 
 D_TS = "strftime(%s, '%%Y-%%m-%%d %%H:%%M:%%S.%%f')"
@@ -32,7 +33,7 @@ def stream_running_eval(spark, sf_dir):
     s = jobs.file_stream(spark, f"{sf_dir}/embeddings.parquet")
     rows = s.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
                     (argmax_first(F.slice("embedding", 1, 4)) == (F.col("label") % 4)).alias("correct"))
-    out = jobs.drain(jobs.running_eval(rows, "category"), "running-eval", "complete")
+    out = jobs.drain(jobs.running_eval(rows, "category"), scratch_path(spark, "running-eval"), output_mode="complete")
     return spark.read.parquet(out)
 
 
@@ -44,15 +45,17 @@ def stream_running_eval(spark, sf_dir):
 def stream_log_alerts(spark, sf_dir):
     """The log view's projection applied to the event stream, then the alert rules."""
     lines = spark.sql(PORTABLE["run_logs"][1], events=_events(spark, sf_dir))
-    out = jobs.drain(jobs.log_alerts(lines), "log-alerts", "append")
+    out = jobs.drain(jobs.log_alerts(lines), scratch_path(spark, "log-alerts"), output_mode="append")
     return spark.read.parquet(out).select("run_dir", "issue")
 
 
 @query("stream_loss_windows", oracle(
     f"SELECT {RUN_DIR_SQL} AS run_dir, {D_TS % 'time_bucket(INTERVAL 1 DAY, ts)'} AS window_start, count(*) AS n, "
-    "round(avg(value), 6) AS mean_loss FROM events GROUP BY 1, 2"))
+    "round(avg(value), 6) AS mean_loss FROM events GROUP BY 1, time_bucket(INTERVAL 1 DAY, ts) "
+    "HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"))
 def stream_loss_windows(spark, sf_dir):
-    out = jobs.drain(jobs.loss_windows(_steps(spark, sf_dir)), "loss-windows", "complete")
+    """Append mode: a window comes out once the watermark has passed it; later rows are dropped."""
+    out = jobs.drain(jobs.loss_windows(_steps(spark, sf_dir)), scratch_path(spark, "loss-windows"), output_mode="append")
     r = spark.read.parquet(out)
     return r.select("run_dir", F.date_format("w.start", S_TS).alias("window_start"), "n",
                     F.round("mean_loss", 6).alias("mean_loss"))
@@ -63,9 +66,11 @@ def stream_loss_windows(spark, sf_dir):
     "count(*) AS n_events FROM (SELECT run_dir, ts, sum(brk) OVER (PARTITION BY run_dir ORDER BY ts, event_id) AS sid "
     f"FROM (SELECT {RUN_DIR_SQL} AS run_dir, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, "
     "event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE "
-    "THEN 1 ELSE 0 END AS brk FROM events) a) b GROUP BY run_dir, sid"))
+    "THEN 1 ELSE 0 END AS brk FROM events) a) b GROUP BY run_dir, sid "
+    "HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"))
 def stream_run_sessions(spark, sf_dir):
-    out = jobs.drain(jobs.run_sessions(_steps(spark, sf_dir)), "run-sessions", "complete")
+    """Append mode: a session comes out, and leaves the state, once the watermark has passed its end."""
+    out = jobs.drain(jobs.run_sessions(_steps(spark, sf_dir)), scratch_path(spark, "run-sessions"), output_mode="append")
     r = spark.read.parquet(out)
     return r.select("run_dir", F.date_format("s.start", S_TS).alias("session_start"),
                     F.date_format("s.end", S_TS).alias("session_end"), "n_events")
@@ -79,8 +84,8 @@ def stream_plateau_detector(spark, sf_dir):
     steps = spark.sql(PORTABLE["run_steps"][1].replace("row_number() OVER (PARTITION BY user_id ORDER BY ts, "
                                                        "event_id) * 10", "event_id"),
                       events=_events(spark, sf_dir))
-    out = jobs.drain(jobs.plateau_detector(steps), "plateau", "update")
-    return spark.read.parquet(out)
+    out = jobs.drain(jobs.plateau_detector(steps), scratch_path(spark, "plateau"), output_mode="update")
+    return jobs.latest(spark, out, "run_dir")
 
 
 @query("stream_append_prepared", oracle(
@@ -98,5 +103,5 @@ def stream_plateau_detector(spark, sf_dir):
     "AND NOT regexp_matches(text, 'Ã.|â€')"))
 def stream_append_prepared(spark, sf_dir):
     docs = jobs.file_stream(spark, f"{sf_dir}/documents.parquet")
-    out = jobs.drain(jobs.gate_and_split(docs), "prepared-stream", "append")
+    out = jobs.drain(jobs.gate_and_split(docs), scratch_path(spark, "prepared-stream"), output_mode="append")
     return spark.read.parquet(out).select("doc_id", "split")

@@ -2,14 +2,15 @@
 
 Each function takes a *streaming* DataFrame and returns a streaming DataFrame (or starts a
 query), so the same transformation runs over a file/Kafka source on a cluster. ``drain`` runs a
-query with ``availableNow`` into a checkpointed sink under the shared folder: restarts resume
-from the checkpoint (exactly-once file sink), and lost executors only redo their tasks.
+query with ``availableNow`` into a checkpointed sink that the caller names: restarts resume
+from the checkpoint, and lost executors only redo their tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunedata.operators import quality as q
 from tunedata.operators import runs as rn
-from tunedata.session import scratch_path
 
 
 def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -79,36 +79,52 @@ def run_sessions(steps: DataFrame, gap: str = "30 minutes", delay: str = "1 hour
 
 
 # ---------------------------------------------------------------- S5
-PLATEAU_STATE = "best_loss double, steps_since_best long, n_steps long, last_step long"
+PLATEAU_STATE = "best_loss double, best_step long, steps binary"
 PLATEAU_OUT = "run_dir string, best_loss double, steps_since_best long, n_steps long"
 
 
-def _plateau_update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per run: best loss so far and steps since it last improved (strictly lower loss)."""
+def _plateau_update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState,
+                    ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """Per run: the lowest loss, at its first step, and the steps logged after that step.
+
+    Steps may arrive in any order, also in an earlier or later micro-batch: the state keeps the sorted
+    numbers of all steps of a live run (8 bytes each), so the result depends on the set of steps
+    alone. A step seen before is a replay and is passed over."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    best, at, steps = float("inf"), 0, np.zeros(0, np.int64)
     if state.exists:
-        best, since, n, last = state.get
-    else:
-        best, since, n, last = float("inf"), 0, 0, -1
-    parts = [b for b in batches]
-    rows = pd.concat(parts).sort_values("step") if parts else pd.DataFrame(columns=["step", "loss"])
-    for step, loss in zip(rows["step"].tolist(), rows["loss"].tolist()):
-        if step <= last:  # a replayed or out-of-order step is counted once
-            continue
-        n += 1
-        last = step
-        if loss < best:
-            best, since = loss, 0
-        else:
-            since += 1
-    state.update((best, since, n, last))
-    yield pd.DataFrame({"run_dir": [key[0]], "best_loss": [best], "steps_since_best": [since], "n_steps": [n]})
-
-
-def plateau_detector(steps: DataFrame) -> DataFrame:
+        best, at, raw = state.get
+        steps = np.frombuffer(raw, np.int64)
+    for rows in batches:
+        rows = rows.dropna(subset=["step"]).drop_duplicates("step")
+        rows = rows[~rows["step"].isin(steps)]
+        steps = np.union1d(steps, rows["step"].to_numpy(np.int64))
+        known = rows.dropna(subset=["loss"]).sort_values(["loss", "step"])
+        if len(known):
+            loss, step = float(known["loss"].iloc[0]), int(known["step"].iloc[0])
+            if (loss, step) < (best, at):
+                best, at = loss, step
+    state.update((best, at, steps.tobytes()))
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
+    yield pd.DataFrame({"run_dir": [key[0]], "best_loss": [best], "steps_since_best": [int((steps > at).sum())],
+                        "n_steps": [len(steps)]})
+
+
+def plateau_detector(steps: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Custom per-run state with ``applyInPandasWithState`` (state survives restarts through the
-    query checkpoint); emits the current state of every run updated in a micro-batch."""
+    query checkpoint); emits the current state of every run updated in a micro-batch.
+
+    A query that runs on gives ``ttl_ms``: the state of a run that logs nothing for so long goes.
+    ``availableNow`` takes none, as processing-time timeouts would keep it running."""
+    def update(key, batches, state):
+        return _plateau_update(key, batches, state, ttl_ms)
+
+    mode = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     return steps.select("run_dir", "step", "loss").groupBy("run_dir").applyInPandasWithState(
-        _plateau_update, PLATEAU_OUT, PLATEAU_STATE, "update", GroupStateTimeout.NoTimeout)
+        update, PLATEAU_OUT, PLATEAU_STATE, "update", mode)
 
 
 # ---------------------------------------------------------------- S6
@@ -123,23 +139,28 @@ def gate_and_split(docs: DataFrame, fraction: float = 0.05) -> DataFrame:
 
 
 # ---------------------------------------------------------------- running a stream to completion
-def drain(df: DataFrame, name: str, output_mode: str = "append", fmt: str = "parquet") -> str:
-    """Run ``df`` with ``availableNow`` into a checkpointed sink; return the sink path.
-
-    Append mode uses the file sink (exactly once); other modes write each micro-batch result
-    through ``foreachBatch`` (complete: overwrite with the full result; update: append)."""
-    spark = df.sparkSession
-    out = scratch_path(spark, name)
-    ckpt = out + "-checkpoint"
-    w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+def drain(df: DataFrame, out: str, checkpoint: str | None = None, output_mode: str = "append", fmt: str = "parquet") -> str:
+    """Run ``df`` with ``availableNow`` into ``out`` and return it. The same ``out`` and ``checkpoint``
+    (by default beside it) resume where the last call stopped.
+
+    Append mode uses the file sink (exactly once). Other modes write each micro-batch to its own folder
+    ``batch=<id>``, or over the whole result in complete mode: a batch that is replayed after a
+    failure replaces itself. ``latest`` reads update-mode output."""
+    w = df.writeStream.option("checkpointLocation", checkpoint or out + "-checkpoint").trigger(availableNow=True)
     if output_mode == "append":
         query = w.outputMode("append").format(fmt).option("path", out).start()
     else:
-        mode = "overwrite" if output_mode == "complete" else "append"
-
         def write_batch(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode(mode).format(fmt).save(out)
+            path = out if output_mode == "complete" else f"{out}/batch={batch_id}"
+            batch.write.mode("overwrite").format(fmt).save(path)
 
         query = w.outputMode(output_mode).foreachBatch(write_batch).start()
     query.awaitTermination()
     return out
+
+
+def latest(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """Each key's row of the last micro-batch that updated it."""
+    rows = spark.read.parquet(out)
+    cols = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("r")).select(key, "r.*")
