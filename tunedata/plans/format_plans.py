@@ -112,6 +112,33 @@ def render_chat_template(spark, sf_dir):
     return rows.select("conv_id", fm.render_chat_template(norm, "llama3").alias("text"))
 
 
+@query("register_chat_template", oracle(
+    "SELECT conv_id, '<s>' || string_agg('[' || role || '] ' || text || ';', '' ORDER BY turn) AS text "
+    "FROM conversations GROUP BY conv_id"))
+def register_chat_template(spark, sf_dir):
+    """A caller's own template."""
+    rows = chat_rows(spark, sf_dir)
+    norm = fm.normalize_messages("messages", fm.element_fields_of(rows, "messages"))
+    own = fm.chat_template("<s>", "[", "] ", ";")
+    return rows.select("conv_id", fm.render_chat_template(norm, own).alias("text"))
+
+
+@query("register_formatter", oracle("SELECT 'doc: ' || text AS text FROM documents"))
+def register_formatter(spark, sf_dir):
+    """A caller's own formatter for one route."""
+    own = {"passthrough": lambda df, field: F.concat(F.lit("doc: "), F.col(field))}
+    return fm.format_sft(Views(spark, sf_dir).documents, formatters=own)
+
+
+@query("slugify", oracle(
+    "SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), "
+    "'ml-rd-project') AS slug FROM pages"))
+def slugify(spark, sf_dir):
+    from tunedata.functions.strings import slugify as slug
+
+    return Views(spark, sf_dir).pages.select("page_id", slug("url").alias("slug"))
+
+
 @query("turns_to_messages", oracle(
     "SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles, "
     "arg_min(text, turn) AS first_content FROM conversations GROUP BY conv_id"))

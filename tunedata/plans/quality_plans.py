@@ -54,6 +54,29 @@ def dataset_summary(spark, sf_dir):
         .withColumn("recommendations", F.array_join("recommendations", " | "))
 
 
+@query("dataset_summary_full", oracle(
+    "WITH smp AS (SELECT * FROM sft_pairs ORDER BY pair_id), "
+    "fl AS (SELECT " + ", ".join(f"bool_or({_d_empty(c)}) AS e_{c}" for c in _SFT_COLS) + ", "
+    + ", ".join(f"bool_or(length({c}) > 8000) AS l_{c}" for c in ("instruction", "input", "output"))
+    + " FROM smp), "
+    "em AS (SELECT concat_ws(', ', " + ", ".join(f"CASE WHEN e_{c} THEN '{c}' END" for c in sorted(_SFT_COLS))
+    + ") AS e, concat_ws(', ', " + ", ".join(f"CASE WHEN l_{c} THEN '{c}' END" for c in
+                                             sorted(["instruction", "input", "output"]))
+    + ") AS l FROM fl), n AS (SELECT count(*) AS num_rows FROM sft_pairs) "
+    "SELECT 'sft_pairs' AS dataset, 'train' AS split, n.num_rows, "
+    "'pair_id,conv_id,instruction,input,output' AS column_names, 'instruction' AS format, "
+    "'instruction' AS suggested_text_field, "
+    f"concat_ws(' | ', CASE WHEN n.num_rows < 1000 THEN '{q.RISK_SMALL}' END, "
+    f"CASE WHEN em.e <> '' THEN '{q.RISK_EMPTY}' || em.e || '.' END, "
+    f"CASE WHEN em.l <> '' THEN '{q.RISK_LONG}' || em.l || '.' END) AS risks, "
+    "'SFT is a sensible starting point for the first run.' AS recommendations, "
+    "'conv_id,input,instruction,output,pair_id' AS sample_keys FROM n, em", "sft_pairs"))
+def dataset_summary_full(spark, sf_dir):
+    s = q.dataset_summary(Views(spark, sf_dir).sft_pairs, "sft_pairs", mode="full")
+    return s.withColumn("risks", F.array_join("risks", " | ")) \
+        .withColumn("recommendations", F.array_join("recommendations", " | "))
+
+
 @query("preview_rows", oracle("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 3"))
 def preview_rows(spark, sf_dir):
     return Views(spark, sf_dir).documents.select("doc_id", "lang", "source", "n_chars") \

@@ -83,6 +83,21 @@ def scan_eval_artifacts(spark, sf_dir):
     return s.select("run_dir", "benchmark", "accuracy", "loss")
 
 
+@query("scan_baselines", oracle(
+    "SELECT category AS benchmark, round(avg(CASE WHEN list_position(choice_logits, list_max(choice_logits)) - 1 = answer "
+    "THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM mc_predictions GROUP BY category", "mc_predictions"))
+def scan_baselines(spark, sf_dir):
+    """One JSON line per benchmark in a folder of part files, scanned like a baseline report."""
+    from tunedata.operators.metrics import argmax_first
+
+    m = Views(spark, sf_dir).mc_predictions
+    rows = m.groupBy(F.col("category").alias("benchmark")).agg(
+        F.round(F.avg((argmax_first("choice_logits") == F.col("answer")).cast("double")), 6).alias("accuracy"))
+    root = scratch_path(spark, "project")
+    rows.write.json(root)
+    return rs.scan_baselines(spark, root, pattern=f"{root}/*.json", whole_file=False).select("benchmark", "accuracy")
+
+
 @query("scan_run_logs", oracle("SELECT run_dir, line FROM run_logs", "run_logs"))
 def scan_run_logs(spark, sf_dir):
     root = scratch_path(spark, "results")

@@ -248,6 +248,37 @@ def plan_runs(spark, sf_dir):
         .select(*_RUN_COLS, "plan_position", F.lit(True).alias("approval_required"))
 
 
+# The planner's notes.
+_PREFERENCE_NOTE = ("Preference-format dataset detected. All runs use DPO/ORPO via run_dpo_training — "
+                    "not SFT. Use /run-dpo to execute approved runs.")
+
+
+@query("plan_notes", oracle(
+    "WITH " + D_RQ + f", n AS (SELECT *, {D_STEPS} AS steps, {_D_FIT} AS batch FROM rq) SELECT request_id, concat_ws(' | ', "
+    "CASE WHEN dataset_rows < 500 THEN printf('Dataset is small (%d rows): halved max_steps to %d to avoid severe overfitting.', "
+    "CAST(dataset_rows AS BIGINT), CAST(steps AS BIGINT)) WHEN dataset_rows > 50000 THEN "
+    "printf('Dataset is large (%d rows): increased max_steps to %d.', CAST(dataset_rows AS BIGINT), CAST(steps AS BIGINT)) END, "
+    "CASE WHEN batch <> p_batch_size THEN printf('Reduced batch_size from %d to %d to stay within %.1f GB VRAM.', "
+    "CAST(p_batch_size AS BIGINT), CAST(batch AS BIGINT), available_vram_gb) END, "
+    f"CASE WHEN dataset_format = 'preference' THEN '{_PREFERENCE_NOTE}' END, "
+    "CASE WHEN baseline_metric > 0.6 THEN printf('Baseline metric is %.3f (>0.6): skipping the conservative run, "
+    "starting with exploratory configs.', baseline_metric) END) AS notes FROM n", "plan_requests"))
+def plan_notes(spark, sf_dir):
+    """What the planner changed, and why, per request."""
+    p = planned(spark, sf_dir)
+    rows = F.col("dataset_rows").cast("bigint")
+    notes = F.array_compact(F.array(
+        F.when(rows < sw.SMALL_ROWS, F.format_string("Dataset is small (%d rows): halved max_steps to %d to avoid severe overfitting.",
+                                                     rows, F.col("steps")))
+        .when(rows > sw.LARGE_ROWS, F.format_string("Dataset is large (%d rows): increased max_steps to %d.", rows, F.col("steps"))),
+        F.when(F.col("batch") != F.col("p_batch_size"), F.format_string(
+            "Reduced batch_size from %d to %d to stay within %.1f GB VRAM.", "p_batch_size", "batch", "available_vram_gb")),
+        F.when(F.col("dataset_format") == "preference", F.lit(_PREFERENCE_NOTE)),
+        F.when(F.col("baseline_metric") > sw.STRONG_BASELINE, F.format_string(
+            "Baseline metric is %.3f (>0.6): skipping the conservative run, starting with exploratory configs.", "baseline_metric"))))
+    return p.select("request_id", F.array_join(notes, " | ").alias("notes"))
+
+
 @query("lora_lint", oracle(
     "SELECT run_dir, concat_ws(' | ', CASE WHEN lora_alpha < lora_r THEN printf('lora_alpha (%d) < lora_r (%d): "
     "scaling is below 1.0, which weakens adaptation. Recommended: lora_alpha = 2 * lora_r.', lora_alpha, lora_r) END, "

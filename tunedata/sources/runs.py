@@ -103,21 +103,21 @@ def scan_eval_artifacts(spark: SparkSession, root: str, pattern: str | None = No
                     F.col("e.total").alias("total"), "raw")
 
 
-def scan_baselines(spark: SparkSession, project: str) -> DataFrame:
+def scan_baselines(spark: SparkSession, project: str, pattern: str | None = None, whole_file: bool = True) -> DataFrame:
     """``benchmark, <metrics>`` from ``reports/baseline_{benchmark}.json``."""
-    pattern = f"{project.rstrip('/')}/reports/baseline_*.json"
+    pattern = pattern or f"{project.rstrip('/')}/reports/baseline_*.json"
     if not _exists(spark, pattern):
         return spark.createDataFrame([], "benchmark string, " + ", ".join(f"{k} double" for k in EVAL_KEYS))
-    files = _read_whole(spark, pattern)
+    files = _read_whole(spark, pattern, whole_file)
     e = files.withColumn("e", F.from_json("raw", EVAL_SCHEMA, {"allowNonNumericNumbers": "true"}))
     return e.select(F.coalesce(F.col("e.benchmark"), F.regexp_extract("path", r"baseline_([^/]+)\.json$", 1))
                     .alias("benchmark"), *[F.col(f"e.{k}").alias(k) for k in EVAL_KEYS])
 
 
 def scan_run_logs(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """``run_dir, file, line_no, line``: stdout then stderr, one row per line (never one string
-    per run, so a huge log spreads over many tasks). ``line_no`` increases in file order (a
-    monotonically increasing id), which orders lines without a global index."""
+    """``run_dir, file, line_no, line``: one row per line (never one string per run, so a huge log
+    spreads over many tasks). ``line_no`` orders a run's lines, stdout before stderr: the file's rank
+    above the byte offset at which the line's split begins and the line's place in it."""
     pattern = pattern or f"{root.rstrip('/')}/run_*/{{stdout,stderr}}.log"
     if not _exists(spark, pattern):
         return spark.createDataFrame([], "run_dir string, file string, line_no bigint, line string")
@@ -125,7 +125,9 @@ def scan_run_logs(spark: SparkSession, root: str, pattern: str | None = None) ->
     path = _strip_scheme(F.col("_metadata.file_path"))
     return lines.select(F.regexp_extract(path, RUN_DIR_RE, 1).alias("run_dir"),
                         F.element_at(F.split(path, "/"), -1).alias("file"),
-                        F.monotonically_increasing_id().alias("line_no"),
+                        (F.when(F.col("_metadata.file_name").startswith("stderr"), 1 << 62).otherwise(0)
+                         + F.col("_metadata.file_block_start") * 4096
+                         + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("line_no"),
                         F.col("value").alias("line"))
 
 
