@@ -286,12 +286,10 @@ def improvement_stall(spark, sf_dir):
 
 
 def _segments(spark, sf_dir):
-    """Per run and fifth of its steps: mean loss. ``ntile`` from per-run counts (no window)."""
+    """Mean loss of each fifth of a run's logged steps, in step order."""
     st = Views(spark, sf_dir).run_steps.select("run_dir", "step", "loss")
-    n = st.groupBy("run_dir").agg(F.count(F.lit(1)).alias("_n"))
-    seg = rn.ntile_of((F.col("step") / 10).cast("bigint"), F.col("_n"), 5)
-    return st.join(n, "run_dir").withColumn("segment", seg) \
-        .groupBy("run_dir", "segment").agg(F.avg("loss").alias("mean_loss"))
+    cut = st.withColumn("segment", F.ntile(5).over(Window.partitionBy("run_dir").orderBy("step")))
+    return cut.groupBy("run_dir", "segment").agg(F.avg("loss").alias("mean_loss"))
 
 
 def _plateau(spark, sf_dir):
@@ -320,19 +318,15 @@ def loss_plateau(spark, sf_dir):
 
 def _oscillation(spark, sf_dir):
     """Sign changes of consecutive differences and spikes above 2x the mean of the previous five
-    steps. Neighbours come from equi-joins on (run, step - 10·k) and from each row contributing to
-    the next five steps (grouped sums): no per-run sort in one task."""
+    steps, by one window per run: a run's log is sorted once, whatever its logging interval or gaps."""
+    by_step = Window.partitionBy("run_dir").orderBy("step")
     st = Views(spark, sf_dir).run_steps.select("run_dir", "step", "loss")
-    prev = st.select("run_dir", (F.col("step") + 10).alias("step"), F.col("loss").alias("prev_loss"))
-    d = st.join(prev, ["run_dir", "step"], "left").withColumn("diff", F.col("loss") - F.col("prev_loss"))
-    pd = d.select("run_dir", (F.col("step") + 10).alias("step"), F.col("diff").alias("prev_diff"))
-    contrib = st.select("run_dir", F.explode(F.sequence(F.col("step") + 10, F.col("step") + 50, F.lit(10)))
-                        .alias("step"), "loss").groupBy("run_dir", "step") \
-        .agg(F.avg("loss").alias("prev5_avg"))
-    j = d.join(pd, ["run_dir", "step"], "left").join(contrib, ["run_dir", "step"], "left")
+    d = (st.withColumn("diff", F.col("loss") - F.lag("loss").over(by_step))
+         .withColumn("prev5_avg", F.avg("loss").over(by_step.rowsBetween(-5, -1)))
+         .withColumn("prev_diff", F.lag("diff").over(by_step)))
     flip = (F.signum("diff") * F.signum("prev_diff") < 0)
     spike = F.col("loss") > 2 * F.col("prev5_avg")
-    return j.groupBy("run_dir").agg(
+    return d.groupBy("run_dir").agg(
         F.count(F.lit(1)).alias("n_steps"),
         F.sum(F.coalesce(flip, F.lit(False)).cast("bigint")).alias("sign_changes"),
         F.sum(F.coalesce(spike, F.lit(False)).cast("bigint")).alias("spikes"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tunedata.operators.metrics import argmax_first
 from tunedata.plans.registry import query
-from tunedata.plans.views import PORTABLE, RUN_DIR_SQL, oracle
+from tunedata.plans.views import FOUR_SCORES, PORTABLE, RUN_DIR_SQL, oracle
 from tunedata.session import scratch_path
 from tunedata.streaming import jobs
 
@@ -25,14 +25,13 @@ def _steps(spark, sf_dir):
 
 
 @query("stream_running_eval", oracle(
-    "SELECT concat('c', CAST(label AS VARCHAR)) AS category, count(*) AS total, "
-    "CAST(sum(CASE WHEN list_position(embedding[1:4], list_max(embedding[1:4])) - 1 = label % 4 THEN 1 ELSE 0 END) "
-    "AS BIGINT) AS correct, round(avg(CASE WHEN list_position(embedding[1:4], list_max(embedding[1:4])) - 1 = "
-    "label % 4 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM embeddings GROUP BY label"))
+    "SELECT category, count(*) AS total, CAST(sum(CASE WHEN list_position(s, list_max(s)) - 1 = answer THEN 1 ELSE 0 END) "
+    "AS BIGINT) AS correct, round(avg(CASE WHEN list_position(s, list_max(s)) - 1 = answer THEN 1.0 ELSE 0.0 END), 6) "
+    "AS accuracy FROM (SELECT category, answer, choice_logits AS s FROM mc_predictions) t GROUP BY category", "mc_predictions"))
 def stream_running_eval(spark, sf_dir):
     s = jobs.file_stream(spark, f"{sf_dir}/embeddings.parquet")
     rows = s.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
-                    (argmax_first(F.slice("embedding", 1, 4)) == (F.col("label") % 4)).alias("correct"))
+                    (argmax_first(F.expr(FOUR_SCORES)) == (F.col("label") % 4)).alias("correct"))
     out = jobs.drain(jobs.running_eval(rows, "category"), scratch_path(spark, "running-eval"), output_mode="complete")
     return spark.read.parquet(out)
 

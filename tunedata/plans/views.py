@@ -15,6 +15,14 @@ from tunedata.sources.tables import TABLE_NAMES, Tables
 RUN_DIR_SQL = "concat('run_', lpad(CAST(user_id AS STRING), 6, '0'))"
 
 # name -> (dependencies, portable SQL)
+# Four scores from a whole embedding: the sums of its quarters.
+FOUR_SCORES = ("transform(sequence(0, 3), k -> aggregate(slice(embedding, k * (size(embedding) div 4) + 1, size(embedding) div 4), "
+               "CAST(0 AS DOUBLE), (a, x) -> a + CAST(x AS DOUBLE)))")
+D_FOUR_SCORES = "[" + ", ".join(
+    f"list_sum(list_transform(embedding[{k} * (len(embedding) // 4) + 1:{k + 1} * (len(embedding) // 4)], lambda x: CAST(x AS DOUBLE)))"
+    for k in range(4)) + "]"
+
+
 PORTABLE: dict[str, tuple[tuple[str, ...], str]] = {
     "sft_pairs": (("conversations",), """
 WITH t AS (
@@ -142,17 +150,21 @@ SPLIT: dict[str, tuple[tuple[str, ...], str, str]] = {
         """SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS messages
            FROM conversations GROUP BY conv_id"""),
     "mcq_items": (("benchmark",),
-        """SELECT item_id, text AS question, slice(split(text, ' '), 1, 4) AS choices,
+        """SELECT item_id, text AS question, transform(sequence(0, 3), k -> array_join(slice(split(text, ' '),
+                  k * (size(split(text, ' ')) + 3) div 4 + 1, (k + 1) * (size(split(text, ' ')) + 3) div 4
+                  - k * (size(split(text, ' ')) + 3) div 4), ' ')) AS choices,
                   CAST(item_id % 4 AS INT) AS answer FROM {benchmark}""",
-        """SELECT item_id, text AS question, string_split(text, ' ')[1:4] AS choices,
+        """SELECT item_id, text AS question, [""" + ", ".join(
+            f"array_to_string(string_split(text, ' ')[{k} * (len(string_split(text, ' ')) + 3) // 4 + 1:"
+            f"{k + 1} * (len(string_split(text, ' ')) + 3) // 4], ' ')" for k in range(4)) + """] AS choices,
                   CAST(item_id % 4 AS INT) AS answer FROM benchmark"""),
     "mc_predictions": (("embeddings",),
         """SELECT vec_id AS item_id, CAST(label % 4 AS INT) AS answer,
                   concat('c', CAST(label AS STRING)) AS category,
-                  slice(embedding, 1, 4) AS choice_logits FROM {embeddings}""",
+                  """ + FOUR_SCORES + """ AS choice_logits FROM {embeddings}""",
         """SELECT vec_id AS item_id, CAST(label % 4 AS INT) AS answer,
                   concat('c', CAST(label AS STRING)) AS category,
-                  embedding[1:4] AS choice_logits FROM embeddings"""),
+                  """ + D_FOUR_SCORES + """ AS choice_logits FROM embeddings"""),
     "category_scores": (("mc_predictions",),
         """SELECT category, CASE WHEN item_id % 2 = 0 THEN 'baseline' ELSE 'tuned' END AS arm,
                   avg(CASE WHEN array_position(choice_logits, array_max(choice_logits)) - 1 = answer
