@@ -1,6 +1,6 @@
 """Side-by-side check of a Spark query against its DuckDB oracle (row count, column names, and an
 order-insensitive hash of the values with floats rounded to 6 places). Used by the tests and by
-``python -m tunedata.plans.compare`` while developing."""
+``python tests/compare.py`` while developing."""
 
 from __future__ import annotations
 
@@ -100,7 +100,7 @@ def compare(spark, con, sf_dir: str, name: str, build, sql: str) -> dict:
 
 
 def main(argv: list[str]) -> int:
-    sys.path.insert(0, ".")
+    sys.path[:0] = [".", "tests"]
     import __spark_entry__ as entry
 
     from tunedata.session import get_spark

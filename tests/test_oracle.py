@@ -4,7 +4,7 @@ queries without an oracle must at least run."""
 import pytest
 
 import __spark_entry__ as entry
-from tunedata.plans.compare import compare, duck_connect, spark_rows
+from compare import compare, duck_connect, spark_rows
 
 SF = "/root/testdata/sf0.01"
 QUERIES = entry.queries()

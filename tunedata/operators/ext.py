@@ -45,16 +45,12 @@ def score_with(df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
-def stub_choice_scorer() -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Deterministic stand-in for a model: four logits from a hash of prompt and letter."""
-    import hashlib
-
+def longest_choice_scorer() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The baseline that a model has to beat: a choice scores by its length. A model's scorer has the
+    same shape: built once per task, it turns a batch of items into one logit per choice."""
     def score(b: pd.DataFrame) -> pd.DataFrame:
-        def logits(prompt: str) -> list[float]:
-            return [int(hashlib.md5(f"{prompt}|{c}".encode()).hexdigest()[:8], 16) / 0xFFFFFFFF for c in "ABCD"]
-
         return pd.DataFrame({"item_id": b["item_id"], "answer": b["answer"],
-                             "choice_logits": [logits(p) for p in b["prompt"]]})
+                             "choice_logits": [[float(len(c)) for c in choices] for choices in b["choices"]]})
 
     return score
 

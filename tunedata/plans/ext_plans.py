@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tunedata.functions.strings import PY_WHITESPACE_CLASS
 from tunedata.functions.strings import is_blank
 from tunedata.operators import ext
-from tunedata.operators import formatters as fm
 from tunedata.operators import metrics as mt
 from tunedata.plans.registry import query
 from tunedata.plans.views import Views, oracle
@@ -25,29 +24,15 @@ def token_counter_udf(spark, sf_dir):
     return Views(spark, sf_dir).documents.select("doc_id", count(F.col("text")).alias("n_tokens"))
 
 
-def _d_prompt() -> str:
-    nl = "chr(10)"
-    opts = " || ".join(f"CASE WHEN len(choices) >= {i + 1} THEN '{c}. ' || choices[{i + 1}] || {nl} ELSE '' END"
-                       for i, c in enumerate("ABCD"))
-    return f"'Question: ' || question || {nl} || {opts} || 'Answer:'"
-
-
-def _d_logit(c: str) -> str:
-    return f"(('0x' || substr(md5(prompt || '|{c}'), 1, 8))::BIGINT / 4294967295.0)"
-
-
 @query("score_with", oracle(
-    f"WITH p AS (SELECT item_id, answer, {_d_prompt()} AS prompt FROM mcq_items), "
-    "l AS (SELECT item_id, answer, [" + ", ".join(_d_logit(c) for c in "ABCD") + "] AS lg FROM p) "
+    "WITH l AS (SELECT answer, list_transform(choices, lambda c: CAST(length(c) AS DOUBLE)) AS lg FROM mcq_items) "
     "SELECT CAST(sum(CASE WHEN list_position(lg, list_max(lg)) - 1 = answer THEN 1 ELSE 0 END) AS BIGINT) AS correct, "
     "count(*) AS total, round(coalesce(sum(CASE WHEN list_position(lg, list_max(lg)) - 1 = answer THEN 1 ELSE 0 END) "
     "/ count(*), 0.0), 6) AS accuracy FROM l", "mcq_items"))
 def score_with(spark, sf_dir):
-    """Prompts rendered in Spark, scored in Arrow batches by a per-task scorer, then aggregated."""
-    m = Views(spark, sf_dir).mcq_items
-    prompts = m.select("item_id", "answer", fm.format_mcq_prompt("question", "choices").alias("prompt"))
-    scored = ext.score_with(prompts, ext.stub_choice_scorer,
-                            "item_id long, answer int, choice_logits array<double>")
+    """Items scored in Arrow batches by a per-task scorer, then aggregated."""
+    items = Views(spark, sf_dir).mcq_items.select("item_id", "answer", "choices")
+    scored = ext.score_with(items, ext.longest_choice_scorer, "item_id long, answer int, choice_logits array<double>")
     return scored.agg(*mt.accuracy_aggs(mt.argmax_first("choice_logits") == F.col("answer")))
 
 
