@@ -33,3 +33,24 @@ def test_star(spark, sizes):
     assert lost == 0, f"{lost} of {len(want)} outside their family, {len(set(got.values()))} components"
     if sizes == [3000]:
         assert [r["doc_id"] for r in drop_near_copies(docs).collect()] == [0]
+
+
+def test_stage_links_from_four_fifths_on(spark):
+    """Planted pairs between 0.75 and 0.90, most of them from 0.80 to 0.85, against brute force."""
+    import corpus_pipeline
+
+    texts = {}
+    for k in range(60):
+        words = [f"p{k}w{i}" for i in range(204)]
+        texts[2 * k] = " ".join(words)
+        # e words changed, 5 of 200 shingles each: (200 - 5e) / (200 + 5e), 0.818 for 4 of them.
+        edits = (4, 4, 4, 3, 5, 2)[k % 6]
+        for e in range(edits):
+            words[20 + 30 * e + k % 7] = f"p{k}e{e}"
+        texts[2 * k + 1] = " ".join(words)
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(200)} for i, t in texts.items()}
+    near = {i + 1 for i in range(0, 120, 2) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])}
+    assert 0 < len(near) < 60
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == set(texts) - near

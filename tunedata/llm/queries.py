@@ -112,7 +112,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tunedata.llm.minhash_dedup import near_components
 
-    return near_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_components(table(spark, sf_dir, "documents"), percent=85).withColumnRenamed("id", "doc_id")
 
 
 @register("op4_toxicity")
