@@ -134,3 +134,45 @@ def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tunedata.llm.span_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# CRC-32 of a decimal id, bit by bit; levels of a tree as lists; a fold per document up those lists.
+@register("op13_merkle_manifest", """
+WITH RECURSIVE d AS (
+    SELECT doc_id, lang, CASE WHEN doc_id IS NULL THEN FALSE ELSE xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 7 = 0 END AS hit,
+        [CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END, coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')] AS head,
+        coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n0, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS n1,
+        coalesce(strlen(text) || ':' || text, '-') AS body FROM documents),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(array_to_string(head, '') || n0 || body) AS leaf,
+        sha256(array_to_string(head, '') || CASE WHEN hit THEN n1 ELSE n0 END || body) AS now FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+lv AS (SELECT tree, 0 AS lvl, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY tree
+    UNION ALL
+    SELECT tree, lvl + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[i + 1 : i + 2], ''))) FROM lv WHERE len(nodes) > 1),
+subs AS (SELECT tree, lvl AS height, nodes[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM lv WHERE len(nodes) = 1),
+fv AS (SELECT 0 AS lvl, list(subroot ORDER BY pos) AS nodes FROM subs
+    UNION ALL
+    SELECT lvl + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[i + 1 : i + 2], ''))) FROM fv WHERE len(nodes) > 1),
+top AS (SELECT nodes[1] AS root FROM fv WHERE len(nodes) = 1),
+steps AS (SELECT p.tree, p.pos, lv.lvl, (p.pos >> lv.lvl) % 2 = 1 AS odd, lv.nodes[xor(p.pos >> lv.lvl, 1) + 1] AS sib
+        FROM placed p JOIN lv ON p.tree = lv.tree WHERE len(lv.nodes) > 1
+    UNION ALL
+    SELECT p.tree, p.pos, s.height + fv.lvl, (s.pos >> fv.lvl) % 2 = 1, fv.nodes[xor(s.pos >> fv.lvl, 1) + 1]
+        FROM placed p JOIN subs s ON p.tree = s.tree CROSS JOIN fv WHERE len(fv.nodes) > 1),
+paths AS (SELECT p.doc_id, p.tree, p.leaf, p.now, coalesce(list(struct_pack(odd := s.odd, sib := coalesce(s.sib, '')) ORDER BY s.lvl) FILTER (s.lvl IS NOT NULL), []) AS path
+        FROM placed p LEFT JOIN steps s ON p.tree = s.tree AND p.pos = s.pos GROUP BY p.doc_id, p.tree, p.leaf, p.now, p.pos),
+folds AS (SELECT doc_id, tree, leaf, now, path, 0 AS done FROM paths
+    UNION ALL
+    SELECT doc_id, tree, leaf, CASE WHEN path[done + 1].odd THEN sha256(path[done + 1].sib || now) ELSE sha256(now || path[done + 1].sib) END, path, done + 1
+        FROM folds WHERE done < len(path))
+SELECT f.doc_id, f.leaf, s.subroot, t.root, sha256(array_to_string(list_transform(f.path, lambda x: x.sib), '')) AS proof_sha256,
+    f.now AS folded_root, f.now = t.root AS verified
+FROM folds f JOIN subs s ON f.tree = s.tree CROSS JOIN top t WHERE f.done = len(f.path)
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.merkle import build_manifest, check_leaves
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    manifest = build_manifest(table(spark, sf_dir, "documents"), changed={"n_chars": F.col("n_chars") + 1}, when=tampered)
+    return check_leaves(manifest).withColumnRenamed("id", "doc_id")
