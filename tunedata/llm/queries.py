@@ -176,3 +176,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     manifest = build_manifest(table(spark, sf_dir, "documents"), changed={"n_chars": F.col("n_chars") + 1}, when=tampered)
     return check_leaves(manifest).withColumnRenamed("id", "doc_id")
+
+
+@register("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.whitening import whiten
+
+    found = whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
