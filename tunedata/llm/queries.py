@@ -184,3 +184,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
     return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@register("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tunedata.llm.pii import find_personal
+
+    found = find_personal(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
