@@ -88,7 +88,7 @@ def _expectations(emit: np.ndarray, move: np.ndarray, length: np.ndarray) -> tup
 
 
 def train(features: np.ndarray, labels: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n_features: int,
-          allowed: np.ndarray, rounds: int = 120, rate: float = 0.25, penalty: float = 0.02) -> Crf:
+          allowed: np.ndarray, rounds: int = 80, rate: float = 0.25, penalty: float = 0.02) -> Crf:
     """Gradient ascent on the penalised log likelihood, with a step size per weight. All chains take part
     in every round; nothing is drawn at random, so the same rows give the same model."""
     k = len(allowed)

@@ -146,7 +146,7 @@ def _shapes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     long = np.flatnonzero((kind == _DIGIT) & (size >= 12) & (size <= 19))
     for i in long.tolist():
         right[i] = luhn(raw[start[i]:start[i] + size[i]].tobytes())
-    digits = 24 + 2 * np.searchsorted([1, 2, 3, 4, 5, 6, 7, 9, 11, 15, 16, 19], size) + right
+    digits = 24 + 2 * np.searchsorted([1, 2, 3, 4, 5, 6, 7, 9, 11, 19], size) + right
     return np.where(kind == _LETTER, letters, np.where(kind == _DIGIT, digits, 52 + np.minimum(first, 107)))
 
 
@@ -193,6 +193,12 @@ def items_of(raw: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> Items:
     seen = np.flatnonzero(seen)
     shape = np.full(n, _EDGE)
     shape[seen] = 2 * _shapes(raw, start[seen], size[seen]) + gap[seen]
+    # Four groups of four digits with a right check sum: the first of them has a shape of its own.
+    four = (kind[start] == _DIGIT) & (size == 4)
+    head = np.flatnonzero(four[:max(n - 3, 0)] & four[1:n - 2] & four[2:n - 1] & four[3:] & gap[1:n - 2] & gap[2:n - 1] & gap[3:]) if n > 3 else []
+    for i in head:
+        if row[i] == row[i + 3] and luhn(b"".join(raw[start[j]:start[j] + 4].tobytes() for j in range(i, i + 4))):
+            shape[i] += 2
     word = np.zeros(n, np.int64)
     if len(words):
         p = np.where(kind[start[seen]] == _LETTER, _pack_words(raw, start[seen], size[seen]), np.uint64(0))
