@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunedata.functions.strings import PY_WHITESPACE_CLASS
+from tunedata.operators import bootstrap as bs
 from tunedata.operators import metrics as mt
 from tunedata.plans.registry import query
 from tunedata.plans.views import Views, oracle
@@ -123,6 +124,34 @@ def sampling_error(spark, sf_dir):
                     F.round(se * 1.96, 6).alias("ci95"))
 
 
+def _d_bootstrap(key: str, num: str, den: str, rows: str) -> str:
+    """The same replicates in DuckDB, one row per (row, replicate)."""
+    pairs = ", ".join("{{'a': {}, 'c': {}}}".format(*bs.factors(b)) for b in range(bs.REPLICATES))
+    p, low, high = bs.PRIME, (1 - bs.LEVEL) / 2, (1 + bs.LEVEL) / 2
+    copies = " + ".join(f"CAST(d >= {t} AS BIGINT)" for t in bs.STEPS)
+    return (f"WITH u AS (SELECT {key}, {num} AS num, {den} AS den, ('0x' || substr(md5('{bs.SEED}:' || CAST(item_id AS VARCHAR)), 1, 7))::BIGINT AS u FROM {rows}), "
+            f"v AS (SELECT {key}, num, den, f.a AS b, (u * f.a + f.c) % {p} AS v FROM u, (SELECT unnest([{pairs}]) AS f)), "
+            f"d AS (SELECT {key}, num, den, b, ((v * v % {p}) * (v * v % {p}) % {p}) * v % {p} AS d FROM v), "
+            f"r AS (SELECT {key}, b, count(*) AS total, sum(num) / sum(den) AS value, sum(num * ({copies})) / sum(den * ({copies})) AS r FROM d GROUP BY {key}, b) "
+            f"SELECT {key}, any_value(total) AS total, round(any_value(value), 6) AS value, round(stddev_pop(r), 6) AS std_error, "
+            f"round(quantile_disc(r, {low}), 6) AS low, round(quantile_disc(r, {high}), 6) AS high FROM r GROUP BY {key}")
+
+
+@query("bootstrap_interval", oracle(_d_bootstrap("category", f"CASE WHEN {D_PRED} = answer THEN 1 ELSE 0 END", "1", "mc_predictions"), "mc_predictions"))
+def bootstrap_interval(spark, sf_dir):
+    """Accuracy per category with the bootstrap's 95 % interval, beside ``sampling_error``'s formula."""
+    return bs.bootstrap_ratio(_preds(spark, sf_dir), ["category"], "item_id", F.col("correct").cast("bigint"))
+
+
+@query("bootstrap_loss", oracle(_d_bootstrap("lang", "loss * n_tokens", "n_tokens", f"(SELECT * FROM loss_items WHERE {D_NONBLANK})"), "loss_items"))
+def bootstrap_loss(spark, sf_dir):
+    """Token-weighted loss per language with its interval: rows are resampled, tokens go with them."""
+    from tunedata.functions.strings import is_blank
+
+    li = Views(spark, sf_dir).loss_items.where(~is_blank("text"))
+    return bs.bootstrap_ratio(li, ["lang"], "item_id", F.col("loss") * F.col("n_tokens"), F.col("n_tokens"))
+
+
 def _eval_metric(spark, sf_dir):
     e = Views(spark, sf_dir).run_evals
     return e.select("run_dir", "benchmark",
