@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.strings import is_blank
-from tunedata.operators.ordering import cumulative_by_block, range_block
+from tunedata.operators.ordering import running_sums
 
 # Evaluation constants of the reference.
 LOSS_EXP_CAP = 100.0
@@ -52,10 +52,9 @@ def finish_loss(df: DataFrame, *keys: str) -> DataFrame:
                      F.round(F.exp(F.least(avg, F.lit(LOSS_EXP_CAP))), 6).alias("perplexity"), "total")
 
 
-def running_metric(df: DataFrame, order: str, every: int, sums: dict[str, Column], block_width: int,
-                   value: Column) -> DataFrame:
-    """Running metric at every ``every``-th row of a global order, via block prefix sums."""
-    c = cumulative_by_block(df, range_block(order, block_width), [order], sums)
+def running_metric(df: DataFrame, order: str, every: int, sums: dict[str, Column], value: Column) -> DataFrame:
+    """Running metric at every ``every``-th row of a global order, via prefix sums over partitions."""
+    c = running_sums(df, [order], sums)
     return c.where(F.col("pos") % every == 0).select("pos", F.round(value, 6).alias("value"))
 
 

@@ -194,6 +194,34 @@ def gate(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFram
     return rows_without(df, rejected, id_col), rejected
 
 
+def chat_structure(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
+    """One row per conversation: does it start with a system turn, hold none later, alternate roles, end with
+    the assistant and know only the three roles.
+
+    The previous turn is the one before in order, whatever number it has, so a gap in the numbers
+    hides nothing. Turns are put in order by range over (conversation, turn), and each partition compares
+    neighbours; the first turn of a partition meets the last one of the partition before
+    through a table of one row per partition. A conversation of any length thus takes many tasks."""
+    from tunedata.operators.ordering import with_previous
+
+    t = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"))
+    t = with_previous(t, ["conv_id", "turn"], ["conv_id", "role"])
+    same = F.col("prev_conv_id").eqNullSafe(F.col("conv_id"))
+    known = F.col("role").isin("system", "user", "assistant")
+    g = t.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.min_by("role", "turn").alias("_first_role"),
+        F.max_by("role", "turn").alias("_last_role"),
+        F.coalesce(F.bool_or((F.col("role") == "system") & same), F.lit(False)).alias("_late_system"),
+        F.coalesce(F.bool_or((F.col("prev_role") == F.col("role")) & same), F.lit(False)).alias("_repeat"),
+        F.bool_and(known).alias("roles_known"))
+    ends = F.col("_last_role") == "assistant"
+    return g.select(F.col("conv_id").alias(conv), "n_turns", (F.col("_first_role") == "system").alias("starts_with_system"),
+                    (~F.col("_late_system")).alias("system_only_first"), (~F.col("_repeat")).alias("alternates"),
+                    ends.alias("ends_with_assistant"), "roles_known",
+                    (ends & ~F.col("_repeat") & ~F.col("_late_system") & F.col("roles_known")).alias("valid"))
+
+
 def pair_difference(chosen: str | Column, rejected: str | Column) -> list[Column]:
     """identical after normalisation, whitespace-token Jaccard, shorter/longer length ratio."""
     from tunedata.functions.text import whitespace_tokens

@@ -135,15 +135,6 @@ def previous_by(df: DataFrame, order: str, cols: list[str], prefix: str = "prev_
     return pos.join(prev, "_pos", "left")
 
 
-def ntile_of(rn: Column, n: Column, k: int) -> Column:
-    """``ntile(k)`` of row ``rn`` (1-based) among ``n`` rows, from counts alone (no window)."""
-    size = F.floor(n / k)
-    rem = n % k
-    big = rem * (size + 1)
-    return F.when(rn <= big, F.floor((rn - 1) / (size + 1)) + 1) \
-        .otherwise(rem + F.floor((rn - big - 1) / F.greatest(size, F.lit(1))) + 1).cast("int")
-
-
 def pick_run(summaries: DataFrame, which: str = "best") -> DataFrame:
     """One run: ``best`` by rank, ``latest`` by the number at the end of its name, or a run by name."""
     if which == "best":

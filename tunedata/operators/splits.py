@@ -75,7 +75,7 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = SEED, name: str = "shuff
     """Global position in seeded-hash order. Blocks are hash prefixes (uniform by construction),
     so every block holds ~rows/16**digits rows and no task sees the whole order."""
     keyed = df.withColumn("_sk", shuffle_key(key, seed))
-    return positions_by_block(keyed, hash_prefix_block("_sk", block_digits), ["_sk", key], name).drop("_sk")
+    return positions_by_block(keyed, hash_prefix_block("_sk", block_digits), ["_sk", key], 16 ** block_digits, name).drop("_sk")
 
 
 def mix_datasets(parts: list[tuple[str, DataFrame, float]], key: str, seed: int = SEED) -> DataFrame:

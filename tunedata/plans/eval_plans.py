@@ -61,7 +61,7 @@ def accuracy_by_category(spark, sf_dir):
     "WHERE pos % 100 = 0", "mc_predictions"))
 def running_accuracy(spark, sf_dir):
     p = _preds(spark, sf_dir).select("item_id", "correct")
-    return mt.running_metric(p, "item_id", mt.ACCURACY_EVERY, {"c": F.col("correct").cast("bigint")}, 4096,
+    return mt.running_metric(p, "item_id", mt.ACCURACY_EVERY, {"c": F.col("correct").cast("bigint")},
                              F.col("c") / F.col("pos"))
 
 
@@ -93,7 +93,7 @@ def running_loss(spark, sf_dir):
 
     scored = li.where(~is_blank("text")).select("item_id", "loss", "n_tokens")
     return mt.running_metric(scored, "item_id", mt.LOSS_EVERY,
-                             {"ln": F.col("loss") * F.col("n_tokens"), "n": F.col("n_tokens")}, 4096,
+                             {"ln": F.col("loss") * F.col("n_tokens"), "n": F.col("n_tokens")},
                              F.col("ln") / F.greatest(F.col("n"), F.lit(1)))
 
 

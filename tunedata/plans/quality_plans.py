@@ -294,30 +294,10 @@ def pair_difference(spark, sf_dir):
     "arg_max(role, turn) = 'assistant' AND NOT bool_or(prev_role = role) "
     "AND NOT bool_or(role = 'system' AND turn > first_turn) "
     "AND bool_and(role IN ('system', 'user', 'assistant')) AS valid "
-    "FROM (SELECT c.*, p.role AS prev_role, min(c.turn) OVER (PARTITION BY c.conv_id) AS first_turn "
-    "FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1) t "
-    "GROUP BY conv_id"))
+    "FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role, "
+    "min(turn) OVER (PARTITION BY conv_id) AS first_turn FROM conversations) t GROUP BY conv_id"))
 def chat_structure_check(spark, sf_dir):
-    """Adjacent-turn test by an equi-join on (conv_id, turn - 1): the join key includes the turn,
-    so a very long conversation spreads over many tasks; the per-conversation rollup is a partial
-    aggregate (no window sorts a conversation into one task)."""
-    c = Views(spark, sf_dir).conversations.select("conv_id", "turn", "role")
-    prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev_role"))
-    first = c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
-    j = c.join(prev, ["conv_id", "turn"], "left").join(first, "conv_id")
-    known = F.col("role").isin("system", "user", "assistant")
-    g = j.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        F.min_by("role", "turn").alias("_first_role"),
-        F.max_by("role", "turn").alias("_last_role"),
-        F.bool_or((F.col("role") == "system") & (F.col("turn") > F.col("first_turn"))).alias("_late_system"),
-        F.coalesce(F.bool_or(F.col("prev_role") == F.col("role")), F.lit(False)).alias("_repeat"),
-        F.bool_and(known).alias("roles_known"))
-    ends = F.col("_last_role") == "assistant"
-    return g.select("conv_id", "n_turns", (F.col("_first_role") == "system").alias("starts_with_system"),
-                    (~F.col("_late_system")).alias("system_only_first"), (~F.col("_repeat")).alias("alternates"),
-                    ends.alias("ends_with_assistant"), "roles_known",
-                    (ends & ~F.col("_repeat") & ~F.col("_late_system") & F.col("roles_known")).alias("valid"))
+    return q.chat_structure(Views(spark, sf_dir).conversations)
 
 
 @query("quality_label_profile", oracle(

@@ -199,10 +199,8 @@ def efficiency_rank(spark, sf_dir):
 def _pct_rank(df, col):
     pos = global_positions(df, [F.col(col).asc(), F.col("run_dir").asc()], "_pos")
     first = pos.groupBy(col).agg(F.min("_pos").alias("_rk"))
-    n = df.count()  # one scalar: the denominator of percent_rank
-    denom = max(n - 1, 1)
-    return pos.join(first, col).select("run_dir", ((F.col("_rk") - 1) / F.lit(denom)).alias(f"{col}_pct")) \
-        if n > 1 else pos.select("run_dir", F.lit(0.0).alias(f"{col}_pct"))
+    last = pos.agg(F.max("_pos")).scalar()  # the number of rows, as a scalar subquery
+    return pos.join(first, col).select("run_dir", ((F.col("_rk") - 1) / F.greatest(last - 1, F.lit(1))).alias(f"{col}_pct"))
 
 
 @query("overfit_signal", oracle(
@@ -402,10 +400,10 @@ def release_checklist(spark, sf_dir):
     v = Views(spark, sf_dir)
     d = _diagnosed(spark, sf_dir)
     mm = v.run_evals.where(F.col("benchmark") == "mmlu").select("run_dir", "accuracy")
-    # The baseline is one number (the first run's evaluation): fetched as a scalar.
-    base = mm.agg(F.min_by("accuracy", "run_dir")).first()[0]
+    # The baseline is one number (the first run's evaluation): a scalar subquery.
+    base = mm.agg(F.min_by("accuracy", "run_dir")).scalar()
     j = d.join(mm, "run_dir", "left")
-    beats = F.coalesce(F.col("accuracy") > F.lit(base), F.lit(False))
+    beats = F.coalesce(F.col("accuracy") > base, F.lit(False))
     has_eval = F.col("n_evals") > 0
     ok = F.array_join("issues", " | ") == rn.ISSUE_NONE
     return j.select("run_dir", beats.alias("beats_baseline"), has_eval.alias("has_eval"), ok.alias("no_failure"),
