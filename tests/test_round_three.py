@@ -1,0 +1,90 @@
+"""Bootstrap intervals, prefix sums over partitions, plateau state, and the other additions of this round."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tunedata.operators import bootstrap as bs
+from tunedata.operators import ordering
+from tunedata.streaming import jobs, plateau
+
+
+def test_bootstrap_copies_are_poisson(spark):
+    """Copies have mean and variance 1, and replicates are not alike."""
+    w = np.array([r[0] for r in spark.range(4000).select(bs.row_number_of(F.col("id")).alias("u"))
+                  .select(bs.draws("u", 20)).collect()])
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    assert np.abs(np.corrcoef(w.T) - np.eye(20)).max() < 0.08
+    assert abs((w == 0).mean() - np.exp(-1)) < 0.01
+
+
+def test_bootstrap_against_the_formula(spark):
+    rows = spark.range(3000).select("id", F.lit("a").alias("g"), (F.col("id") % 10 < 3).cast("int").alias("hit"))
+    r = bs.bootstrap_ratio(rows, ["g"], "id", F.col("hit")).first()
+    assert r["total"] == 3000 and r["value"] == 0.3 and r["low"] < 0.3 < r["high"]
+    assert abs(r["std_error"] / np.sqrt(0.3 * 0.7 / 3000) - 1) < 0.25
+    plan = bs.bootstrap_ratio(rows, ["g"], "id", F.col("hit"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_bootstrap_edges(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0, 0.0), (2, "b", None, 1.0), (None, "c", 2.0, 4.0), (None, "c", 2.0, 4.0)],
+                                 "id bigint, g string, n double, d double")
+    got = {r["g"]: r for r in bs.bootstrap_ratio(rows, ["g"], "id", F.col("n"), F.col("d")).collect()}
+    assert set(got) == {"a", "c"} and got["a"]["value"] is None and got["a"]["low"] is None
+    assert got["c"]["value"] == got["c"]["low"] == got["c"]["high"] == 0.5
+    assert bs.bootstrap_ratio(rows.limit(0), ["g"], "id", F.col("n")).count() == 0
+
+
+@pytest.mark.parametrize("fan,broadcast", [(256, 1 << 14), (2, 1 << 14), (2, 0)])
+def test_prefix_sums_over_wide_ids(spark, monkeypatch, fan, broadcast):
+    """Ids up to 10**15 with gaps; blocks follow partitions, scanned in several levels."""
+    monkeypatch.setattr(ordering, "FAN", fan)
+    monkeypatch.setattr(ordering, "BROADCAST_BLOCKS", broadcast)
+    ids = sorted({int(i) ** 3 % 10 ** 15 for i in range(1, 90000, 450)})
+    df = spark.createDataFrame([(i, i % 7) for i in ids], "id bigint, v bigint").repartition(5)
+    got = {r["id"]: (r["pos"], r["s"]) for r in ordering.running_sums(df, ["id"], {"s": F.col("v")}).collect()}
+    total, want = 0, {}
+    for k, i in enumerate(ids):
+        total += i % 7
+        want[i] = (k + 1, total)
+    assert got == want
+    assert {r["id"]: r["pos"] for r in ordering.global_positions(df, [F.col("id").desc()]).collect()} == {i: len(ids) - k for k, i in enumerate(ids)}
+    prev = {r["id"]: r["prev_id"] for r in ordering.with_previous(df, ["id"], ["id"]).collect()}
+    assert prev == {b: a for a, b in zip([None, *ids], ids)}
+    none = df.limit(0)
+    assert ordering.running_sums(none, ["id"], {"s": F.col("v")}).count() == ordering.with_previous(none, ["id"], ["id"]).count() == 0
+
+
+def test_chat_gaps(spark):
+    """A gap in the turn numbers hides nothing."""
+    from tunedata.operators.quality import chat_structure
+
+    turns = [(1, 0, "user"), (1, 2, "user"), (1, 3, "assistant"), (2, 5, "system"), (2, 9, "user"), (2, 11, "assistant"),
+             (3, 0, "user"), (3, 1, "assistant"), (3, 2, "system"), (4, 0, "tool"), (4, 1, "assistant"), (5, 0, None), (5, 1, None)]
+    got = {r["conv_id"]: (r["starts_with_system"], r["system_only_first"], r["alternates"], r["valid"])
+           for r in chat_structure(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string")).collect()}
+    assert got[1] == (False, True, False, False) and got[2] == (True, True, True, True)
+    assert got[3] == (False, False, True, False) and got[4] == (False, True, True, False) and got[5][2]
+
+
+def test_plateau_closes_idle_runs(spark, tmp_path):
+    """An event-time timer closes a run that logs nothing for a day; its state goes and it starts anew."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(*rows):
+        (spark.createDataFrame(rows, "run_dir string, step bigint, loss double, t string")
+         .select("run_dir", "step", "loss", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(source))
+
+    put(("a", 1, 2.0, "2024-01-01 00:00:00"), ("a", 70000, 3.0, "2024-01-01 01:00:00"), ("a", -5, 4.0, "2024-01-01 01:00:00"))
+    put(("b", 1, 1.0, "2024-01-05 00:00:00"), ("b", 2, None, "2024-01-05 00:00:00"), ("b", None, 0.1, "2024-01-05 00:00:00"))
+    put(("b", 3, 1.5, "2024-01-05 00:10:00"))
+    put(("a", 9, 9.0, "2024-01-05 00:10:00"))
+    with plateau.rocksdb_state(spark):
+        jobs.drain(plateau.plateau_detector(jobs.file_stream(spark, source, 1), idle="1 day"), out, output_mode="update")
+    rows = sorted((r["batch"], r["run_dir"], r["best_loss"], r["steps_since_best"], r["n_steps"], r["closed"])
+                  for r in spark.read.parquet(out).collect())
+    closed = [r[1:] for r in rows if r[-1]]
+    assert closed == [("a", 2.0, 1, 3, True)]
+    assert ("b", 1.0, 2, 3, False) in [r[1:] for r in rows]
+    assert rows[-1][1:] == ("a", 9.0, 0, 1, False)

@@ -13,7 +13,7 @@ from tunedata.operators import sweep as sw
 from tunedata.operators.components import connected_components
 from tunedata.sources import runs as rs
 from tunedata.sources.datasets import read_dataset
-from tunedata.streaming import jobs
+from tunedata.streaming import jobs, plateau
 
 
 @pytest.mark.parametrize("n", [2, 41, 400])
@@ -100,8 +100,9 @@ def test_plateau_over_batches_and_a_restart(spark, tmp_path):
         spark.createDataFrame(rows, "run_dir string, step bigint, loss double").coalesce(1).write.mode("append").parquet(source)
 
     def go():
-        jobs.drain(jobs.plateau_detector(jobs.file_stream(spark, source, 1)), out, output_mode="update")
-        return [tuple(r) for r in jobs.latest(spark, out, "run_dir").collect()]
+        with plateau.rocksdb_state(spark):
+            jobs.drain(plateau.plateau_detector(jobs.file_stream(spark, source, 1)), out, output_mode="update")
+        return [tuple(r)[:4] for r in jobs.latest(spark, out, "run_dir").select("run_dir", "best_loss", "steps_since_best", "n_steps").collect()]
 
     for steps in ((3, 4), (1, 2), (2, 5)):  # step 2 comes twice
         put(*steps)

@@ -9,7 +9,7 @@ from tunedata.operators.metrics import argmax_first
 from tunedata.plans.registry import query
 from tunedata.plans.views import FOUR_SCORES, PORTABLE, RUN_DIR_SQL, oracle
 from tunedata.session import scratch_path
-from tunedata.streaming import jobs
+from tunedata.streaming import jobs, plateau
 
 D_TS = "strftime(%s, '%%Y-%%m-%%d %%H:%%M:%%S.%%f')"
 S_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -83,8 +83,9 @@ def stream_plateau_detector(spark, sf_dir):
     steps = spark.sql(PORTABLE["run_steps"][1].replace("row_number() OVER (PARTITION BY user_id ORDER BY ts, "
                                                        "event_id) * 10", "event_id"),
                       events=_events(spark, sf_dir))
-    out = jobs.drain(jobs.plateau_detector(steps), scratch_path(spark, "plateau"), output_mode="update")
-    return jobs.latest(spark, out, "run_dir")
+    with plateau.rocksdb_state(spark):
+        out = jobs.drain(plateau.plateau_detector(steps), scratch_path(spark, "plateau"), output_mode="update")
+    return jobs.latest(spark, out, "run_dir").drop("closed")
 
 
 @query("stream_append_prepared", oracle(

@@ -8,13 +8,8 @@ from the checkpoint, and lost executors only redo their tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunedata.operators import quality as q
 from tunedata.operators import runs as rn
@@ -78,55 +73,6 @@ def run_sessions(steps: DataFrame, gap: str = "30 minutes", delay: str = "1 hour
             .agg(F.count(F.lit(1)).alias("n_events")))
 
 
-# ---------------------------------------------------------------- S5
-PLATEAU_STATE = "best_loss double, best_step long, steps binary"
-PLATEAU_OUT = "run_dir string, best_loss double, steps_since_best long, n_steps long"
-
-
-def _plateau_update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState,
-                    ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
-    """Per run: the lowest loss, at its first step, and the steps logged after that step.
-
-    Steps may arrive in any order, also in an earlier or later micro-batch: the state keeps the sorted
-    numbers of all steps of a live run (8 bytes each), so the result depends on the set of steps
-    alone. A step seen before is a replay and is passed over."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    best, at, steps = float("inf"), 0, np.zeros(0, np.int64)
-    if state.exists:
-        best, at, raw = state.get
-        steps = np.frombuffer(raw, np.int64)
-    for rows in batches:
-        rows = rows.dropna(subset=["step"]).drop_duplicates("step")
-        rows = rows[~rows["step"].isin(steps)]
-        steps = np.union1d(steps, rows["step"].to_numpy(np.int64))
-        known = rows.dropna(subset=["loss"]).sort_values(["loss", "step"])
-        if len(known):
-            loss, step = float(known["loss"].iloc[0]), int(known["step"].iloc[0])
-            if (loss, step) < (best, at):
-                best, at = loss, step
-    state.update((best, at, steps.tobytes()))
-    if ttl_ms:
-        state.setTimeoutDuration(ttl_ms)
-    yield pd.DataFrame({"run_dir": [key[0]], "best_loss": [best], "steps_since_best": [int((steps > at).sum())],
-                        "n_steps": [len(steps)]})
-
-
-def plateau_detector(steps: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Custom per-run state with ``applyInPandasWithState`` (state survives restarts through the
-    query checkpoint); emits the current state of every run updated in a micro-batch.
-
-    A query that runs on gives ``ttl_ms``: the state of a run that logs nothing for so long goes.
-    ``availableNow`` takes none, as processing-time timeouts would keep it running."""
-    def update(key, batches, state):
-        return _plateau_update(key, batches, state, ttl_ms)
-
-    mode = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return steps.select("run_dir", "step", "loss").groupBy("run_dir").applyInPandasWithState(
-        update, PLATEAU_OUT, PLATEAU_STATE, "update", mode)
-
-
 # ---------------------------------------------------------------- S6
 def gate_and_split(docs: DataFrame, fraction: float = 0.05) -> DataFrame:
     """Incremental quality gate + split of arriving documents (stateless, append-only)."""
