@@ -88,3 +88,16 @@ def test_plateau_closes_idle_runs(spark, tmp_path):
     assert closed == [("a", 2.0, 1, 3, True)]
     assert ("b", 1.0, 2, 3, False) in [r[1:] for r in rows]
     assert rows[-1][1:] == ("a", 9.0, 0, 1, False)
+
+
+def test_schema_drift(spark):
+    """A planted type change, a missing field, arrays, nulls, deeper objects and text that is no JSON."""
+    from tunedata.operators import drift
+
+    rows = ['{"a": 1, "b": {"c": "x"}, "e": [1, "y"]}', '{"a": "1", "b": {"c": null}}', '{"a": 2.5, "b": {}}', "no json", None, "[{}]"]
+    df = spark.createDataFrame([(r, "x") for r in rows], "j string, path string")
+    got = {r["path"]: tuple(r)[1:] for r in drift.schema_drift(df, "j").collect()}
+    assert got == {"$": ("array,malformed,object", 5, 0, True), "$.a": ("number,string", 3, 0, True), "$.b": ("object", 3, 0, False),
+                   "$.b.c": ("null,string", 2, 1, False), "$.e": ("array", 1, 2, False), "$.e[]": ("number,string", 2, 0, True), "$[]": ("object", 1, 0, False)}
+    assert drift.schema_drift(df.limit(0), "j").count() == 0
+    assert drift.merged_schema(df.where("j like '{%'"), "j").first()[0] == "OBJECT<a: VARIANT, b: OBJECT<c: STRING>, e: ARRAY<VARIANT>>"

@@ -120,3 +120,22 @@ def schema_consistency(spark, sf_dir):
     "FROM (SELECT unnest(json_keys(props)) AS k FROM events) t"))
 def sample_keys(spark, sf_dir):
     return cat.sample_keys(Views(spark, sf_dir).events, "props")
+
+
+_D_TYPES = ("SELECT CASE WHEN json_valid(props) THEN regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g') ELSE '$' END AS path, "
+            "CASE WHEN t.type IS NULL THEN 'malformed' WHEN t.type = 'VARCHAR' THEN 'string' WHEN t.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') "
+            "THEN 'number' ELSE lower(t.type) END AS type FROM events LEFT JOIN LATERAL (SELECT * FROM json_tree(CASE WHEN json_valid(props) THEN props END)) t ON TRUE "
+            "WHERE props IS NOT NULL")
+
+
+@query("schema_drift", oracle(
+    f"WITH c AS (SELECT path, type, count(*) AS n FROM ({_D_TYPES}) t GROUP BY 1, 2), "
+    "p AS (SELECT path, string_agg(type, ',' ORDER BY type) AS types, sum(n)::BIGINT AS n_values, count(*) FILTER (type <> 'null') > 1 AS drift FROM c GROUP BY path) "
+    "SELECT p.path, p.types, p.n_values, coalesce(c.n - p.n_values, 0)::BIGINT AS n_missing, p.drift FROM p LEFT JOIN c ON c.type = 'object' "
+    "AND p.path <> '$' AND NOT ends_with(p.path, '[]') AND c.path = regexp_replace(p.path, '\\.[^.]*$', '')"))
+def schema_drift(spark, sf_dir):
+    """Types per nested path, where ``schema_consistency`` compares key sets only."""
+    from tunedata.operators import drift
+
+    return drift.schema_drift(Views(spark, sf_dir).events, "props")
+
