@@ -101,3 +101,23 @@ def test_schema_drift(spark):
                    "$.b.c": ("null,string", 2, 1, False), "$.e": ("array", 1, 2, False), "$.e[]": ("number,string", 2, 0, True), "$[]": ("object", 1, 0, False)}
     assert drift.schema_drift(df.limit(0), "j").count() == 0
     assert drift.merged_schema(df.where("j like '{%'"), "j").first()[0] == "OBJECT<a: VARIANT, b: OBJECT<c: STRING>, e: ARRAY<VARIANT>>"
+
+
+def test_sketches_merge_twice(spark):
+    """Small sketches of many days, merged to months, then to all: the error stays within the bound."""
+    from tunedata.operators import sketches as sk
+
+    df = spark.range(60000).select((F.col("id") % 30).alias("day"), (F.xxhash64("id") % 5000 + F.col("id") % 7).alias("v"))
+    days = sk.quantile_sketches(df, ["day"], F.col("v"), 200)
+    months = sk.merge_sketches(days.withColumn("month", F.col("day") % 3), ["month"], 200)
+    whole = sk.merge_sketches(months, [], 200).withColumn("g", F.lit(1))
+    q = sk.sketch_quantiles(whole, ["g"], (0.01, 0.25, 0.5, 0.75, 0.99))
+    exact = sorted(r["v"] for r in df.select("v").collect())
+    for r in q.collect():
+        rank = np.searchsorted(exact, r["value"], side="right") / len(exact)
+        assert r["n"] == 60000 and abs(rank - r["p"]) < 2 * sk.rank_error(200)
+    wide = sk.within_bound(q, df.withColumn("g", F.lit(1)), ["g"], F.col("v"), 60)  # a wider bound than its own
+    assert all(r["within"] for r in wide.collect())
+    off = q.withColumn("value", F.col("value") + 2000)
+    assert not any(r["within"] for r in sk.within_bound(off, df.withColumn("g", F.lit(1)), ["g"], F.col("v"), 200).where("p < 0.9").collect())
+    assert sk.quantile_sketches(df.limit(0), ["day"], F.col("v")).count() == 0

@@ -209,6 +209,25 @@ def length_percentiles(spark, sf_dir):
     return found.select(F.explode(pairs).alias("x")).select(F.col("x.p").alias("p"), F.round(F.col("x.v"), 6).alias("n_tokens"))
 
 
+@query("length_sketch", oracle(" UNION ALL ".join(
+    f"SELECT {key} AS source, count(*) AS n, CAST({p} AS DOUBLE) AS p, quantile_disc(n, {p}) AS value, TRUE AS within "
+    f"FROM (SELECT source, {d_ntok('text')} AS n FROM documents) t {group}"
+    for p in _PERCENTS for key, group in (("source", "GROUP BY source"), ("'*'", "")))))
+def length_sketch(spark, sf_dir):
+    """Percentiles of lengths out of kept sketches: one per language and source, merged to sources, then
+    to the corpus (``*``). Up to ``sk.K`` rows a sketch is exact; ``within`` holds beyond as well."""
+    from tunedata.operators import sketches as sk
+    from tunedata.operators.keyfilter import written
+
+    lengths = written(Views(spark, sf_dir).documents.select("lang", "source", q.token_count("text").alias("n")), "lengths")
+    kept = written(sk.quantile_sketches(lengths, ["lang", "source"], F.col("n")), "length-sketches")
+    by_source = written(sk.merge_sketches(kept, ["source"]), "source-sketches")
+    per = sk.within_bound(sk.sketch_quantiles(by_source, ["source"], _PERCENTS), lengths, ["source"], F.col("n"))
+    whole = sk.merge_sketches(by_source, []).withColumn("source", F.lit("*"))
+    every = sk.within_bound(sk.sketch_quantiles(whole, ["source"], _PERCENTS), lengths.withColumn("source", F.lit("*")), ["source"], F.col("n"))
+    return per.unionByName(every)
+
+
 @query("truncation_report", oracle(
     f"SELECT 'documents' AS dataset, 'sft' AS limit_kind, CAST(2048 AS BIGINT) AS token_limit, count(*) AS n_rows, "
     f"CAST(sum(CASE WHEN n > 2048 THEN 1 ELSE 0 END) AS BIGINT) AS n_truncated, "
