@@ -121,3 +121,23 @@ def test_sketches_merge_twice(spark):
     off = q.withColumn("value", F.col("value") + 2000)
     assert not any(r["within"] for r in sk.within_bound(off, df.withColumn("g", F.lit(1)), ["g"], F.col("v"), 200).where("p < 0.9").collect())
     assert sk.quantile_sketches(df.limit(0), ["day"], F.col("v")).count() == 0
+
+
+def test_languages(spark):
+    """Learned from short rows, found in others; awkward texts are not judged, nothing to learn from gives nulls."""
+    from tunedata.operators import language as lg
+
+    words = {"en": "the and with that from this have which their would there", "de": "der und mit dass von diese haben welche nicht ihre werden",
+             "fr": "les et avec que dans cette avoir leur serait où être"}
+    rows = [(i, " ".join(words[g].split()[(i * k) % 11] for k in range(1, 9)), g) for i, g in enumerate(list(words) * 40)]
+    odd = [(1000, None, "en"), (1001, "", "en"), (1002, "ab", "en"), (1003, "日本語日本語", "en"), (1004, "UND MIT DASS VON DIESE", "en"), (None, "les et avec que dans cette", None)]
+    df = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r for r in lg.detect_languages(df).collect()}
+    assert len(got) == len(rows) + len(odd)
+    held = [got[i] for i, _, _ in rows if got[i]["held_out"]]
+    assert len(held) > 10 and all(r["detected"] == r["lang"] for r in held)
+    assert all(got[i]["detected"] is None and got[i]["n_grams"] == 0 for i in (1000, 1001, 1002))
+    assert got[1004]["detected"] == "de" and got[None]["detected"] == "fr" and got[1003]["n_grams"] == 4
+    bare = lg.detect_languages(df.withColumn("lang", F.lit(None).cast("string")))
+    assert all(r["detected"] is None and r["margin"] is None for r in bare.collect())
+    assert lg.detect_languages(df.limit(0)).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunedata.functions.strings import PY_WHITESPACE_CLASS, is_blank
+from tunedata.operators import language as lg
 from tunedata.operators import quality as q
 from tunedata.plans.registry import query
 from tunedata.plans.views import Views, oracle
@@ -268,6 +269,41 @@ def language_mix(spark, sf_dir):
     return g.withColumn("share", F.round(F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy()), 6))
 
 
+_D_OTHERS = lg.ALPHABET[1:] + "".join(c.upper() for c in lg.ALPHABET[1:] if len(c.upper()) == 1)
+_D_DETECT = (
+    f"t AS (SELECT doc_id, lang, regexp_replace(text, '[^{_D_OTHERS}]', ' ', 'gs') AS x, "
+    f"('0x' || substr(md5('lang:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10000 < {lg.HELD_OUT} AS held_out FROM documents), "
+    "g AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, length(x) - 1), lambda i: lower(x[i:i + 2]))) AS gram FROM t), "
+    "dg AS (SELECT doc_id, lang, held_out, gram, count(*) AS n FROM g GROUP BY ALL), "
+    "c AS (SELECT lang, gram, sum(n) AS n FROM dg WHERE NOT held_out GROUP BY ALL), "
+    "tot AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang), "
+    "p AS (SELECT k.gram, tot.lang AS cand, log10((coalesce(c.n, 0) + 0.5) / (total + 0.5 * " + str(len(lg.ALPHABET) ** 3) + ")) AS w "
+    "FROM (SELECT DISTINCT gram FROM dg) k CROSS JOIN tot LEFT JOIN c ON c.gram = k.gram AND c.lang = tot.lang), "
+    "s AS (SELECT doc_id, cand, sum(n * w) AS score, sum(n)::BIGINT AS n_grams FROM dg JOIN p ON dg.gram = p.gram GROUP BY ALL), "
+    "b AS (SELECT doc_id, n_grams, list(cand ORDER BY score DESC, cand)[1] AS detected, list(score ORDER BY score DESC) AS o FROM s GROUP BY ALL), "
+    "r AS (SELECT t.doc_id, t.lang, b.detected, round((o[1] - o[2]) / b.n_grams, 6) AS margin, coalesce(b.n_grams, 0) AS n_grams, t.held_out "
+    "FROM t LEFT JOIN b ON t.doc_id = b.doc_id)")
+
+
+@query("language_detect", oracle(f"WITH {_D_DETECT} SELECT * FROM r"))
+def language_detect(spark, sf_dir):
+    """The language that each whole text looks like, with the lead over the next."""
+    return lg.detect_languages(Views(spark, sf_dir).documents)
+
+
+@query("language_mismatch", oracle(
+    f"WITH {_D_DETECT} SELECT lang, held_out, count(*) AS n_docs, count(detected) AS n_judged, "
+    "count(*) FILTER (detected <> lang) AS n_mismatch, round(count(*) FILTER (detected = lang) / nullif(count(detected), 0), 6) AS accuracy "
+    "FROM r GROUP BY lang, held_out"))
+def language_mismatch(spark, sf_dir):
+    """Rows whose text looks like another language than the given one, by language, learned from and held out."""
+    d = lg.detect_languages(Views(spark, sf_dir).documents)
+    same = F.col("detected") == F.col("lang")
+    return d.groupBy("lang", "held_out").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count("detected").alias("n_judged"), F.count_if(~same).alias("n_mismatch"),
+        F.round(F.try_divide(F.count_if(same), F.count("detected")), 6).alias("accuracy"))
+
+
 @query("language_filter", oracle("SELECT doc_id FROM documents WHERE lang = 'en'"))
 def language_filter(spark, sf_dir):
     return Views(spark, sf_dir).documents.where(F.col("lang") == "en").select("doc_id")
