@@ -141,3 +141,51 @@ def test_languages(spark):
     bare = lg.detect_languages(df.withColumn("lang", F.lit(None).cast("string")))
     assert all(r["detected"] is None and r["margin"] is None for r in bare.collect())
     assert lg.detect_languages(df.limit(0)).count() == 0
+
+
+def brute_merges(texts, merges, per_round):
+    import collections
+
+    words = collections.Counter(w for t in texts for w in (t or "").split())
+    cut = {w: list(w) for w in words}
+    found = []
+    while len(found) < merges:
+        pairs = collections.Counter()
+        for w, n in words.items():
+            for p in zip(cut[w], cut[w][1:]):
+                pairs[p] += n
+        used, taken = set(), []
+        for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
+            if n >= 2 and len(taken) < min(per_round, merges - len(found)) and not {a, b, a + b} & used:
+                taken.append((a, b))
+                used |= {a, b, a + b}
+        if not taken:
+            break
+        found += taken
+        for a, b in taken:
+            for w, s in cut.items():
+                out, i = [], 0
+                while i < len(s):
+                    if i + 1 < len(s) and (s[i], s[i + 1]) == (a, b):
+                        out.append(a + b)
+                        i += 2
+                    else:
+                        out.append(s[i])
+                        i += 1
+                cut[w] = out
+    return found, {w: len(s) for w, s in cut.items()}
+
+
+@pytest.mark.parametrize("per_round", [1, 4])
+def test_bpe_against_brute_force(spark, per_round):
+    from tunedata.operators import bpe
+
+    texts = [None, "", "  ", "aaaa aaa aa a", "low lower lowest newest widest " * 3, "été été étés", "a\x02b a\x02b x\ty", "😀😀 😀😀", "newer lower " * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    want, sizes = brute_merges([t.replace("\x02", "�") if t else t for t in texts], 25, per_round)
+    merges = bpe.learn_merges(df, "text", 25, per_round)
+    assert merges == want and len(merges) > 5
+    got = {r["doc_id"]: r["n"] for r in df.select("doc_id", bpe.token_column(merges, "text").alias("n")).collect()}
+    assert got == {i: sum(sizes[w] for w in (t or "").replace("\x02", "�").split()) for i, t in enumerate(texts)}
+    assert bpe.learn_merges(df.limit(0), "text") == []
+    assert bpe.learn_merges(df, "text", 10_000)  # runs out of pairs and stops

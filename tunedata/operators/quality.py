@@ -164,6 +164,17 @@ def token_count(c: str | Column) -> Column:
     return whitespace_token_count(c)
 
 
+def truncation(df: DataFrame, n: Column, dataset: str, kind: str, limit: int) -> DataFrame:
+    """One row: how many rows have more than ``limit`` tokens and how many tokens that cuts off. ``n`` is any
+    token count: words, or one of the token-counter hook."""
+    return df.select(n.alias("n")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum((F.col("n") > limit).cast("bigint")).alias("n_truncated"),
+        F.sum(F.greatest(F.col("n") - limit, F.lit(0))).cast("bigint").alias("lost_tokens"),
+    ).select(F.lit(dataset).alias("dataset"), F.lit(kind).alias("limit_kind"),
+             F.lit(limit).cast("bigint").alias("token_limit"), "n_rows", "n_truncated", "lost_tokens")
+
+
 def encoding_flags(c: str | Column) -> list[Column]:
     c = col_(c)
     return [F.instr(c, REPLACEMENT_CHAR) > 0, c.rlike(CONTROL_CHARS_RE), c.rlike(MOJIBAKE_RE)]

@@ -243,19 +243,30 @@ def length_sketch(spark, sf_dir):
 def truncation_report(spark, sf_dir):
     v = Views(spark, sf_dir)
 
-    def report(df, n, dataset, kind, limit):
-        return df.select(n.alias("n")).agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.sum((F.col("n") > limit).cast("bigint")).alias("n_truncated"),
-            F.sum(F.greatest(F.col("n") - limit, F.lit(0))).cast("bigint").alias("lost_tokens"),
-        ).select(F.lit(dataset).alias("dataset"), F.lit(kind).alias("limit_kind"),
-                 F.lit(limit).cast("bigint").alias("token_limit"), "n_rows", "n_truncated", "lost_tokens")
-
     pp = v.preference_pairs
-    return (report(v.documents, q.token_count("text"), "documents", "sft", q.MAX_SEQ_LENGTH)
-            .unionByName(report(pp, q.token_count("prompt"), "preference_pairs", "prompt", 512))
-            .unionByName(report(pp, q.token_count("prompt") + q.token_count("chosen"), "preference_pairs",
-                                "sequence", 1024)))
+    return (q.truncation(v.documents, q.token_count("text"), "documents", "sft", q.MAX_SEQ_LENGTH)
+            .unionByName(q.truncation(pp, q.token_count("prompt"), "preference_pairs", "prompt", 512))
+            .unionByName(q.truncation(pp, q.token_count("prompt") + q.token_count("chosen"), "preference_pairs",
+                                      "sequence", 1024)))
+
+
+@query("bpe_token_counts")
+def bpe_token_counts(spark, sf_dir):
+    """Subword tokens of every whole text, by merges learned on the same corpus."""
+    from tunedata.operators import bpe
+
+    d = Views(spark, sf_dir).documents
+    merges = bpe.learn_merges(d, "text")
+    return d.select("doc_id", q.token_count("text").alias("n_words"), bpe.token_column(merges, "text").alias("n_tokens"))
+
+
+@query("bpe_truncation_report")
+def bpe_truncation_report(spark, sf_dir):
+    """The truncation report on subword counts instead of words."""
+    from tunedata.operators import bpe
+
+    d = Views(spark, sf_dir).documents
+    return q.truncation(d, bpe.token_column(bpe.learn_merges(d, "text"), "text"), "documents", "sft", q.MAX_SEQ_LENGTH)
 
 
 @query("language_mix", oracle(
