@@ -189,3 +189,32 @@ def test_bpe_against_brute_force(spark, per_round):
     assert got == {i: sum(sizes[w] for w in (t or "").replace("\x02", "�").split()) for i, t in enumerate(texts)}
     assert bpe.learn_merges(df.limit(0), "text") == []
     assert bpe.learn_merges(df, "text", 10_000)  # runs out of pairs and stops
+
+
+def test_gate_stream(spark, tmp_path):
+    """A copy in a later batch is rejected, also after a restart; a replayed batch changes nothing."""
+    from tunedata.streaming import gate
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    a, b, c = (" ".join([w] * 12) for w in ("ab", "cd", "ef"))
+
+    def put(*rows):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(source)
+
+    def go():
+        gate.run_gate(jobs.file_stream(spark, source, 1), out, form=lambda t: F.concat(F.lit("doc: "), t))
+        kept = sorted((r["id"], r["text"], r["batch"]) for r in spark.read.parquet(out + "/kept").collect())
+        return kept, sorted((r["id"], r["reason"], r["batch"]) for r in spark.read.parquet(out + "/rejected").collect())
+
+    put((5, a), (3, a), (1, None), (2, "too short"), (9, b))
+    put((4, a), (6, c), (7, " ".join(["x"] * 3000)), (8, b + " �"))
+    kept, rejected = go()
+    assert kept == [(3, "doc: " + a, 0), (6, "doc: " + c, 1), (9, "doc: " + b, 0)]
+    assert rejected == [(1, "empty", 0), (2, "too_short", 0), (4, "duplicate", 1), (5, "duplicate", 0), (7, "too_long", 1), (8, "encoding", 1)]
+    put((10, c), (11, a), (12, c + " new"))
+    kept2, rejected2 = go()
+    assert kept2 == sorted([*kept, (12, "doc: " + c + " new", 2)]) and rejected2 == sorted([*rejected, (10, "duplicate", 2), (11, "duplicate", 2)])
+    again = spark.createDataFrame([(10, None, c), (11, None, a), (12, None, c + " new"), (10, "duplicate", None), (11, "duplicate", None), (12, "kept", None)],
+                                  "id bigint, verdict string, text string")
+    gate.write_gated(again, 2, out, lambda t: F.concat(F.lit("doc: "), t))
+    assert go() == (kept2, rejected2)

@@ -9,7 +9,15 @@ from tunedata.operators.metrics import argmax_first
 from tunedata.plans.registry import query
 from tunedata.plans.views import FOUR_SCORES, PORTABLE, RUN_DIR_SQL, oracle
 from tunedata.session import scratch_path
-from tunedata.streaming import jobs, plateau
+from tunedata.streaming import gate, jobs, plateau
+
+def load_gate_oracle() -> str:
+    """The batch gate's SQL: the stream has to come to the same verdicts, one file being one micro-batch."""
+    from tunedata.plans import quality_plans  # noqa: F401
+    from tunedata.plans.registry import REGISTRY
+
+    return REGISTRY["quality_gate_rows"].oracle
+
 
 D_TS = "strftime(%s, '%%Y-%%m-%%d %%H:%%M:%%S.%%f')"
 S_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -105,3 +113,12 @@ def stream_append_prepared(spark, sf_dir):
     docs = jobs.file_stream(spark, f"{sf_dir}/documents.parquet")
     out = jobs.drain(jobs.gate_and_split(docs), scratch_path(spark, "prepared-stream"), output_mode="append")
     return spark.read.parquet(out).select("doc_id", "split")
+
+
+@query("stream_quality_gate", load_gate_oracle())
+def stream_quality_gate(spark, sf_dir):
+    """Kept and rejected rows of the documents as they arrive, by the rules of the batch gate."""
+    docs = jobs.file_stream(spark, f"{sf_dir}/documents.parquet")
+    out = gate.run_gate(docs, scratch_path(spark, "gated"))
+    kept = spark.read.parquet(out + "/kept").select(F.col("id").alias("doc_id"), F.lit("kept").alias("reason"))
+    return kept.unionByName(spark.read.schema("id long, reason string").parquet(out + "/rejected").select(F.col("id").alias("doc_id"), "reason"))
