@@ -218,3 +218,40 @@ def test_gate_stream(spark, tmp_path):
                                   "id bigint, verdict string, text string")
     gate.write_gated(again, 2, out, lambda t: F.concat(F.lit("doc: "), t))
     assert go() == (kept2, rejected2)
+
+
+def test_chat_templates(spark):
+    """Named layouts written as templates give the same text; shipped constructs; what is outside the subset falls back."""
+    from tunedata.operators import chat_templates as ctp
+    from tunedata.operators import formatters as fm
+    from tunedata.plans.format_plans import SHIPPED_TEMPLATES
+
+    rows = [[("system", "be brief"), ("user", " hi "), ("assistant", "yo")], [("user", "it's"), ("tool", ""), ("user", None)], []]
+    df = spark.createDataFrame([([dict(role=r, content=c) for r, c in m],) for m in rows], "m array<struct<role:string,content:string>>").coalesce(1)
+
+    def text(template, **kw):
+        return [r[0] for r in df.select(ctp.compile_template(template, F.col("m"), **kw)).collect()]
+
+    named = lambda name: [r[0] for r in df.select(fm.render_chat_template(F.transform("m", lambda x: x.withField("content", F.coalesce(x["content"], F.lit("")))), name)).collect()]
+    assert text(SHIPPED_TEMPLATES["llama3"], bos_token="<|begin_of_text|>") == named("llama3")
+    assert text(SHIPPED_TEMPLATES["chatml"]) == named("chatml") and text(SHIPPED_TEMPLATES["zephyr"], eos_token="</s>") == named("zephyr")
+    system = ("{%- if messages[0]['role'] == 'system' %}\n    {%- set system_message = messages[0]['content'] | trim %}\n    {%- set loop_messages = messages[1:] %}\n"
+              "{%- else %}\n    {%- set system_message = '' %}{%- set loop_messages = messages %}{%- endif %}")
+    system += "{%- for m in loop_messages %}\n{%- if loop.first and system_message %}<<{{ system_message }}>>{%- endif %}{{ m.role[0] if false else m.role }}:{{ m.content }};\n{%- endfor %}"
+    with pytest.raises(ctp.Unsupported):
+        text(system)  # m.role[0]
+    assert text(system.replace("m.role[0] if false else ", "")) == ["<<be brief>>user: hi ;assistant:yo;", "user:it's;tool:;user:;", ""]
+    inst = ("{{ bos_token }}{% for message in messages[1:] if true %}{% endfor %}",
+            "{{ bos_token }}{%- for m in messages -%}\n  {%- if m.role == 'user' and not loop.first -%} [U{{ loop.index }}] {{ m.content.strip() }}"
+            "{%- elif loop.last or m['role'] in ['tool', 'system'] -%} ({{ m['role'] | upper }}) {%- else -%} ? {%- endif -%}\n{%- endfor -%} {{ messages | length }}")
+    with pytest.raises(ctp.Unsupported):
+        text(inst[0])
+    assert text(inst[1], bos_token="<s>") == ["<s>(SYSTEM)[U2] hi(ASSISTANT)3", "<s>?(TOOL)[U3] 3", "<s>0"]
+    assert text("{# note #}{% set x = 'a' ~ 'b' %}{{ x if messages else 'none' }}{{ nothing }}{% if y is defined %}y{% else %}n{% endif %}") == ["abn", "abn", "nonen"]
+    assert text("{% if messages[0].role == 'system' %}{{ messages[0]['content'] }}|{% endif %}{% for m in messages[1:] %}{{ loop.index0 }}{{ m.role }};{% endfor %}") == [
+        "be brief|0user;1assistant;", "0tool;1user;", ""]
+    fallback = [r[0] for r in df.select(ctp.render_template("{% macro x() %}{% endmacro %}", F.col("m"))).collect()]
+    assert fallback == [r[0] for r in df.select(fm.render_messages("m")).collect()]
+    for bad in ("{% if a %}", "{{ raise_exception('x') }}", "{{ messages[i] }}", "{% for a in b %}{% endfor %}", "{{ m. }}", "{% break %}"):
+        with pytest.raises(ctp.Unsupported):
+            text(bad)

@@ -112,6 +112,36 @@ def render_chat_template(spark, sf_dir):
     return rows.select("conv_id", fm.render_chat_template(norm, "llama3").alias("text"))
 
 
+# Published layouts written as templates; they give the text of the named ones.
+SHIPPED_TEMPLATES = {
+    "llama3": "{{ bos_token }}{% for message in messages %}{{ '<|start_header_id|>' + message['role'] + '<|end_header_id|>\\n\\n' + message['content'] + '<|eot_id|>' }}"
+              "{% endfor %}{% if add_generation_prompt %}{{ '<|start_header_id|>assistant<|end_header_id|>\\n\\n' }}{% endif %}",
+    "chatml": "{% for message in messages %}{{'<|im_start|>' + message.role + '\\n' + message.content + '<|im_end|>' + '\\n'}}{% endfor %}"
+              "{% if add_generation_prompt %}{{ '<|im_start|>assistant\\n' }}{% endif %}",
+    "zephyr": "{% for message in messages %}\n{% if message['role'] == 'user' %}\n{{ '<|user|>\\n' + message['content'] + eos_token + '\\n' }}"
+              "{% elif message['role'] == 'system' %}\n{{ '<|system|>\\n' + message['content'] + eos_token + '\\n' }}"
+              "{% else %}{{ '<|' ~ message['role'] ~ '|>\\n' ~ message['content'] ~ eos_token ~ '\\n' }}{% endif %}\n{% endfor %}",
+}
+_D_TURNS = "FROM conversations GROUP BY conv_id"
+
+
+@query("compile_chat_template", oracle(
+    "SELECT conv_id, 'llama3' AS layout, '<|begin_of_text|>' || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || "
+    f"{NL} || {NL} || text || '<|eot_id|>', '' ORDER BY turn) AS text {_D_TURNS} UNION ALL "
+    f"SELECT conv_id, 'chatml', string_agg('<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL}, '' ORDER BY turn) || '<|im_start|>assistant' || {NL} {_D_TURNS} UNION ALL "
+    f"SELECT conv_id, 'zephyr', string_agg('<|' || role || '|>' || {NL} || text || '</s>' || {NL}, '' ORDER BY turn) {_D_TURNS}"))
+def compile_chat_template(spark, sf_dir):
+    """Templates as models ship them, turned into column expressions."""
+    from tunedata.operators import chat_templates as ctp
+
+    rows = chat_rows(spark, sf_dir)
+    norm = rows.select("conv_id", fm.normalize_messages("messages", fm.element_fields_of(rows, "messages")).alias("m"))
+    texts = {"llama3": ctp.compile_template(SHIPPED_TEMPLATES["llama3"], F.col("m"), bos_token="<|begin_of_text|>"),
+             "chatml": ctp.compile_template(SHIPPED_TEMPLATES["chatml"], F.col("m"), add_generation_prompt=True),
+             "zephyr": ctp.compile_template(SHIPPED_TEMPLATES["zephyr"], F.col("m"), eos_token="</s>")}
+    return norm.select("conv_id", F.inline(F.array(*[F.struct(F.lit(k).alias("layout"), t.alias("text")) for k, t in texts.items()])))
+
+
 @query("register_chat_template", oracle(
     "SELECT conv_id, '<s>' || string_agg('[' || role || '] ' || text || ';', '' ORDER BY turn) AS text "
     "FROM conversations GROUP BY conv_id"))
