@@ -255,3 +255,49 @@ def test_chat_templates(spark):
     for bad in ("{% if a %}", "{{ raise_exception('x') }}", "{{ messages[i] }}", "{% for a in b %}{% endfor %}", "{{ m. }}", "{% break %}"):
         with pytest.raises(ctp.Unsupported):
             text(bad)
+
+
+def test_run_tree_source(spark, tmp_path):
+    """A pattern of run names opens only their files; a stream picks up new runs and goes on after a restart."""
+    import time
+
+    from tunedata.sources import run_tree
+    from tunedata.sources import runs as rs
+
+    root = tmp_path / "results"
+
+    def put(run, name, text):
+        (root / run).mkdir(parents=True, exist_ok=True)
+        (root / run / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+
+    assert run_tree.read_tree(spark, str(root)).count() == 0
+    put("run_001", "run_config.json", '{"model": "m1",\n "lora_r": 4}')
+    put("run_001", "eval_mmlu.json", '{"accuracy": true}')
+    put("run_001", "stdout.log", b"one\r\ntwo\xff\n\nfour")
+    put("run_dir=run_002", "run_config.json", "broken")
+    put("other", "run_config.json", "{}")
+    put("run_003", "run_config.json", "{}")
+    tree = rs.from_tree(spark, str(root), "run_config.json")
+    configs = rs.scan_run_configs(spark, str(root), found=tree)
+    assert [(r["run_dir"], r["model"], r["lora_r"]) for r in configs.where("run_dir = 'run_001'").collect()] == [("run_001", "m1", 4)]
+    assert {r["run_dir"]: r["_corrupt"] for r in configs.where("run_dir in ('run_001', 'run_002')").collect()} == {"run_001": False, "run_002": True}
+    assert {r["run_dir"] for r in configs.collect()} == {"run_001", "run_002", "run_003"}
+    reader = run_tree.RunTreeReader({"path": str(root), "runs": "run_001, run_9*"})
+    assert [p.folders for p in reader.partitions()] == [[str(root / "run_001")]]
+    one = rs.scan_run_configs(spark, str(root), found=rs.from_tree(spark, str(root), "run_config.json", runs="run_001"))
+    assert [r["run_dir"] for r in one.collect()] == ["run_001"]
+    assert rs.scan_eval_artifacts(spark, str(root), found=rs.from_tree(spark, str(root), "eval_*.json")).first()["accuracy"] == 1.0
+    logs = run_tree.read_tree(spark, str(root), "*.log", lines=True).orderBy("line_no").collect()
+    assert [(r["line_no"], r["value"]) for r in logs] == [(0, "one"), (1, "two�"), (2, ""), (3, "four")]
+
+    out = str(tmp_path / "out")
+
+    def drain():
+        time.sleep(0.3)
+        jobs.drain(run_tree.stream_tree(spark, str(root), settle_ms=50), out)
+        return sorted((r["run_dir"], r["value"]) for r in spark.read.parquet(out).collect())
+
+    first = [("run_001", '{"accuracy": true}'), ("run_001", '{"model": "m1",\n "lora_r": 4}'), ("run_002", "broken"), ("run_003", "{}")]
+    assert drain() == first
+    put("run_004", "run_config.json", "{}")
+    assert drain() == [*first, ("run_004", "{}")] == drain()

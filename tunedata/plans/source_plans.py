@@ -68,7 +68,7 @@ def scan_run_configs(spark, sf_dir):
     root = scratch_path(spark, "results")
     c = Views(spark, sf_dir).run_configs.drop("run_no")
     sinks.write_run_records(c, root)
-    s = rs.scan_run_configs(spark, root, pattern=f"{root}/run_dir=run_*/*.json", whole_file=False)
+    s = rs.scan_run_configs(spark, root, pattern=f"{root}/*.json", whole_file=False)
     return s.select("run_dir", "model", "dataset", "learning_rate", "lora_r", "lora_alpha", "batch_size",
                     "train_loss")
 
@@ -78,11 +78,21 @@ def scan_run_configs(spark, sf_dir):
 def scan_eval_artifacts(spark, sf_dir):
     root = scratch_path(spark, "results")
     e = Views(spark, sf_dir).run_evals.drop("path")
-    e.write.partitionBy("run_dir").json(root)
-    s = rs.scan_eval_artifacts(spark, root, pattern=f"{root}/run_dir=run_*/*.json", whole_file=False)
+    e.write.json(root)
+    s = rs.scan_eval_artifacts(spark, root, pattern=f"{root}/*.json", whole_file=False)
     return s.select("run_dir", "benchmark", "accuracy", "loss")
 
 
+@query("scan_run_tree", oracle(
+    "SELECT run_dir, model, learning_rate, CAST(lora_r AS BIGINT) AS lora_r, train_loss FROM run_configs WHERE run_dir LIKE 'run_00000%'", "run_configs"))
+def scan_run_tree(spark, sf_dir):
+    """Configs of the runs that a pattern names, through the ``run_tree`` source."""
+    root = scratch_path(spark, "tree")
+    sinks.write_run_records(Views(spark, sf_dir).run_configs.drop("run_no"), root, by_run=True)
+    s = rs.scan_run_configs(spark, root, found=rs.from_tree(spark, root, "part-*.json", runs="run_00000*"))
+    return s.select("run_dir", "model", "learning_rate", "lora_r", "train_loss")
+
+
 @query("scan_baselines", oracle(
     "SELECT category AS benchmark, round(avg(CASE WHEN list_position(choice_logits, list_max(choice_logits)) - 1 = answer "
     "THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM mc_predictions GROUP BY category", "mc_predictions"))

@@ -7,7 +7,7 @@ recovered from the file path (``_metadata.file_path``), and JSON is parsed with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,22 +52,37 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _run_dir(path: Column, raw: Column) -> Column:
+    """The run of a file: its folder's name, or the record's own field where many runs share a file."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, RUN_DIR_RE, 1), F.lit("")), F.get_json_object(raw, "$.run_dir"))
+
+
+def from_tree(spark: SparkSession, root: str, files: str, runs: str = "*") -> DataFrame:
+    """``run_dir, path, raw`` of a run tree's files through the ``run_tree`` source, for ``found`` of the scans
+    below. ``runs``, patterns of run names, narrow the listing."""
+    from tunedata.sources.run_tree import read_tree
+
+    return read_tree(spark, root, files, runs=runs).select("run_dir", "path", F.col("value").alias("raw"))
+
+
 def scan_run_configs(spark: SparkSession, root: str, mode: str = "PERMISSIVE", pattern: str | None = None,
-                     whole_file: bool = True) -> DataFrame:
+                     whole_file: bool = True, found: DataFrame | None = None) -> DataFrame:
     """``run_dir, <typed config columns>, raw``; runs without ``run_config.json`` do not appear;
-    a missing root gives an empty table. ``mode='FAILFAST'`` raises on malformed JSON."""
+    a missing root gives an empty table. ``mode='FAILFAST'`` raises on malformed JSON. ``found`` are files
+    read otherwise, as ``path, raw`` and possibly ``run_dir``."""
     pattern = pattern or f"{root.rstrip('/')}/run_*/run_config.json"
     cols = ["run_dir"] + RUN_CONFIG_SCHEMA.fieldNames() + ["raw", "_corrupt"]
-    if not _exists(spark, pattern):
+    if found is None and not _exists(spark, pattern):
         return spark.createDataFrame([], T.StructType([T.StructField("run_dir", T.StringType())]
                                                       + list(RUN_CONFIG_SCHEMA.fields)
                                                       + [T.StructField("raw", T.StringType()),
                                                          T.StructField("_corrupt", T.BooleanType())]))
-    files = _read_whole(spark, pattern, whole_file)
+    files = _read_whole(spark, pattern, whole_file) if found is None else found
+    run = F.col("run_dir") if "run_dir" in files.columns else _run_dir(F.col("path"), F.col("raw"))
     parsed = files.withColumn("c", F.from_json("raw", RUN_CONFIG_SCHEMA, {"mode": mode,
                                                                           "allowNonNumericNumbers": "true"}))
     valid = F.col("raw").rlike(r"^\s*\{[\s\S]*\}\s*$") & F.json_object_keys("raw").isNotNull()
-    out = parsed.select(_strip_scheme(F.regexp_extract("path", RUN_DIR_RE, 1)).alias("run_dir"), "c.*", "raw",
+    out = parsed.select(run.alias("run_dir"), "c.*", "raw",
                         (~F.coalesce(valid, F.lit(False))).alias("_corrupt"))
     return out.select(*cols) \
         .withColumn("model", F.coalesce("model", "model_name")) \
@@ -76,16 +91,17 @@ def scan_run_configs(spark: SparkSession, root: str, mode: str = "PERMISSIVE", p
 
 
 def scan_eval_artifacts(spark: SparkSession, root: str, pattern: str | None = None,
-                        whole_file: bool = True) -> DataFrame:
+                        whole_file: bool = True, found: DataFrame | None = None) -> DataFrame:
     """``run_dir, path, file_name, benchmark, <metrics>, raw`` for ``run_*/eval_*.json``.
 
     Booleans count as numbers for metrics (``true`` -> 1.0) and numeric strings do not."""
     pattern = pattern or f"{root.rstrip('/')}/run_*/eval_*.json"
-    if not _exists(spark, pattern):
+    if found is None and not _exists(spark, pattern):
         return spark.createDataFrame([], "run_dir string, path string, file_name string, benchmark string, "
                                      + ", ".join(f"{k} double" for k in EVAL_KEYS)
                                      + ", correct bigint, total bigint, raw string")
-    files = _read_whole(spark, pattern, whole_file)
+    files = _read_whole(spark, pattern, whole_file) if found is None else found
+    run = F.col("run_dir") if "run_dir" in files.columns else _run_dir(F.col("path"), F.col("raw"))
     opts = {"allowNonNumericNumbers": "true"}
     p = files.withColumn("e", F.from_json("raw", EVAL_SCHEMA, opts)) \
         .withColumn("b", F.from_json("raw", _BOOL_SCHEMA, opts))
@@ -96,7 +112,7 @@ def scan_eval_artifacts(spark: SparkSession, root: str, pattern: str | None = No
             F.coalesce(F.col(f"e.{k}"), F.col(f"b.{k}").cast("double")))
         metrics.append(num.alias(k))
     clean = _strip_scheme(F.col("path"))
-    return p.select(_strip_scheme(F.regexp_extract("path", RUN_DIR_RE, 1)).alias("run_dir"), clean.alias("path"),
+    return p.select(run.alias("run_dir"), clean.alias("path"),
                     F.element_at(F.split(clean, "/"), -1).alias("file_name"),
                     F.coalesce(F.col("e.benchmark"), F.regexp_extract(clean, r"eval_([^/]+)\.json$", 1))
                     .alias("benchmark"), *metrics, F.col("e.correct").alias("correct"),

@@ -26,6 +26,8 @@ def write_prepared_dataset(df: DataFrame, path: str, partition_by: str | None =
     w.format(fmt).save(path)
 
 
-def write_run_records(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Run configs appended to a table partitioned by run directory (``run_dir=<name>/``)."""
-    df.write.mode(mode).partitionBy("run_dir").json(path)
+def write_run_records(df: DataFrame, path: str, mode: str = "append", by_run: bool = False) -> None:
+    """Run configs appended as JSON lines with their ``run_dir``: as many files as the data has partitions, however
+    many runs. ``by_run`` writes a folder per run (``run_dir=<name>/``) for tools that expect a tree."""
+    w = df.write.mode(mode)
+    (w.partitionBy("run_dir") if by_run else w).json(path)
