@@ -301,3 +301,96 @@ def test_run_tree_source(spark, tmp_path):
     assert drain() == first
     put("run_004", "run_config.json", "{}")
     assert drain() == [*first, ("run_004", "{}")] == drain()
+
+
+def test_clusters_of_a_family(spark):
+    """A family of near copies is one cluster without all its pairs being compared; a chain and strangers beside it."""
+    from tunedata.operators import dedup as dd
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(80)]
+    texts, k = {}, 0
+    for _ in range(400):  # each copy has one word of its own
+        words = list(base)
+        words[int(rng.integers(0, 80))] = f"x{k}"
+        texts[k], k = " ".join(words), k + 1
+    chain = [f"c{i}" for i in range(100)]
+    for step in range(12):
+        texts[k], k = " ".join(chain[step * 3:step * 3 + 60]), k + 1
+    for _ in range(50):
+        texts[k], k = " ".join(f"v{i}" for i in rng.integers(0, 3000, 60)), k + 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["cluster_id"] for r in dd.near_dup_clusters(docs).collect()}
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for i, t in texts.items()}
+    label = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = {n: min(a, b) if c in (a, b) else c for n, c in label.items()}
+    size = {c: sum(v == c for v in label.values()) for c in label.values()}
+    assert got == {i: c for i, c in label.items() if size[c] > 1}
+
+
+def test_combined_partials(spark):
+    """One partial per task and key, whatever the batches; null keys are a group."""
+    import pandas as pd
+
+    from tunedata.operators import ext
+
+    def partial(b):
+        return b.groupby("g", as_index=False, dropna=False).agg(n=("v", "size"), s=("v", "sum"), parts=("v", lambda v: 1))
+
+    def combine(p):
+        assert p.groupby("g", dropna=False).size().max() <= max(ext.HELD, ext.SALTS) + 1
+        return p.groupby("g", as_index=False, dropna=False).sum().assign(parts=1)
+
+    def merge(p):
+        return pd.DataFrame({"g": p["g"].iloc[:1], "n": [int(p["n"].sum())], "s": [int(p["s"].sum())], "parts": [len(p)]})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.range(20000).select(F.when(F.col("id") % 9 > 0, "hot").alias("g"), F.col("id").alias("v")).repartition(6)
+        rows = ext.two_phase_aggregate(df, "g", partial, merge, "g string, n long, s long, parts long", "g string, n long, s long, parts long", combine).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["g"]: r for r in rows}
+    assert got["hot"]["n"] + got[None]["n"] == 20000 and got["hot"]["s"] == sum(i for i in range(20000) if i % 9) and got["hot"]["parts"] <= 6
+
+
+def test_encoding_faults(spark):
+    """Each kind of fault is found, and clean text is not."""
+    from tunedata.operators import quality as q
+
+    texts = {1: "fine é ü 日本 \t\n\r", 2: "bad � char", 3: "bell \x07", 4: "null \x00", 5: "cafÃ© au lait", 6: "itâ€™s", 7: "Ã", 8: None}
+    df = spark.createDataFrame(list(texts.items()), "i int, text string")
+    rep, ctl, moj = q.encoding_flags("text")
+    got = {r[0]: tuple(r)[1:] for r in df.select("i", rep, ctl, moj).collect()}
+    assert got[1] == got[7] == (False, False, False) and got[2] == (True, False, False)
+    assert got[3] == got[4] == (False, True, False) and got[5] == got[6] == (False, False, True) and got[8] == (None, None, None)
+
+
+def test_word_match(spark):
+    from tunedata.operators import runs as rn
+
+    logs = [("a", "INFO starting inference"), ("b", "loss: NaN"), ("c", "grad=inf,"), ("d", "CUDA out of memory."), ("e", "finance nano")]
+    df = spark.createDataFrame(logs, "run_dir string, line string")
+    plain = {r["run_dir"]: (r["has_oom"], r["has_nan_inf"]) for r in rn.log_flags(df).collect()}
+    words = {r["run_dir"]: (r["has_oom"], r["has_nan_inf"]) for r in rn.log_flags(df, match="word").collect()}
+    assert plain["a"][1] and plain["e"][1] and not words["a"][1] and not words["e"][1]
+    assert words["b"][1] and words["c"][1] and words["d"] == (True, False)
+    with pytest.raises(ValueError):
+        rn.log_flags(df, match="other")
+
+
+def test_question_stands_in_for_prompt(spark):
+    from tunedata.operators import catalog as cat
+    from tunedata.operators import formatters as fm
+
+    df = spark.createDataFrame([("q", "c", "r")], "question string, chosen string, rejected string")
+    with pytest.raises(ValueError):
+        fm.preference_rows(df)
+    assert tuple(fm.preference_rows(df, rename_question=True).first()) == ("q", "c", "r")
+    cols = F.array(*[F.lit(c) for c in df.columns])
+    got = spark.range(1).select(cat.missing_preference_columns(cols), cat.missing_preference_columns(cols, True)).first()
+    assert got[0] == ["prompt"] and got[1] == []

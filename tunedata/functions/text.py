@@ -23,18 +23,8 @@ def whitespace_token_count(c: str | Column) -> Column:
 
 def norm_words(c: str | Column) -> Column:
     """Lower-cased alphanumeric words: runs of anything else are separators."""
-    s = F.lower(col_(c))
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")
-    s = F.trim(s)
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(F.split(s, " "))
-
-
-def window_hashes(hashes: str, n: int) -> Column:
-    """Hash of every window of ``n`` elements of an array column of element hashes, so that each word is
-    hashed once however many windows it is in."""
-    last_start = F.size(hashes) - F.lit(n)
-    starts = F.when(last_start >= 0, F.sequence(F.lit(0), last_start)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(hashes), i + j) for j in range(n)]))
+    # Runs of separators become one space; the empty pieces at either end go, so that the text is read once.
+    return F.filter(F.split(F.regexp_replace(F.lower(col_(c)), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
 def space_words(c: str | Column) -> Column:

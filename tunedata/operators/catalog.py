@@ -67,7 +67,10 @@ def eval_text_column(cols: Column) -> Column:
     return F.coalesce(first_present(cols, EVAL_TEXT_CANDIDATES), F.get(cols, 0))
 
 
-def missing_preference_columns(cols: Column) -> Column:
+def missing_preference_columns(cols: Column, rename_question: bool = False) -> Column:
+    """Required columns that a preference set lacks; with ``rename_question``, ``question`` stands in for ``prompt``."""
+    if rename_question:
+        cols = F.when(_has(cols, "prompt"), cols).otherwise(F.transform(cols, lambda c: F.when(c == "question", "prompt").otherwise(c)))
     return F.array_except(F.array(*[F.lit(c) for c in PREFERENCE_REQUIRED]), cols)
 
 

@@ -11,7 +11,7 @@ that stands for them in D11.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunedata.functions.text import shingle_hashes, space_words
@@ -37,8 +37,8 @@ def shingle_arrays(docs: DataFrame, copies: DataFrame, k: int = DEFAULT_K) -> Da
     return written(sets, "shingles").select("doc_id", F.size("sh").alias("n"), "sh").where("n > 0")
 
 
-def _links(sets: DataFrame, threshold: float) -> DataFrame:
-    """``doc_a, doc_b, jaccard`` (unrounded) for pairs of shingle arrays."""
+def _postings(sets: DataFrame, threshold: float) -> DataFrame:
+    """``doc_id, n, at, s``: the prefix shingles of each array that other documents share, with their places."""
     flat = sets.select("doc_id", "n", F.explode("sh").alias("s"))
     # A shingle of one document can make no pair: it only fills the front of the order.
     freq = flat.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -47,14 +47,22 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
     posts = (shared.withColumn("alone", F.col("n") - F.size("o")).where(prefix > F.col("alone"))
              .select("doc_id", "n", "alone", F.posexplode(F.slice("o", F.lit(1), (prefix - F.col("alone")).cast("int"))).alias("p", "x"))
              .select("doc_id", "n", (F.col("alone") + F.col("p")).alias("at"), F.col("x.s").alias("s")))
-    posts = written(posts, "near-prefixes")
-    a = posts.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("na"), F.col("at").alias("ia"), "s")
-    b = posts.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "s")
-    need = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
-    cands = (a.join(b, "s").where("doc_a < doc_b")
-             .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-             .where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
-             .select("doc_a", "doc_b").distinct())
+    return written(posts, "near-prefixes")
+
+
+def _candidates(a: DataFrame, b: DataFrame, threshold: float, ordered: Column) -> DataFrame:
+    """``doc_a, doc_b`` of two posting tables that share a shingle and pass the length and place filters."""
+    left = a.select(*[F.col(c).alias(c + "_a") for c in a.columns if c != "s"], "s")
+    right = b.select(*[F.col(c).alias(c + "_b") for c in b.columns if c != "s"], "s")
+    need = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    return (left.join(right, "s").where(ordered)
+            .where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+            .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
+            .select(F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b")).distinct())
+
+
+def _verified(cands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``doc_a, doc_b, jaccard`` (unrounded) of the candidates that reach the threshold on their full arrays."""
     both = (cands.join(sets.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("na"), F.col("sh").alias("sa")), "doc_a")
             .join(sets.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("nb"), F.col("sh").alias("sb")), "doc_b"))
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -62,6 +70,32 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
             .where(F.col("jaccard") >= threshold - 1e-12))
 
 
+def _links(sets: DataFrame, threshold: float) -> DataFrame:
+    """``doc_a, doc_b, jaccard`` (unrounded) for pairs of shingle arrays."""
+    posts = _postings(sets, threshold)
+    return _verified(_candidates(posts, posts, threshold, F.col("doc_id_a") < F.col("doc_id_b")), sets, threshold)
+
+
+def _clusters(sets: DataFrame, threshold: float) -> DataFrame:
+    """``node, component`` of the documents that have links, without comparing all pairs of a family.
+
+    First every document of a posting list meets the list's longest document alone. Most of a family is one
+    component then. What is left are lists that still hold several components, and in those only pairs of
+    different components are compared, so the result is exact."""
+    posts = _postings(sets, threshold)
+    pivots = posts.groupBy("s").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("m"), "at")).alias("p")).select(
+        (-F.col("p.m")).alias("doc_id"), F.col("p.n").alias("n"), F.col("p.at").alias("at"), "s")
+    first = _verified(_candidates(posts, pivots, threshold, F.col("doc_id_a") != F.col("doc_id_b")), sets, threshold)
+    first = written(first.select("doc_a", "doc_b"), "pivot-links")
+    found = connected_components(first, "doc_a", "doc_b")
+    labelled = written(posts.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled-prefixes")
+    several = labelled.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    open_ = labelled.join(several, "s", "left_semi")
+    rest = _verified(_candidates(open_, open_, threshold, F.col("component_a") < F.col("component_b")), sets, threshold)
+    rest = written(rest.select("doc_a", "doc_b"), "other-links")
+    return found if rest.isEmpty() else connected_components(first.unionByName(rest), "doc_a", "doc_b")
+
+
 def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -84,7 +118,7 @@ def near_dup_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     d = _named(docs, doc_id, text)
     reps = written(representatives(d).select("doc_id", "rep_id"), "representatives")
     sets = shingle_arrays(d, reps.where("doc_id <> rep_id").select("doc_id"), k)
-    comp = connected_components(_links(sets, threshold), "doc_a", "doc_b")
+    comp = _clusters(sets, threshold)
     j = reps.join(comp.select(F.col("node").alias("rep_id"), "component"), "rep_id", "left")
     cl = written(j.select("doc_id", F.coalesce("component", "rep_id").alias("cluster_id")), "clusters")
     size = cl.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))

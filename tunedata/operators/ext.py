@@ -55,16 +55,36 @@ def longest_choice_scorer() -> Callable[[pd.DataFrame], pd.DataFrame]:
     return score
 
 
+#: Partials that a task holds before it combines them.
+HELD = 32
+#: Groups that the partials of one key are dealt over before the last merge.
+SALTS = 64
+
+
 def two_phase_aggregate(df: DataFrame, key: str, partial: Callable[[pd.DataFrame], pd.DataFrame],
                         merge: Callable[[pd.DataFrame], pd.DataFrame], partial_schema: str,
-                        out_schema: str) -> DataFrame:
+                        out_schema: str, combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """Pluggable aggregator without holding a group in one task: ``partial`` summarises each
-    Arrow batch per key on the map side (mapInPandas), ``merge`` combines the small partial rows of
-    one key (applyInPandas over at most one row per batch and key)."""
+    Arrow batch per key on the map side, ``merge`` turns the partial rows of one key into its result.
+
+    ``combine`` makes one partial row per key out of several. With it a task sends one row per key, however many
+    batches it reads, and the rows of a hot key are first combined in ``SALTS`` groups: the last merge of a key sees at
+    most so many. Without it a key has one row per batch."""
     def map_side(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for b in batches:
             if len(b):
-                yield partial(b)
+                held.append(partial(b))
+            if combine is None:
+                yield from held
+                held = []
+            elif len(held) >= HELD:
+                held = [combine(pd.concat(held, ignore_index=True))]
+        if held:
+            yield combine(pd.concat(held, ignore_index=True))
 
     partials = df.mapInPandas(map_side, partial_schema)
+    if combine is not None:
+        salted = partials.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        partials = salted.groupBy(key, "_salt").applyInPandas(lambda p: combine(p.drop(columns="_salt")), partial_schema)
     return partials.groupBy(key).applyInPandas(merge, out_schema)

@@ -41,7 +41,8 @@ def _join_blocks(rows: DataFrame, offsets: DataFrame, n_blocks: int) -> DataFram
 def _in_blocks(df: DataFrame, order: list[str | Column]) -> tuple[DataFrame, int]:
     """``df`` in ordered blocks: ``_blk`` and ``_at``, which rises with the order over the whole table."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # Dealing by range reads its input twice (once to sample the bounds): what makes the rows runs once.
+    ranged = written(df, "unordered").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     return written(ranged, "ordered").withColumn("_blk", F.shiftright("_at", _PLACE_BITS)), n
 
 

@@ -87,15 +87,23 @@ def rank_runs(s: DataFrame) -> DataFrame:
     return global_positions(keyed, order, "rank").drop("_m", "_l", "_mn", "_ln")
 
 
-def log_flags(logs: DataFrame, line: str = "line") -> DataFrame:
-    """Per run: OOM text seen, nan/inf substring seen (plain substrings, as in the reference)."""
-    low = F.lower(F.col(line))
-    oom = F.lit(False)
-    for p in OOM_PATTERNS:
-        oom = oom | low.contains(p)
-    nan = F.lit(False)
-    for p in INSTABILITY_PATTERNS:
-        nan = nan | low.contains(p)
+def seen(line: Column, patterns: list[str], match: str = "substring") -> Column:
+    """Whether the lower-cased line has one of the patterns: anywhere (``substring``, as the reference has it, so that
+    "info" counts as "inf"), or as a ``word`` of its own, not next to a letter or digit."""
+    if match not in ("substring", "word"):
+        raise ValueError(f"match is substring or word, not {match!r}")
+    low = F.lower(line)
+    if match == "word":
+        return low.rlike("(?<![a-z0-9_])(" + "|".join(p.replace(".", "[.]") for p in patterns) + ")(?![a-z0-9_])")
+    out = F.lit(False)
+    for p in patterns:
+        out = out | low.contains(p)
+    return out
+
+
+def log_flags(logs: DataFrame, line: str = "line", match: str = "substring") -> DataFrame:
+    """Per run: OOM text seen, nan/inf seen."""
+    oom, nan = seen(F.col(line), OOM_PATTERNS, match), seen(F.col(line), INSTABILITY_PATTERNS, match)
     return logs.groupBy("run_dir").agg(F.bool_or(oom).alias("has_oom"), F.bool_or(nan).alias("has_nan_inf"))
 
 

@@ -38,10 +38,14 @@ def score_with(spark, sf_dir):
 
 def _partial(b: pd.DataFrame) -> pd.DataFrame:
     b = b.assign(ln=b["loss"] * b["n_tokens"])
-    g = b.groupby("lang", as_index=False).agg(ln=("ln", "sum"), n=("n_tokens", "sum"), rows=("loss", "size"))
+    g = b.groupby("lang", as_index=False, dropna=False).agg(ln=("ln", "sum"), n=("n_tokens", "sum"), rows=("loss", "size"))
     return g.astype({"ln": "float64", "n": "int64", "rows": "int64"})
 
 
+def _combine(p: pd.DataFrame) -> pd.DataFrame:
+    return p.groupby("lang", as_index=False, dropna=False).sum()
+
+
 def _merge(p: pd.DataFrame) -> pd.DataFrame:
     ln, n = float(p["ln"].sum()), int(p["n"].sum())
     return pd.DataFrame({"lang": [p["lang"].iloc[0]], "loss": [round(ln / max(n, 1), 6)],
@@ -54,4 +58,4 @@ def _merge(p: pd.DataFrame) -> pd.DataFrame:
 def pluggable_aggregate(spark, sf_dir):
     li = Views(spark, sf_dir).loss_items.where(~is_blank("text")).select("lang", "loss", "n_tokens")
     return ext.two_phase_aggregate(li, "lang", _partial, _merge, "lang string, ln double, n long, rows long",
-                                   "lang string, loss double, total long")
+                                   "lang string, loss double, total long", _combine)

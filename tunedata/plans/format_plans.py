@@ -229,3 +229,10 @@ def project_text_only(spark, sf_dir):
 @query("preference_rows", oracle("SELECT prompt, chosen, rejected FROM preference_pairs", "preference_pairs"))
 def preference_rows(spark, sf_dir):
     return fm.preference_rows(Views(spark, sf_dir).preference_pairs)
+
+
+@query("preference_rows_question", oracle("SELECT prompt, chosen, rejected FROM preference_pairs", "preference_pairs"))
+def preference_rows_question(spark, sf_dir):
+    """A question/chosen/rejected set through the rename option."""
+    asked = Views(spark, sf_dir).preference_pairs.withColumnRenamed("prompt", "question")
+    return fm.preference_rows(asked, rename_question=True)

@@ -61,10 +61,10 @@ def _ranked(spark, sf_dir):
     return rn.rank_runs(_summaries(spark, sf_dir))
 
 
-def _diagnosed(spark, sf_dir, s=None):
+def _diagnosed(spark, sf_dir, s=None, match="substring"):
     v = Views(spark, sf_dir)
     s = s if s is not None else _summaries(spark, sf_dir)
-    return rn.diagnose_runs(s, rn.log_flags(v.run_logs))
+    return rn.diagnose_runs(s, rn.log_flags(v.run_logs, match=match))
 
 
 def _joined(c):
@@ -135,6 +135,20 @@ def diagnose_runs(spark, sf_dir):
                     _joined(F.col("next_actions")).alias("next_actions"))
 
 
+_D_WORD_FLAGS = ("fl AS (SELECT run_dir, bool_or(regexp_matches(l, '(^|[^a-z0-9_])(out of memory|cuda oom)([^a-z0-9_]|$)')) AS has_oom, "
+                 "bool_or(regexp_matches(l, '(^|[^a-z0-9_])(nan|inf)([^a-z0-9_]|$)')) AS has_nan_inf "
+                 "FROM (SELECT run_dir, lower(line) AS l FROM run_logs) t GROUP BY run_dir)")
+
+
+@query("diagnose_runs_word", oracle(
+    ctes(D_PM, D_S, _D_WORD_FLAGS) + f"SELECT s.run_dir, {_ISSUES} AS issues, {_ACTIONS} AS next_actions "
+    "FROM s LEFT JOIN fl ON s.run_dir = fl.run_dir", *VIEWS))
+def diagnose_runs_word(spark, sf_dir):
+    """The same diagnosis with whole words, so that "INFO starting" is no instability."""
+    d = _diagnosed(spark, sf_dir, match="word")
+    return d.select("run_dir", _joined(F.col("issues")).alias("issues"), _joined(F.col("next_actions")).alias("next_actions"))
+
+
 @query("pick_diagnosis_target", oracle(
     ctes(D_PM, D_S, D_RANK, D_FLAGS) + f"SELECT r.run_dir, {_ISSUES} AS issues FROM r LEFT JOIN fl "
     "ON r.run_dir = fl.run_dir WHERE r.rank = 1", *VIEWS))

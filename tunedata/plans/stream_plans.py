@@ -40,8 +40,18 @@ def stream_running_eval(spark, sf_dir):
     s = jobs.file_stream(spark, f"{sf_dir}/embeddings.parquet")
     rows = s.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
                     (argmax_first(F.expr(FOUR_SCORES)) == (F.col("label") % 4)).alias("correct"))
-    out = jobs.drain(jobs.running_eval(rows, "category"), scratch_path(spark, "running-eval"), output_mode="complete")
-    return spark.read.parquet(out)
+    out = jobs.drain(jobs.running_eval(rows, "category"), scratch_path(spark, "running-eval"), output_mode="update")
+    return jobs.latest(spark, out, "category")
+
+
+@query("stream_running_loss", oracle(
+    "SELECT lang, count(*) AS total, sum(n_tokens)::BIGINT AS n_tokens, round(sum(loss * n_tokens) / greatest(sum(n_tokens), 1), 6) AS avg_loss "
+    "FROM loss_items GROUP BY lang", "loss_items"))
+def stream_running_loss(spark, sf_dir):
+    """The average loss of each language as items arrive; only keys that a micro-batch touches are written."""
+    items = spark.sql(PORTABLE["loss_items"][1], documents=jobs.file_stream(spark, f"{sf_dir}/documents.parquet"))
+    out = jobs.drain(jobs.running_loss(items, "lang"), scratch_path(spark, "running-loss"), output_mode="update")
+    return jobs.latest(spark, out, "lang")
 
 
 @query("stream_log_alerts", oracle(
@@ -68,6 +78,17 @@ def stream_loss_windows(spark, sf_dir):
                     F.round("mean_loss", 6).alias("mean_loss"))
 
 
+@query("stream_loss_sliding", oracle(
+    f"SELECT {RUN_DIR_SQL} AS run_dir, {D_TS % 's'} AS window_start, count(*) AS n, round(avg(value), 6) AS mean_loss "
+    "FROM (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS s FROM events) e "
+    "GROUP BY 1, s HAVING s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"))
+def stream_loss_sliding(spark, sf_dir):
+    """Windows of a day that begin every twelve hours: each row counts in two."""
+    out = jobs.drain(jobs.loss_windows(_steps(spark, sf_dir), "1 day", "12 hours"), scratch_path(spark, "loss-sliding"), output_mode="append")
+    r = spark.read.parquet(out)
+    return r.select("run_dir", F.date_format("w.start", S_TS).alias("window_start"), "n", F.round("mean_loss", 6).alias("mean_loss"))
+
+
 @query("stream_run_sessions", oracle(
     f"SELECT run_dir, {D_TS % 'min(ts)'} AS session_start, {D_TS % '(max(ts) + INTERVAL 30 MINUTE)'} AS session_end, "
     "count(*) AS n_events FROM (SELECT run_dir, ts, sum(brk) OVER (PARTITION BY run_dir ORDER BY ts, event_id) AS sid "

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tunedata.sources.tables import TABLE_NAMES, Tables
 
+#: Tokens of an item that an evaluation scores: the reference's evaluator truncates its inputs there, so a longer
+#: text has a loss over its first tokens only. Evaluations with another limit set another number.
+EVAL_MAX_TOKENS = 2048
+
 RUN_DIR_SQL = "concat('run_', lpad(CAST(user_id AS STRING), 6, '0'))"
 
 # name -> (dependencies, portable SQL)
@@ -51,11 +55,11 @@ SELECT pair_id, pair_id % 10 AS step_bucket,
        CAST(length(chosen) AS DOUBLE) / 100 AS chosen_reward,
        CAST(length(rejected) AS DOUBLE) / 100 AS rejected_reward
 FROM {preference_pairs}"""),
-    "loss_items": (("documents",), """
+    "loss_items": (("documents",), f"""
 SELECT doc_id AS item_id, lang, source, text,
-       least(length(text) - length(replace(text, ' ', '')) + 1, 2048) AS n_tokens,
+       least(length(text) - length(replace(text, ' ', '')) + 1, {EVAL_MAX_TOKENS}) AS n_tokens,
        CAST(n_chars % 700 AS DOUBLE) / 100 + CAST(0.5 AS DOUBLE) AS loss
-FROM {documents}"""),
+FROM {{documents}}"""),
     "run_steps": (("events",), f"""
 SELECT {RUN_DIR_SQL} AS run_dir, user_id AS run_no,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 10 AS step,

@@ -41,6 +41,13 @@ def running_eval(correct_rows: DataFrame, key: str) -> DataFrame:
                                          F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
 
 
+def running_loss(scored: DataFrame, key: str) -> DataFrame:
+    """Running token-weighted loss per key over arriving items (``loss``, ``n_tokens``)."""
+    total = F.sum("n_tokens")
+    return scored.groupBy(key).agg(F.count(F.lit(1)).alias("total"), total.alias("n_tokens"),
+                                   F.round(F.sum(F.col("loss") * F.col("n_tokens")) / F.greatest(total, F.lit(1)), 6).alias("avg_loss"))
+
+
 # ---------------------------------------------------------------- S2
 def log_alerts(lines: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One alert per (run, issue) from the diagnosis text rules, deduplicated within the watermark."""
