@@ -101,10 +101,13 @@ def _write(path, obj):
 @pytest.fixture(scope="module")
 def tree():
     root = tempfile.mkdtemp(prefix="tunedata-runs-")
-    _write(f"{root}/run_001/run_config.json", {"model": "a", "dataset": "d", "train_loss": 1.2})
-    _write(f"{root}/run_001/eval_mmlu.json", {"accuracy": 0.41})
-    _write(f"{root}/run_002/run_config.json", {"model": "a", "dataset": "d", "train_loss": 1.4})
-    _write(f"{root}/run_002/eval_mmlu.json", {"accuracy": 0.55})
+    # Three runs over the same notes: the last two tie on the metric, so that the lower loss decides.
+    _write(f"{root}/run_001/run_config.json", {"model": "org/tiny-1b", "dataset": "field-notes", "train_loss": 0.37})
+    _write(f"{root}/run_001/eval_mmlu.json", {"accuracy": 0.268})
+    _write(f"{root}/run_002/run_config.json", {"model": "org/tiny-1b", "dataset": "field-notes", "train_loss": 2.71})
+    _write(f"{root}/run_002/eval_mmlu.json", {"accuracy": 0.633})
+    _write(f"{root}/run_008/run_config.json", {"model": "org/mid-8b", "dataset": "field-notes", "train_loss": 0.92})
+    _write(f"{root}/run_008/eval_mmlu.json", {"accuracy": 0.633})
     _write(f"{root}/run_003/run_config.json", '{"model": "a", "train_loss": NaN}')
     _write(f"{root}/run_004/run_config.json", {"model": "a", "train_loss": 1.0})
     _write(f"{root}/run_004/eval_custom.json", {"benchmark": "custom", "loss": 2.0, "perplexity": 7.4})
@@ -117,17 +120,17 @@ def tree():
     _write(f"{root}/run_10/run_config.json", {"model": "b"})
     _write(f"{root}/run_9/run_config.json", {"model": "b"})
     _write(f"{root}/run_7/run_config.json", "{not json")
-    _write(f"{root}/run_001/stdout.log", "step 1\nCUDA out of memory while allocating tensor\n")
-    _write(f"{root}/run_002/stdout.log", "INFO all good\n")
+    _write(f"{root}/run_001/stdout.log", "epoch 0 of 2\n[rank 3] allocator gave up: GPU out of memory (wanted 1.50 GiB)\n")
+    _write(f"{root}/run_002/stdout.log", "INFO checkpoint written after 40 s\n")
     return root
 
 
 def test_rank_prefers_accuracy(spark, tree):
     c = rs.scan_run_configs(spark, tree)
     e = rs.scan_eval_artifacts(spark, tree)
-    ranked = rn.rank_runs(rn.summaries(c, e).where(F.col("run_dir").isin("run_001", "run_002")))
+    ranked = rn.rank_runs(rn.summaries(c, e).where(F.col("run_dir").isin("run_001", "run_002", "run_008")))
     order = [r.run_dir for r in ranked.orderBy("rank").collect()]
-    assert order == ["run_002", "run_001"]
+    assert order == ["run_008", "run_002", "run_001"]
 
 
 def test_primary_metric_quirks(spark, tree):
