@@ -58,9 +58,15 @@ def contamination_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, id
     is joined by a shuffle on the hash.
 
     Defined cases: a null text has no words; an item without words never hits; null item ids are
-    left out of ``items`` but their windows hit; rows that repeat both id and text are one row,
-    rows that repeat only the id are rows of their own (``text_key``); empty tables give no hits
-    or no rows; other columns are ignored."""
+    left out of ``items`` but their windows hit; rows that repeat both id and text come out as often as they
+    came in, rows that repeat only the id are rows of their own (``text_key``); texts of any length are read
+    whole; empty tables give no hits or no rows; other columns are ignored."""
+    hits = _distinct_hits(docs, benchmark, n, id_col, text_col, broadcast_bytes)
+    return hits.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies")
+
+
+def _distinct_hits(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, broadcast_bytes: int) -> DataFrame:
+    """One row per id and text, with ``copies``, how many rows have both."""
     grams = materialize(test_ngrams(benchmark, n), "test-ngrams")
     size = grams.agg(F.sum(F.size("gram_words") * 16 + F.octet_length(F.concat_ws("", "gram_words"))).alias("b"),
                      F.sort_array(F.collect_set("length")).alias("l")).first()  # n lengths at most
@@ -89,11 +95,12 @@ def contamination_hits(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, id
                     & (F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("length")) == F.col("gram_words"))))
     # All hits of a document come from one task: its lists are no longer than its own words ask.
     found = (hits.groupBy("id", "text_key", "n_words")
-             .agg(F.collect_set(F.when(F.col("length") > 0, F.struct("pos", "length"))).alias("at"),
+             .agg(F.count_if(F.col("length") == 0).alias("copies"),  # each row has one such window
+                  F.collect_set(F.when(F.col("length") > 0, F.struct("pos", "length"))).alias("at"),
                   F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(
         "at", lambda x: F.sequence(x["pos"], x["pos"] + x["length"] - 1)))))
-    return found.select("id", "text_key", F.col("n_words").cast("bigint").alias("n_words"),
+    return found.select("id", "text_key", "copies", F.col("n_words").cast("bigint").alias("n_words"),
                         covered.alias("hit_words"), "items").withColumn("n_hit", F.size("hit_words").cast("bigint"))
 
 
@@ -116,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, mode: s
         return without_ids(docs, gone, id_col)
     if mode != "spans":
         raise ValueError(f"mode must be documents or spans, not {mode!r}")
-    cut = hits.filter("n_hit > 0").select(F.col("id").alias("__tdk_id"), F.col("text_key").alias("__tdk_key"), F.col("hit_words").alias("__tdk_hit"))
+    cut = hits.filter("n_hit > 0").dropDuplicates(["id", "text_key"]).select(F.col("id").alias("__tdk_id"), F.col("text_key").alias("__tdk_key"), F.col("hit_words").alias("__tdk_hit"))
     joined = docs.join(cut, docs[id_col].eqNullSafe(cut["__tdk_id"]) & (F.xxhash64(text_of(docs[text_col])) == cut["__tdk_key"]), "left")
     # A piece is a word and the gap behind it; a leading gap stands alone in front.
     lead = F.regexp_extract(text_of(docs[text_col]), f"^{_CASED_GAP}*", 0)
