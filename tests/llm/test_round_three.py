@@ -297,3 +297,37 @@ def test_midstates():
         for d in digests:
             state = ms.unpack(ms.pack(ms.absorb(state, ms.hex_blocks(d))))
         assert [x.tobytes().hex() for x in ms.finish(state, blocks)] == [sha(*[d[i].tobytes().hex() for d in digests]) for i in range(5)]
+
+
+# -- repeated rows of earlier operators ---------------------------------------------------------------
+
+def test_decontamination_repeated_rows(spark):
+    from tunedata.llm.decontaminate import contamination_hits, decontaminate
+
+    passage = " ".join(f"p{i}" for i in range(15))
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    rows = [(1, passage), (1, passage), (1, "clean words"), (2, None), (2, None), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((str(r["id"]), r["n_words"], r["n_hit"]) for r in contamination_hits(docs, bench).collect())
+    assert got == [("1", 2, 0), ("1", 15, 15), ("1", 15, 15), ("2", 0, 0), ("2", 0, 0), ("None", 15, 15)]
+    assert decontaminate(docs, bench, mode="spans").count() == len(rows)
+    assert contamination_hits(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_near_dedup_repeated_ids(spark, flip):
+    """Rows with one id and two texts give the same labels in any order, and all rows of an id the same."""
+    from tunedata.llm.minhash_dedup import near_components
+
+    a = [f"a{i}" for i in range(60)]
+    b = [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[:58])), (2, " ".join(b)), (3, " ".join(b)), (4, " ".join(b[:57])), (5, "other words here"), (5, "other words here")]
+    docs = spark.createDataFrame(rows[::-1] if flip else rows, "doc_id bigint, text string").coalesce(1)
+    got = {}
+    for r in near_components(docs).collect():
+        got.setdefault(r["id"], set()).add(r["component_id"])
+    assert all(len(c) == 1 for c in got.values()) and got[2] == got[3] and got[5] == {5} and got[1] <= {1}
+    assert got == test_near_dedup_repeated_ids.seen.setdefault("first", got)
+
+
+test_near_dedup_repeated_ids.seen = {}
