@@ -394,3 +394,16 @@ def test_question_stands_in_for_prompt(spark):
     cols = F.array(*[F.lit(c) for c in df.columns])
     got = spark.range(1).select(cat.missing_preference_columns(cols), cat.missing_preference_columns(cols, True)).first()
     assert got[0] == ["prompt"] and got[1] == []
+
+
+def test_file_stream_reads_folders(spark, tmp_path):
+    """A table may be one file or a folder of that name; an empty stream still leaves both gate tables."""
+    from tunedata.streaming import gate
+
+    folder = str(tmp_path / "docs.parquet")
+    spark.createDataFrame([(i, " ".join([f"w{i}"] * 12)) for i in range(8)], "doc_id bigint, text string").repartition(3).write.parquet(folder)
+    out = gate.run_gate(jobs.file_stream(spark, folder), str(tmp_path / "out"))
+    assert spark.read.parquet(out + "/kept").count() == 8 and spark.read.parquet(out + "/rejected").count() == 0
+    part = next(p for p in (tmp_path / "docs.parquet").iterdir() if p.name.endswith(".parquet"))
+    one = gate.run_gate(jobs.file_stream(spark, str(part)), str(tmp_path / "one"))
+    assert 0 < spark.read.parquet(one + "/kept").count() < 8

@@ -142,4 +142,4 @@ def stream_quality_gate(spark, sf_dir):
     docs = jobs.file_stream(spark, f"{sf_dir}/documents.parquet")
     out = gate.run_gate(docs, scratch_path(spark, "gated"))
     kept = spark.read.parquet(out + "/kept").select(F.col("id").alias("doc_id"), F.lit("kept").alias("reason"))
-    return kept.unionByName(spark.read.schema("id long, reason string").parquet(out + "/rejected").select(F.col("id").alias("doc_id"), "reason"))
+    return kept.unionByName(spark.read.parquet(out + "/rejected").select(F.col("id").alias("doc_id"), "reason"))

@@ -72,9 +72,13 @@ def write_gated(batch: DataFrame, batch_id: int, out: str, form: Callable[[Colum
 
 def run_gate(docs: DataFrame, out: str, checkpoint: str | None = None, form: Callable[[Column], Column] | None = None,
              id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Gates what has arrived in ``docs`` since the last call with this ``checkpoint`` and returns ``out``."""
+    """Gates what has arrived in ``docs`` since the last call with this ``checkpoint`` and returns ``out``. Both tables
+    exist afterwards, also when nothing has arrived (``batch=-1`` holds no rows)."""
     from tunedata.streaming.plateau import rocksdb_state
 
+    spark = docs.sparkSession
+    for name, columns in (("kept", "id long, text string, split string"), ("rejected", "id long, reason string")):
+        spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{out}/{name}/batch=-1")
     with rocksdb_state(docs.sparkSession):
         (gate_stream(docs, id_col, text_col).writeStream.outputMode("append")
          .option("checkpointLocation", checkpoint or out + "-checkpoint").trigger(availableNow=True)

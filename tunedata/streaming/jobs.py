@@ -16,14 +16,16 @@ from tunedata.operators import runs as rn
 
 
 def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet file source with the schema taken from the existing files. ``path`` may name one
-    file: the source then watches its directory, filtered to that file name."""
+    """Parquet file source with the schema taken from the existing files. ``path`` is a folder of files, or names
+    one file: the source then watches its directory, filtered to that file name."""
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     directory, _, name = path.rstrip("/").rpartition("/")
-    if name.endswith(".parquet") and "*" not in name:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if "*" not in name and store.getFileStatus(where).isFile():
         return r.option("pathGlobFilter", name).parquet(directory)
     return r.parquet(path)
 
