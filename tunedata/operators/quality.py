@@ -180,13 +180,13 @@ def encoding_flags(c: str | Column) -> list[Column]:
     return [F.instr(c, REPLACEMENT_CHAR) > 0, c.rlike(CONTROL_CHARS_RE), c.rlike(MOJIBAKE_RE)]
 
 
-def gate_reasons(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, reason, digest``: the first check that a row fails on its own (null: none), in one pass."""
+def gate_reasons(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
+    """``id, reason, digest`` and the columns ``carry``: the first check that a row fails on its own (null: none), in one pass."""
     n = token_count(text_col)
     rep, ctl, moj = encoding_flags(text_col)
     reason = (F.when(F.col(text_col).isNull() | is_blank(text_col), "empty")
               .when(n < MIN_TOKENS, "too_short").when(n > MAX_SEQ_LENGTH, "too_long").when(rep | ctl | moj, "encoding"))
-    return df.select(F.col(id_col).alias("id"), reason.alias("reason"), content_key([text_col]).alias("digest"))
+    return df.select(F.col(id_col).alias("id"), reason.alias("reason"), content_key([text_col]).alias("digest"), *carry)
 
 
 def gate_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

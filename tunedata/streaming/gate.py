@@ -42,15 +42,17 @@ class FirstOfDigest(StatefulProcessor):
 
 
 def gate_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, verdict, text``: for each arriving row its text (verdict null), and its verdict (text null).
+    """``id, verdict, text``: each arriving row, a rejected one with its reason and without its text, one that passes the
+    rules with its text and no verdict yet; and the verdicts of the latter (text null).
 
     ``docs`` is a stream; ids are whole numbers, not null. The rules are those of the batch gate."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("string").alias("verdict"), F.col(text_col).alias("text"))
-    rules = q.gate_reasons(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "reason", "digest")
-    failed = rules.where("reason IS NOT NULL").select("id", F.col("reason").alias("verdict"))
-    passed = rules.where("reason IS NULL").groupBy("digest").transformWithStateInPandas(FirstOfDigest(), "id long, verdict string", "Append", "None")
-    verdicts = failed.unionByName(passed).select("id", "verdict", F.lit(None).cast("string").alias("text"))
-    return texts.unionByName(verdicts)
+    docs = docs.select(id_col, F.col(text_col).alias("text"))
+    rules = q.gate_reasons(docs, id_col, "text", "text")
+    rows = rules.select(F.col("id").cast("long").alias("id"), F.col("reason").alias("verdict"),
+                        F.when(F.col("reason").isNull(), F.col("text")).alias("text"))
+    passed = rules.where("reason IS NULL").select(F.col("id").cast("long").alias("id"), "digest")
+    verdicts = passed.groupBy("digest").transformWithStateInPandas(FirstOfDigest(), "id long, verdict string", "Append", "None")
+    return rows.unionByName(verdicts.select("id", "verdict", F.lit(None).cast("string").alias("text")))
 
 
 def write_gated(batch: DataFrame, batch_id: int, out: str, form: Callable[[Column], Column] | None = None, fraction: float = 0.05) -> None:
