@@ -179,7 +179,7 @@ def _sums(flush: int, text: np.ndarray, base: np.ndarray, known: np.ndarray, sco
     there = np.flatnonzero(np.bincount(text, minlength=n))
     add = lambda x: np.bincount(text, x, n)[there]
     return (int(flush % (1 << 31)), SUMS, flush, _pack(there.astype(np.uint16), add(base), add(known).astype(np.uint32),
-                                                       add(score).astype(np.float32), add(backed).astype(np.uint32)))
+                                                       add(score), add(backed).astype(np.uint32)))
 
 
 def _shard_model(hot: np.ndarray, hot_count: np.ndarray, end_count: int, shards: int):
@@ -262,6 +262,7 @@ def _resolve(hot_weight: np.ndarray):
         n = np.concatenate([c[1] for c in counts]) if counts else np.zeros(0, np.int64)
         order = np.argsort(words)
         words, n = np.append(words[order], np.uint64(0)), np.append(n[order], 0)
+        sums: dict[int, list] = {}  # one row a flush, however many shards asked
         for flush, sizes, wu, here, wx, hot, text, count in asked:
             at = np.minimum(np.searchsorted(words[:-1], wu), len(words) - 1)
             lower = np.where(here, 0.0, np.log10(np.where(words[at] == wu, n[at], 0) + 1))[wx]
@@ -269,8 +270,13 @@ def _resolve(hot_weight: np.ndarray):
             ends = np.cumsum(sizes)
             for f, b, size in zip(flush.tolist(), ends.tolist(), sizes.tolist()):
                 part = slice(b - size, b)
-                zero = np.zeros(size)
-                rows.append(_sums(f, text[part].astype(np.int64), zero, zero, value[part], zero))
+                mine = np.bincount(text[part], value[part])
+                there = np.unique(text[part])
+                sums.setdefault(f, []).append((there, mine[there]))
+        for f, found in sums.items():
+            text, value = (np.concatenate(x) for x in zip(*found))
+            zero = np.zeros(len(text))
+            rows.append(_sums(f, text.astype(np.int64), zero, zero, value, zero))
         return _rows(rows)
 
     return run
