@@ -251,9 +251,13 @@ def test_permutation_is_one():
             assert sorted(got) == list(at)
 
 
-def test_lm_score(spark, docs, empty):
+@pytest.mark.parametrize("shard_tokens,coded", [(None, None), (40, 12)])
+def test_lm_score(spark, docs, empty, monkeypatch, shard_tokens, coded):
     from tunedata.llm import lm_score
 
+    if shard_tokens:  # many shards, and few words that all tasks know
+        monkeypatch.setattr(lm_score, "SHARD_TOKENS", shard_tokens)
+        monkeypatch.setattr(lm_score, "CODED", coded)
     import math
     held = F.col("doc_id") % 7 == 0
     got = by_id(lm_score.score(docs, held=held))
@@ -280,6 +284,16 @@ def test_lm_score(spark, docs, empty):
     assert lm_score.score(docs, held=F.lit(True)).filter("n_known = 0 and train_tokens = 0").count() == len(TEXTS) + 1
 
 
+def test_coded_hashes():
+    from tunedata.llm.lm_score import _code, _decode
+
+    rng = np.random.default_rng(1)
+    every = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2))
+    for book in (every[::3], every, every[:0], every[:1]):
+        for words in (every, every[::2], every[:0], every[-1:]):
+            assert _decode(_code(words, book), book).tolist() == words.tolist()
+
+
 def test_elias_fano():
     from tunedata.llm.ngram_trie import EliasFano, NgramTrie
 

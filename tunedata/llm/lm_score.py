@@ -24,6 +24,9 @@ BEGIN, END = np.uint64(0x1234567890ABCDEF), np.uint64(0x0FEDCBA098765432)
 FLUSH_TOKENS, SHARD_TOKENS = 1_500_000, 1_000_000
 #: A token with more than this share of all tokens is dealt over several shards.
 HOT_SHARE = 1 / 1024
+#: Frequent tokens that the blobs between tasks name by their place in a table instead of by their
+#: hash, and whose counts every task knows. The table decides only how records are written.
+CODED = 1 << 16
 #: Taken off the count of every pair seen, for the pairs not seen.
 DISCOUNT = 0.8
 #: Kinds of rows between the stages.
@@ -62,35 +65,62 @@ def _streams(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, np.ndarray
         yield begin, out, bounds
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Tokens with more than HOT_SHARE of all tokens (there can be no more than 1 / HOT_SHARE of
-    them; this decides only how records are dealt), and the number of tokens."""
+def _code(words: np.ndarray, book: np.ndarray) -> tuple:
+    """Ascending hashes: which are in the book, the steps between their places, and the others by byte planes."""
+    at = np.minimum(np.searchsorted(book, words), max(len(book) - 1, 0))
+    known = book[at] == words if len(book) else np.zeros(len(words), bool)
+    rest = np.ascontiguousarray(words[~known].view(np.uint8).reshape(-1, 8).T)
+    return np.packbits(known), np.diff(at[known], prepend=0).astype(np.uint16), rest
+
+
+def _decode(coded: tuple, book: np.ndarray) -> np.ndarray:
+    flags, steps, rest = coded
+    out = np.empty(len(steps) + rest.shape[1], np.uint64)
+    known = np.unpackbits(flags, count=len(out)).astype(bool)
+    out[known] = book[np.cumsum(steps, dtype=np.int64)] if len(steps) else 0
+    out[~known] = np.ascontiguousarray(rest.T).view(np.uint64).ravel()
+    return out
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The CODED most frequent tokens, about, ascending; those among them with more than HOT_SHARE of
+    all tokens (there can be no more than 1 / HOT_SHARE of them); and the number of tokens. Both lists
+    decide only how records are dealt and written. A task keeps at most 4 * CODED tokens and hands on CODED."""
+    def most(token: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        token, at = np.unique(token, return_inverse=True)
+        n = np.bincount(at, n, len(token)).astype(np.int64)
+        if len(token) > k:
+            best = np.sort(np.argpartition(-n, k)[:k])
+            token, n = token[best], n[best]
+        return token, n
+
     def run(batches):
+        held, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
-            found, counts, total = [], [], 0
             for _, tokens, _ in _streams(batch, 0):
                 u, n = np.unique(tokens, return_counts=True)
-                often = n > max(1, len(tokens) * HOT_SHARE / 4)
-                found.append(u[often])
-                counts.append(n[often])
+                held, counts = most(np.concatenate([held, u]), np.concatenate([counts, n]), 4 * CODED)
                 total += len(tokens)
-            u, at = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts or [np.zeros(0)]), len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(u.view(np.int64), 0)), pa.array(np.append(n, 0)),
-                                              pa.array(np.append(np.zeros(len(u), np.int64), total))], names=["token", "n", "total"])
+        held, counts = most(held, counts, CODED)
+        often = counts > 1  # a token met once in a task gains nothing from the table
+        held, counts = held[often], counts[often]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held.view(np.int64), 0)), pa.array(np.append(counts, 0)),
+                                          pa.array(np.append(np.zeros(len(held), np.int64), total))], names=["token", "n", "total"])
 
     counts = docs.select("text").mapInArrow(run, "token bigint, n bigint, total bigint").groupBy("token").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"))
     counts = materialize(counts, "lm-frequent")
     total = counts.agg(F.sum("total")).first()[0] or 0
-    rows = counts.filter(F.col("n") > max(1, total * HOT_SHARE)).select("token").collect()
-    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64)), total
+    rows = counts.filter("n > 0").orderBy(F.desc("n"), "token").limit(CODED).select("token", "n").collect()  # 16 bytes a row
+    book = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    n = np.array([r["n"] for r in rows], np.int64)
+    return np.sort(book), np.sort(book[n > max(1, total * HOT_SHARE)]), total
 
 
-def _exact_counts(docs: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, int, int, np.ndarray]:
-    """Of the training texts: the hot tokens' counts, the number of tokens and of texts. Of all texts:
-    the hot tokens' counts."""
-    keys = np.append(hot, np.uint64(0xFFFFFFFFFFFFFFFF))
+def _exact_counts(docs: DataFrame, book: np.ndarray) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """Of the training texts: the book's tokens' counts, the number of tokens and of texts. Of all texts:
+    the book's tokens' counts."""
+    keys = np.append(book, np.uint64(0xFFFFFFFFFFFFFFFF))
 
     def run(batches):
         train, every, tokens_n, texts_n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), 0, 0
@@ -104,18 +134,25 @@ def _exact_counts(docs: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, int, in
                 every += np.bincount(at, minlength=len(keys))
                 tokens_n += int(mine.sum())
                 texts_n += int(learn[begin:begin + len(bounds) - 1].sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(keys)), [-1, -2])), pa.array(np.append(train, [tokens_n, texts_n])),
-                                          pa.array(np.append(every, [0, 0]))], names=["k", "n", "m"])
-
-    rows = {r["k"]: r for r in docs.select("text", "held").mapInArrow(run, "k bigint, n bigint, m bigint").groupBy("k").agg(
-        F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}  # at most 1 / HOT_SHARE + 3 rows
-    count = np.array([rows[k]["n"] if k in rows else 0 for k in range(len(hot))], np.int64)
-    every = np.array([rows[k]["m"] if k in rows else 0 for k in range(len(hot))], np.int64)
-    texts = rows[-2]["n"] if rows else 0
-    return count, (rows[-1]["n"] if rows else 0) - texts, texts, every  # BEGIN is no token
-
-
-def _deal(docs: DataFrame, hot: np.ndarray, spread: np.ndarray, shards: int) -> DataFrame:
+        met = np.flatnonzero(every[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, [-1, -2])), pa.array(np.append(train[met], [tokens_n, texts_n])),
+                                          pa.array(np.append(every[met], [0, 0]))], names=["k", "n", "m"])
+
+    rows = docs.select("text", "held").mapInArrow(run, "k bigint, n bigint, m bigint").groupBy("k").agg(
+        F.sum("n").alias("n"), F.sum("m").alias("m")).collect()  # at most CODED + 2 rows
+    count, every = np.zeros(len(book), np.int64), np.zeros(len(book), np.int64)
+    tokens = texts = 0
+    for k, n, m in rows:
+        if k >= 0:
+            count[k], every[k] = n, m
+        elif k == -1:
+            tokens = n
+        else:
+            texts = n
+    return count, tokens - texts, texts, every  # BEGIN is no token
+
+
+def _deal(docs: DataFrame, book: np.ndarray, hot: np.ndarray, spread: np.ndarray, shards: int) -> DataFrame:
     """The (context, word, text, count) records of every text, packed by shard. The shard is that of
     the context; a hot context has several, by the word."""
     def flush(held: list, number: int) -> Iterator[pa.RecordBatch]:
@@ -126,10 +163,18 @@ def _deal(docs: DataFrame, hot: np.ndarray, spread: np.ndarray, shards: int) ->
         texts = np.repeat(np.arange(len(sizes)), sizes)
         vocabulary, at = np.unique(tokens, return_inverse=True)
         starts = np.flatnonzero(tokens[:-1] != END)  # END is a word, never a context
-        key = (at[starts].astype(np.uint64) << np.uint64(40)) | (at[starts + 1].astype(np.uint64) << np.uint64(16)) | texts[starts].astype(np.uint64)
-        key, count = np.unique(key, return_counts=True)
-        context, word = (key >> np.uint64(40)).astype(np.int64), ((key >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.int64)
-        text = (key & np.uint64(0xFFFF)).astype(np.uint16)
+        context, word, text = at[starts], at[starts + 1], texts[starts]
+        if len(vocabulary) < 1 << 24:
+            key = (context.astype(np.uint64) << np.uint64(40)) | (word.astype(np.uint64) << np.uint64(16)) | text.astype(np.uint64)
+            key, count = np.unique(key, return_counts=True)
+            context, word = (key >> np.uint64(40)).astype(np.int64), ((key >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.int64)
+            text = (key & np.uint64(0xFFFF)).astype(np.uint16)
+        else:  # one text of very many different words
+            order = np.lexsort((text, word, context))
+            context, word, text = context[order], word[order], text[order].astype(np.uint16)
+            first = np.flatnonzero(np.append(True, (np.diff(context) != 0) | (np.diff(word) != 0) | (text[1:] != text[:-1])))
+            count = np.diff(np.append(first, len(context)))
+            context, word, text = context[first], word[first], text[first]
         where = np.searchsorted(hot, vocabulary)
         is_hot = hot[np.minimum(where, len(hot) - 1)] == vocabulary if len(hot) else np.zeros(len(vocabulary), bool)
         ways = np.where(is_hot, spread[np.minimum(where, len(hot) - 1)], 1) if len(hot) else np.ones(len(vocabulary), np.int64)
@@ -145,7 +190,7 @@ def _deal(docs: DataFrame, hot: np.ndarray, spread: np.ndarray, shards: int) ->
             cu, cn = np.unique(context[part], return_counts=True)  # records are in context order
             wu, wi = np.unique(word[part], return_inverse=True)
             rows.append((int(shard[a]), PAIRS, number, _pack(
-                flags, vocabulary[cu], cn.astype(np.uint32), vocabulary[wu],
+                flags, _code(vocabulary[cu], book), cn.astype(np.uint32), _code(vocabulary[wu], book),
                 wi.astype(np.uint16 if len(wu) < 1 << 16 else np.uint32), text[part], count[part].astype(np.uint32))))
             if len(rows) >= 16:
                 yield from _rows(rows).to_batches()
@@ -182,7 +227,7 @@ def _sums(flush: int, text: np.ndarray, base: np.ndarray, known: np.ndarray, sco
                                                        add(score), add(backed).astype(np.uint32)))
 
 
-def _shard_model(hot: np.ndarray, hot_count: np.ndarray, end_count: int, shards: int):
+def _shard_model(book: np.ndarray, book_count: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, end_count: int, shards: int):
     """Counts, trie and scores of one shard's records."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows, parts, flushes = [], [], []
@@ -190,7 +235,8 @@ def _shard_model(hot: np.ndarray, hot_count: np.ndarray, end_count: int, shards:
             if kind == DOCS:
                 rows.append((flush % (1 << 31), DOCS, flush, blob.as_py()))
             else:
-                parts.append(_unpack(blob.as_py()))
+                part = _unpack(blob.as_py())
+                parts.append((part[0], _decode(part[1], book), part[2], _decode(part[3], book), *part[4:]))
                 flushes.append(flush)
         if not parts:
             return _rows(rows)
@@ -218,16 +264,16 @@ def _shard_model(hot: np.ndarray, hot_count: np.ndarray, end_count: int, shards:
         weight[is_hot] = 0.0  # summed over the context's shards, and added in the last step
         rows += [(int(key[0].as_py()), HOT, -1, _pack(h_at[is_hot], DISCOUNT * kinds[is_hot]))] if is_hot.any() else []
         is_begin = contexts == BEGIN
-        counted = (total > 0) & ~is_hot & ~is_begin
-        rows.append((int(key[0].as_py()), COUNTS, -1, _pack(contexts[counted], total[counted].astype(np.int64))))
+        counted = (total > 0) & ~np.isin(contexts, book) & ~is_begin
+        rows.append((int(key[0].as_py()), COUNTS, -1, _pack(_code(contexts[counted], book), total[counted].astype(np.int64))))
         base = np.where(is_begin, 0.0, np.log10(full + 1))[context]
         known = ((full > 0) & ~is_begin)[context]
         back = np.isnan(logs)
-        # The lower order of a backed-off word: known here for hot words and END, else asked of the word's shard.
-        hw = np.searchsorted(hot, words)
-        w_hot = hot[np.minimum(hw, len(hot) - 1)] == words if len(hot) else np.zeros(len(words), bool)
-        lower = np.log10(np.where(w_hot, hot_count[np.minimum(hw, len(hot) - 1)], 0) + 1) if len(hot) else np.zeros(len(words))
-        here = w_hot | (words == END)
+        # The lower order of a backed-off word: known here for the book's words and END, else asked of the word's shard.
+        b_at = np.minimum(np.searchsorted(book, words), max(len(book) - 1, 0))
+        here = book[b_at] == words if len(book) else np.zeros(len(words), bool)
+        lower = np.log10(np.where(here, book_count[b_at], 0) + 1) if len(book) else np.zeros(len(words))
+        here = here | (words == END)
         lower[words == END] = math.log10(end_count + 1)
         context_hot = is_hot[context]
         value = np.where(back, weight[context] + np.where(here[word], lower[word], 0.0), logs)
@@ -245,25 +291,26 @@ def _shard_model(hot: np.ndarray, hot_count: np.ndarray, end_count: int, shards:
             which = np.concatenate([g[1] for g in groups])
             wu, wx = np.unique(word[which], return_inverse=True)
             rows.append((s, UNSEEN, -1, _pack(
-                np.array([g[0] for g in groups], np.int64), np.array([len(g[1]) for g in groups], np.uint32), words[wu], here[wu],
-                wx.astype(np.uint32), np.where(is_hot, h_at, -1)[context[which]].astype(np.int16), text_all[which], count[which].astype(np.uint32))))
+                np.array([g[0] for g in groups], np.int64), np.array([len(g[1]) for g in groups], np.uint32), _code(words[wu], book), here[wu],
+                wx.astype(np.uint16 if len(wu) < 1 << 16 else np.uint32), np.where(is_hot, h_at, -1)[context[which]].astype(np.int16), text_all[which], count[which].astype(np.uint32))))
         return _rows(rows)
 
     return run
 
 
-def _resolve(hot_weight: np.ndarray):
+def _resolve(book: np.ndarray, hot_weight: np.ndarray):
     """Adds what backed-off words need from their own shard: their counts, and hot contexts' weights."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows, counts, asked = [], [], []
         for kind, blob in zip(table["kind"].to_pylist(), table["blob"]):
             (counts if kind == COUNTS else asked).append(_unpack(blob.as_py()))
-        words = np.concatenate([c[0] for c in counts]) if counts else np.zeros(0, np.uint64)
+        words = np.concatenate([_decode(c[0], book) for c in counts]) if counts else np.zeros(0, np.uint64)
         n = np.concatenate([c[1] for c in counts]) if counts else np.zeros(0, np.int64)
         order = np.argsort(words)
         words, n = np.append(words[order], np.uint64(0)), np.append(n[order], 0)
         sums: dict[int, list] = {}  # one row a flush, however many shards asked
         for flush, sizes, wu, here, wx, hot, text, count in asked:
+            wu = _decode(wu, book)
             at = np.minimum(np.searchsorted(words[:-1], wu), len(words) - 1)
             lower = np.where(here, 0.0, np.log10(np.where(words[at] == wu, n[at], 0) + 1))[wx]
             value = count * (lower + np.where(hot >= 0, hot_weight[np.maximum(hot, 0)], 0.0))
@@ -319,7 +366,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     there the shard counts its pairs, builds its trie and scores the very same records. A context
     that holds more than HOT_SHARE of the tokens is dealt over shards by its words. Backed-off words
     are asked of their own shard in a second, smaller exchange. The number of shards follows the
-    number of tokens; the driver sees sums of at most 1 / HOT_SHARE hot tokens.
+    number of tokens; the driver sees the counts of the CODED most frequent tokens. Those are written as
+    places in a table that every task has, the others as hashes, and their counts need not be asked for.
 
     Defined cases: null, empty and blank texts are one token, the end; rows that repeat an id or a text
     are texts of their own; null ids are learned from and scored; if nothing is to learn from, scores
@@ -329,13 +377,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
                        (held_out(id_col) if held is None else held).alias("held"))
     kind = pa.array([], pa.int64()).type if rows.schema["id"].dataType.typeName() in ("long", "integer", "short", "byte") else pa.string()
     rows = rows.withColumn("id", F.col("id").cast("bigint" if kind == pa.int64() else "string"))
-    hot, tokens = _frequent(rows)
-    hot_count, train_tokens, texts, every = _exact_counts(rows, hot)
+    book, hot, tokens = _frequent(rows)
+    book_count, train_tokens, texts, every = _exact_counts(rows, book)
+    hot_count, every = book_count[np.searchsorted(book, hot)], every[np.searchsorted(book, hot)]
     shards = max(1, math.ceil(tokens / SHARD_TOKENS), int(spark.conf.get("spark.sql.shuffle.partitions")) if tokens > SHARD_TOKENS else 1)
     spread = np.maximum(1, np.ceil(every / max(tokens, 1) * shards * 4)).astype(np.int64)  # a quarter of a shard each
     spread = np.minimum(spread, shards)
-    dealt = _deal(rows, hot, spread, shards).repartition(max(shards, 1), "shard")
-    scored = materialize(dealt.groupBy("shard").applyInArrow(_shard_model(hot, hot_count, texts, shards), _ROW), "lm-shards")
+    dealt = _deal(rows, book, hot, spread, shards).repartition(max(shards, 1), "shard")
+    scored = materialize(dealt.groupBy("shard").applyInArrow(_shard_model(book, book_count, hot, hot_count, texts, shards), _ROW), "lm-shards")
 
     left, kinds = np.zeros(len(hot)), 0
     for r in scored.filter(F.col("kind") == HOT).select("blob").toLocalIterator():  # a few numbers per shard and hot context
@@ -346,12 +395,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
 
     def count_kinds(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(_unpack(b.as_py())[0]) for b in batch.column(0))], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(_unpack(b.as_py())[1]) for b in batch.column(0))], pa.int64())], names=["n"])
 
     kinds = scored.filter(F.col("kind") == COUNTS).select("blob").mapInArrow(count_kinds, "n bigint").agg(F.sum("n")).first()[0] or 0
-    distinct = kinds + int(((hot_count > 0) & (hot != BEGIN) & (hot != END)).sum()) + int(texts > 0)
+    distinct = kinds + int(((book_count > 0) & (book != BEGIN) & (book != END)).sum()) + int(texts > 0)
     second = (scored.filter(F.col("kind").isin(COUNTS, UNSEEN)).repartition(max(shards, 1), "shard").groupBy("shard")
-              .applyInArrow(_resolve(np.append(weight, 0.0)), _ROW))
+              .applyInArrow(_resolve(book, np.append(weight, 0.0)), _ROW))
     parts = scored.filter(F.col("kind").isin(SUMS, DOCS)).unionByName(second)
     out = parts.groupBy("flush").applyInArrow(_gather(texts, kind), f"id {'bigint' if kind == pa.int64() else 'string'}, held_out boolean, "
                                               "n_tokens bigint, n_known bigint, base double, log double, backed bigint")
