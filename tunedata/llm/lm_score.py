@@ -152,7 +152,7 @@ def _exact_counts(docs: DataFrame, book: np.ndarray) -> tuple[np.ndarray, int, i
     return count, tokens - texts, texts, every  # BEGIN is no token
 
 
-def _deal(docs: DataFrame, book: np.ndarray, hot: np.ndarray, spread: np.ndarray, shards: int) -> DataFrame:
+def _deal(docs: DataFrame, book: np.ndarray, book_count: np.ndarray, hot: np.ndarray, spread: np.ndarray, shards: int) -> DataFrame:
     """The (context, word, text, count) records of every text, packed by shard. The shard is that of
     the context; a hot context has several, by the word."""
     def flush(held: list, number: int) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,11 @@ def _deal(docs: DataFrame, book: np.ndarray, hot: np.ndarray, spread: np.ndarray
                  + (mix64(vocabulary + np.uint64(77)) >> np.uint64(11)).astype(np.int64)[word] % ways[context]) % shards
         order = np.argsort(shard, kind="stable")
         shard = shard[order]
-        rows = [(number % shards, DOCS, number, _pack(ids, out, sizes - 1))]
+        b_at = np.minimum(np.searchsorted(book, vocabulary), max(len(book) - 1, 0))
+        there = (book[b_at] == vocabulary if len(book) else np.zeros(len(vocabulary), bool)) & (vocabulary != BEGIN) & (vocabulary != END)
+        c = np.where(there, book_count[b_at] if len(book) else 0, 0)  # the base of the book's words needs no shard
+        rows = [(number % shards, DOCS, number, _pack(ids, out, sizes - 1, np.bincount(texts, np.log10(c + 1)[at], len(sizes)),
+                                                      np.bincount(texts, (c > 0)[at], len(sizes))))]
         edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
         flags = np.packbits(out)
         for a, b in zip(edges[:-1], edges[1:]):
@@ -218,13 +222,31 @@ def _deal(docs: DataFrame, book: np.ndarray, hot: np.ndarray, spread: np.ndarray
     return docs.select("id", "text", "held").mapInArrow(run, _ROW)
 
 
+#: Steps of the partial sums of scores and of bases: 2 ** -24 and 2 ** -36.
+SCORE_BITS, BASE_BITS = 24, 36
+
+
+def _fixed(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers in steps of 2 ** -bits, by byte planes, the sign in the lowest bit."""
+    v = np.rint(np.ldexp(x, bits)).astype(np.int64)
+    return np.ascontiguousarray(((v << 1) ^ (v >> 63)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _floating(planes: np.ndarray, bits: int) -> np.ndarray:
+    v = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return np.ldexp(((v >> np.uint64(1)).astype(np.int64) ^ -(v & np.uint64(1)).astype(np.int64)).astype(float), -bits)
+
+
 def _sums(flush: int, text: np.ndarray, base: np.ndarray, known: np.ndarray, score: np.ndarray, backed: np.ndarray) -> tuple:
-    """The sums of one flush's texts, those that have any."""
+    """The sums of one flush's texts, those that have any; base and known of those with words known here."""
     n = int(text.max()) + 1
     there = np.flatnonzero(np.bincount(text, minlength=n))
-    add = lambda x: np.bincount(text, x, n)[there]
-    return (int(flush % (1 << 31)), SUMS, flush, _pack(there.astype(np.uint16), add(base), add(known).astype(np.uint32),
-                                                       add(score), add(backed).astype(np.uint32)))
+    add = lambda x: np.bincount(text, x, n)
+    k = add(known).astype(np.uint32)
+    rare = np.flatnonzero(k)
+    return (int(flush % (1 << 31)), SUMS, flush, _pack(
+        np.diff(there, prepend=0).astype(np.uint16), _fixed(add(score)[there], SCORE_BITS), add(backed)[there].astype(np.uint32),
+        np.diff(rare, prepend=0).astype(np.uint16), _fixed(add(base)[rare], BASE_BITS), k[rare]))
 
 
 def _shard_model(book: np.ndarray, book_count: np.ndarray, hot: np.ndarray, hot_count: np.ndarray, end_count: int, shards: int):
@@ -264,10 +286,11 @@ def _shard_model(book: np.ndarray, book_count: np.ndarray, hot: np.ndarray, hot_
         weight[is_hot] = 0.0  # summed over the context's shards, and added in the last step
         rows += [(int(key[0].as_py()), HOT, -1, _pack(h_at[is_hot], DISCOUNT * kinds[is_hot]))] if is_hot.any() else []
         is_begin = contexts == BEGIN
-        counted = (total > 0) & ~np.isin(contexts, book) & ~is_begin
+        in_book = np.isin(contexts, book)
+        counted = (total > 0) & ~in_book & ~is_begin
         rows.append((int(key[0].as_py()), COUNTS, -1, _pack(_code(contexts[counted], book), total[counted].astype(np.int64))))
-        base = np.where(is_begin, 0.0, np.log10(full + 1))[context]
-        known = ((full > 0) & ~is_begin)[context]
+        base = np.where(is_begin | in_book, 0.0, np.log10(full + 1))[context]  # the book's words were counted by their flush
+        known = ((full > 0) & ~is_begin & ~in_book)[context]
         back = np.isnan(logs)
         # The lower order of a backed-off word: known here for the book's words and END, else asked of the word's shard.
         b_at = np.minimum(np.searchsorted(book, words), max(len(book) - 1, 0))
@@ -334,17 +357,21 @@ def _gather(end_count: int, kind: pa.DataType):
                         ("base", pa.float64()), ("log", pa.float64()), ("backed", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, out, sizes, sums = [], None, None, []
+        ids, out, sizes, base, known, sums = [], None, None, None, None, []
         for k, blob in zip(table["kind"].to_pylist(), table["blob"]):
             if k == DOCS:
-                ids, out, sizes = _unpack(blob.as_py())
+                ids, out, sizes, base, known = _unpack(blob.as_py())
             else:
                 sums.append(_unpack(blob.as_py()))
         n = len(ids)
         total = np.zeros((4, n))
-        for at, *values in sums:
-            for row, v in zip(total, values):
-                row[at] += v  # the texts of one blob are distinct
+        total[:2] = base, known
+        for there, score, backed, rare, more, k in sums:  # the texts of one blob are distinct
+            there, rare = np.cumsum(there, dtype=np.int64), np.cumsum(rare, dtype=np.int64)
+            total[0][rare] += _floating(more, BASE_BITS)
+            total[1][rare] += k
+            total[2][there] += _floating(score, SCORE_BITS)
+            total[3][there] += backed
         return pa.Table.from_arrays([
             pa.array(ids, kind), pa.array(out), pa.array(np.asarray(sizes, np.int64)),
             pa.array(total[1].astype(np.int64) + int(end_count > 0)), pa.array(total[0] + math.log10(end_count + 1)),
@@ -383,7 +410,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     shards = max(1, math.ceil(tokens / SHARD_TOKENS), int(spark.conf.get("spark.sql.shuffle.partitions")) if tokens > SHARD_TOKENS else 1)
     spread = np.maximum(1, np.ceil(every / max(tokens, 1) * shards * 4)).astype(np.int64)  # a quarter of a shard each
     spread = np.minimum(spread, shards)
-    dealt = _deal(rows, book, hot, spread, shards).repartition(max(shards, 1), "shard")
+    dealt = _deal(rows, book, book_count, hot, spread, shards).repartition(max(shards, 1), "shard")
     scored = materialize(dealt.groupBy("shard").applyInArrow(_shard_model(book, book_count, hot, hot_count, texts, shards), _ROW), "lm-shards")
 
     left, kinds = np.zeros(len(hot)), 0
