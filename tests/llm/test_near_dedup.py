@@ -54,3 +54,19 @@ def test_stage_links_from_four_fifths_on(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert left == set(texts) - near
+
+
+def test_crowded_regions_are_compared_exactly(spark):
+    """Pairs of near copies among rows that share a passage: orders of one minhash put 150 pairs into few regions, in any order."""
+    from tunedata.llm.minhash_dedup import near_components
+
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for k in range(150):
+        own = [f"k{k}w{i}" for i in range(60)]
+        texts[k] = " ".join(passage + own)
+        texts[1000 + k] = " ".join(passage + own[:-1] + [f"other{k}"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r["id"]: r["component_id"] for r in near_components(docs, trees=4, depth=1, min_depth=1, reach=1).collect()}
+    lost = sum(got[k] != k % 1000 for k in texts)
+    assert lost == 0, f"{lost} of {len(texts)} outside their pair"

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from tunedata.llm.common import key_filter, mark_maybe, materialize, without_ids
 from tunedata.llm.tokens import chunks, lowered, mix64, word_hashes
 from tunedata.operators.components import connected_components
+from tunedata.operators.dedup import candidates, postings
 
 SHINGLE_WORDS = 5
 #: Orders of the forest, minhashes in the key of each, and the common prefix that candidates need.
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
 #: Neighbours that each document meets on either side of it in each order.
 REACH = 4
-#: Documents of a crowded region, of different components, that all others of it meet in a round.
-PIVOTS = 4
+#: Rounds of pivots go on while at least one in so many of a round's pairs is a link.
+LINKED = 10
 #: Documents are linked when 100 * common shingles >= PERCENT * all shingles of the two.
 PERCENT = 80
 _SALTS = 32
@@ -90,7 +91,7 @@ def _shingles(docs: DataFrame, k: int, id_type: str) -> DataFrame:
 
 def _neighbours(ordered: DataFrame, reach: int, depth: int, min_depth: int, percent: int, edges_out: bool) -> DataFrame:
     """Pairs of rows at most ``reach`` apart in the order that agree on ``min_depth`` minhashes and
-    whose sizes allow the similarity. With ``edges_out`` also the first and last rows of each
+    whose sizes allow the similarity, with the region that they share. With ``edges_out`` also the first and last rows of each
     partition, whose neighbours lie in the partition beside it, and the rows of crowded regions
     (``region, n, id, near``): more than ``reach + 1`` rows that agree on ``min_depth`` or on all
     minhashes, or any number at the partition's ends. ``near`` counts the rows with the same key."""
@@ -170,8 +171,11 @@ def _neighbours(ordered: DataFrame, reach: int, depth: int, min_depth: int, perc
             i, j = i[ok], j[ok]
             x, y = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             nul = pa.nulls(len(i))
+            region = mix64(tree[i].astype(np.uint64) + np.uint64(1))
+            for level in range(min_depth):
+                region = mix64(region ^ keys[i, level].astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), nul.cast(pa.int32()), nul.cast(pa.binary()),
-                                              *[nul.cast(pa.int64())] * 4], names=names)
+                                              *[nul.cast(pa.int64())] * 2, pa.array(region.view(np.int64)), nul.cast(pa.int64())], names=names)
 
     def _edge(table: pa.Table, names):
         nul = pa.nulls(len(table)).cast(pa.int64())
@@ -181,13 +185,13 @@ def _neighbours(ordered: DataFrame, reach: int, depth: int, min_depth: int, perc
         run, "a bigint, b bigint, tree int, key binary, n bigint, id bigint, region bigint, near bigint")
 
 
-def _crowded_pairs(crowd: DataFrame, labels: DataFrame, used: DataFrame | None, percent: int, pivots_each: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the rows of each crowded region with its next pivots, and all pivots so far (``region, id``).
+def _crowded_pairs(crowd: DataFrame, labels: DataFrame, used: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the rows of each crowded region with its next pivot, and all pivots so far (``region, id``).
 
     A pivot is the row of its component with most rows around it: the one that the others of a family
     are copies of has the largest ``score``. As a score counts all orders, the regions of one family name the
-    same row. Up to ``pivots_each`` components that had none yet give one each;
-    rows of the pivot's own component do not meet it. Regions of one component are finished."""
+    same row. A component that had none yet gives it; rows of the pivot's own component do not meet it.
+    Regions of one component are finished."""
     at = materialize(crowd.join(labels, F.col("id") == F.col("node"), "left").select(
         "region", "id", "n", "score", F.coalesce("component", "id").alias("comp")), "near-regions")
     best = materialize(at.groupBy("region", "comp").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"), "n")).alias("best")), "near-best")
@@ -196,21 +200,33 @@ def _crowded_pairs(crowd: DataFrame, labels: DataFrame, used: DataFrame | None,
         had = used.join(labels, F.col("id") == F.col("node"), "left").select("region", F.coalesce("component", "id").alias("comp")).distinct()
         unmet = best.join(had, ["region", "comp"], "left_anti")
     several = best.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("region")
-    pivots = materialize(unmet.groupBy("region", F.pmod(F.xxhash64("comp"), F.lit(pivots_each)).alias("part"))
-                         .agg(F.max(F.struct("best", "comp")).alias("top")).groupBy("region").agg(F.collect_list("top").alias("tops"))
+    pivots = materialize(unmet.groupBy("region").agg(F.max(F.struct("best", "comp")).alias("top"))
                          .join(several, "region"), "near-pivots")
     # One row for each row of a region; a pivot that a row meets in several regions counts once.
     salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     met = (at.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(salted, ["region", "salt"])
-           .select("id", F.transform(F.filter("tops", lambda t: (t.comp != F.col("comp")) & (
-               100 * F.least("n", t.best.n) >= percent * F.greatest("n", t.best.n))), lambda t: -t.best.neg).alias("pivots"))
-           .groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
+           .filter((F.col("top.comp") != F.col("comp")) & (
+               100 * F.least("n", "top.best.n") >= percent * F.greatest("n", "top.best.n")))
+           .groupBy("id").agg(F.collect_set(-F.col("top.best.neg")).alias("pivots"))
            .select("id", F.explode("pivots").alias("pivot")))
     pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    now = pivots.select("region", F.explode("tops").alias("t")).select("region", (-F.col("t.best.neg")).alias("id"))
+    now = pivots.select("region", (-F.col("top.best.neg")).alias("id"))
     return materialize(pairs, "near-pairs"), materialize(now if used is None else used.unionByName(now), "near-used")
 
 
+def _rest(crowd: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The exact way for what rounds leave: pairs of different components among the rows of regions that still hold
+    several. A prefix filter on the full sets, so that no pair that reaches the similarity is missing."""
+    at = crowd.join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("component", "id").alias("component"))
+    several = at.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
+    left = materialize(at.join(several, "region", "left_semi").select(F.col("id").alias("doc_id"), "component").distinct(), "near-open")
+    sets = full.select(F.col("id").alias("doc_id"), F.col("s").alias("sh")).join(left, "doc_id", "left_semi")
+    posts = postings(materialize(sets, "near-open-sets"), percent / 100).join(left, "doc_id")
+    posts = materialize(posts, "near-open-prefixes")
+    pairs = candidates(posts, posts, percent / 100, F.col("component_a") < F.col("component_b"))
+    return materialize(pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct(), "near-rest")
+
+
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS,
                percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, min_depth: int = MIN_DEPTH,
                reach: int = REACH) -> tuple[DataFrame, DataFrame]:
@@ -225,9 +241,11 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Where more rows share those minhashes, neighbours alone do not tie a family together whose copies are
     like one text and not like each other. There all rows of the region also meet its pivots, the rows with
-    most others around them (``_crowded_pairs``), in rounds until one finds no link. A round's pairs grow
-    with the rows, not with their square. Candidates are found with a probability: a link
-    in a crowded region of rows that are neither neighbours nor pivots, nor tied by others, is not found."""
+    most others around them (``_crowded_pairs``), in rounds while they find links. A round's pairs grow
+    with the rows, not with their square. The rows of regions that still hold several components are then compared
+    exactly (``_rest``), so that no two rows of a region that reach the similarity are left apart. Candidates are found with a
+    probability only in that similar rows may share no region. ``links`` of a crowded region tie its rows
+    together; of two rows that others tie, the link itself may not be listed."""
     return _links(docs, id_col, text_col, k, percent, trees, depth, min_depth, reach)[:2]
 
 
@@ -261,11 +279,15 @@ def _links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     # A few rows per partition: neighbours across the partitions' edges.
     seams = (found.filter("key is not null").select("tree", "key", "n", "id").distinct().withColumn("tie", F.xxhash64("id", "tree"))
              .repartition(1).sortWithinPartitions("tree", "key", "tie"))
-    pairs = (found.filter("a is not null").select("a", "b")
-             .unionByName(_neighbours(seams, reach, depth, min_depth, percent, False).select("a", "b")).distinct())
+    crowd = found.filter("region is not null and a is null").select("region", "id", "n", "near")
+    # Neighbours of a crowded region are left to its pivots and the exact rest, which together compare whole regions.
+    dense = materialize(crowd.select(F.col("region").alias("dense")).distinct(), "near-dense")
+    pairs = (found.filter("a is not null").select("a", "b", "region")
+             .unionByName(_neighbours(seams, reach, depth, min_depth, percent, False).select("a", "b", "region")))
+    pairs = (pairs.join(dense, F.col("region") == F.col("dense"), "left").groupBy("a", "b").agg(F.max("dense").alias("dense"))
+             .filter("dense is null").select("a", "b"))
     pairs = materialize(pairs, "near-pairs")
 
-    crowd = found.filter("region is not null").select("region", "id", "n", "near")
     # Rows that share all minhashes of an order with it, over all orders: about how many are like a row.
     scores = crowd.groupBy("id").agg(F.sum("near").alias("score"))
     crowd = materialize(crowd.join(scores, "id").select("region", "id", "n", "score"), "near-crowd")
@@ -288,22 +310,31 @@ def _links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
                  .select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")))
         return materialize(links, "near-links")
 
+    def tied(labels: DataFrame, more: DataFrame) -> DataFrame:
+        return connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                                    .unionByName(more.select("a", "b")), "a", "b")
+
     links = verified(pairs)
     labels = connected_components(links.select("a", "b").unionByName(same_id), "a", "b")
-    # One pivot a region ties most of a family together; what is left meets more of them, until none finds a link.
-    used, each = None, 1
+    # A pivot a region ties most of a family together; what is left meets another, while that finds links enough.
+    used, rounds = None, True
     while True:
-        pairs, used = _crowded_pairs(crowd, labels, used, percent, each)
-        if pairs.isEmpty():
-            break
-        more = verified(pairs)
-        if not more.isEmpty():
+        if rounds:
+            pairs, used = _crowded_pairs(crowd, labels, used, percent)
+        else:
+            pairs = _rest(crowd, labels, full, percent)
+        met = pairs.count()
+        found_now = 0
+        if met:
+            more = verified(pairs)
+            found_now = more.count()
+        if found_now:
             links = links.unionByName(more)
             labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
                                           .unionByName(more.select("a", "b")), "a", "b")
-        elif each == PIVOTS:
+        if not rounds:
             break
-        each = PIVOTS
+        rounds = found_now * LINKED >= met > 0
     return members, links, labels
 
 
