@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,22 +18,38 @@ from pyspark.sql import types as T
 from tunedata.functions.text import whitespace_token_count
 
 
+#: Bytes of text that a user's counter sees at once.
+SLICE_BYTES = 1 << 20
+
+
 def token_counter(counter: Callable[[pd.Series], pd.Series] | None = None) -> Callable[[Column], Column]:
     """Column -> token count. Default: whitespace split as a built-in expression; otherwise the
-    user's vectorised function (e.g. a tokenizer's batch encode) wrapped as a pandas UDF."""
+    user's vectorised function (e.g. a tokenizer's batch encode) over slices of an Arrow batch of about
+    ``SLICE_BYTES`` of text, one longer text by itself, so that a task's memory does not grow with batch and texts."""
     if counter is None:
         return whitespace_token_count
 
-    @F.pandas_udf(T.LongType())
-    def _count(s: pd.Series) -> pd.Series:
-        return counter(s.fillna("")).astype("int64")
+    @F.arrow_udf(T.LongType())
+    def _count(a: pa.Array) -> pa.Array:
+        counts = [pa.array(counter(part.to_pandas().fillna("")).astype("int64"), pa.int64()) for part in text_slices(a)]
+        return pa.concat_arrays(counts) if counts else pa.array([], pa.int64())
 
     return _count
 
 
+def text_slices(a: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive parts of an array of texts, of at most ``size`` bytes or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(a), 0).to_numpy(zero_copy_only=False))
+    at = done = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+        yield a.slice(at, end - at)
+        at, done = end, int(ends[end - 1])
+
+
 def whitespace_counter(s: pd.Series) -> pd.Series:
     """A pandas counterpart of ``str.split()`` length (used to check the UDF path)."""
-    return s.str.split().str.len().fillna(0)
+    return s.map(lambda t: len(t.split()) if isinstance(t, str) else 0)  # the words of one text at a time
 
 
 def score_with(df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
